@@ -13,7 +13,6 @@ no shuffle, and memory that does not grow with the benchmark.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing
+from . import binary, decontam, mixing, pii, quality
 
 QUERIES = {
     "op2_source_mix": mixing.query,
     "op3_decontaminate": decontam.query,
+    "op7_quality_forest": quality.query,
+    "op9_token_files": binary.query,
+    "op10_personal_data": pii.query,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
