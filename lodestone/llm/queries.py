@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import binary, decontam, mixing, pii, quality
+from . import binary, decontam, mixing, neardup, pii, quality
 
 QUERIES = {
     "op2_source_mix": mixing.query,
     "op3_decontaminate": decontam.query,
     "op7_quality_forest": quality.query,
+    "op8_near_duplicates": neardup.query,
     "op9_token_files": binary.query,
     "op10_personal_data": pii.query,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
     "op3_decontaminate": decontam.SQL,
+    "op8_near_duplicates": neardup.SQL,
 }
