@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import binary, counts, decontam, html, mixing, neardup, pii, quality, urls
+import corpus_pipeline
+
+from . import binary, counts, ctw, decontam, html, mixing, neardup, pii, quality, urls
 
 QUERIES = {
     "op1_token_counts": counts.query,
     "op2_source_mix": mixing.query,
     "op3_decontaminate": decontam.query,
     "op4_main_text": html.query,
+    "op5_byte_score": ctw.query,
     "op6_url_rules": urls.query,
     "op7_quality_forest": quality.query,
     "op8_near_duplicates": neardup.query,
     "op9_token_files": binary.query,
     "op10_personal_data": pii.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
