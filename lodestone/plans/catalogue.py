@@ -2,9 +2,341 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def FLAGSHIP(spark, sf_dir: str):  # noqa: N802
-    return QUERIES["agg_severity_statistics"](spark, sf_dir)
+from ..functions import vectors
+from ..operators import code, findings, graph, history, votes
+from ..sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Event types as severities, for the tables of the verifier.
+_SEV = {"error": "critical", "purchase": "high", "click": "medium", "view": "low"}
+_SEV_SQL = "case event_type when 'error' then 'critical' when 'purchase' then 'high' when 'click' then 'medium' when 'view' then 'low' else 'info' end"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__.strip("_")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _severity():
+    out = F.lit("info")
+    for k, v in _SEV.items():
+        out = F.when(F.col("event_type") == k, v).otherwise(out)
+    return out
+
+
+_LINES = "l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as line from documents)"
+_HITS = _LINES + ", h as (" + " union all ".join(f"select doc_id, line_no, '{n}' as rule, '{s}' as severity from l where regexp_matches(line, '{p.replace(chr(39), chr(39) * 2)}')" for n, s, p in code.RULES) + ")"
+
+
+@query("select lang, count(*) as files, sum(len(string_split(text, chr(10))))::bigint as lines, count(distinct source) as sources from documents group by lang")
+def repo_manifest(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.countDistinct("source").alias("sources"))
+
+
+@query(f"with {_HITS} select doc_id, line_no::int as line_no, rule, severity from h")
+def rule_hits(spark, d):
+    return code.rule_hits(table(spark, d, "documents"))
+
+
+@query(f"with {_HITS} select v.level, coalesce(n, 0)::bigint as n from (values ('critical'), ('high'), ('medium'), ('low')) v(level) left join (select severity, count(*) as n from h group by 1) x on x.severity = v.level")
+def rule_hits_by_severity(spark, d):
+    return findings.zero_filled(code.rule_hits(table(spark, d, "documents")), F.col("severity"))
+
+
+@query(f"""with {_HITS}, s as (select source, {", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in findings.SEVERITIES)} from h join documents using (doc_id) group by source),
+r as (select *, 100 - 25 * critical - 15 * high - 8 * medium - 3 * low as raw from s)
+select source, critical, high, medium, low, greatest(0, least(100, raw))::bigint as score, case when critical > 0 or raw < 50 then 'CRITICAL' when high > 2 or raw < 70 then 'HIGH' when raw < 90 then 'MEDIUM' else 'LOW' end as level from r""")
+def owasp_risk_score(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select("source", F.explode(F.split("text", "\n")).alias("line"))
+    tests = F.array(*[F.when(F.col("line").rlike(p), F.lit(s)) for _, s, p in code.RULES])
+    return findings.risk(lines.select("source", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("severity")), "severity", ["source"])
+
+
+_CC = " + ".join(f"regexp_matches(line, '\\b{k}\\b')::int" for k in code.KEYWORDS)
+_COMPLEX = f"""{_LINES}, c as (select doc_id, count(*) filter (trim(line, ' ') <> '' and not starts_with(trim(line, ' '), '#')) as loc, count(*) filter (starts_with(trim(line, ' '), '#')) as comments,
+(1 + sum(case when starts_with(trim(line, ' '), '#') then 0 else {_CC} end))::bigint as cc from l group by doc_id),
+m as (select *, round(greatest(0.0::double, least(100.0::double, 171.0::double - 5.2::double * loc / 100 - 0.23::double * cc - 16.2::double)), 4) as mi, case when cc > 20 then 'P1' when cc > 15 then 'P2' else 'P3' end as priority from c)"""
+
+
+@query(f"with {_COMPLEX} select * from m")
+def text_complexity(spark, d):
+    return code.complexity(table(spark, d, "documents"))
+
+
+@query(f"with {_COMPLEX}, t as (select * from m order by cc desc, doc_id limit 100) select count(*) as n, round(avg(cc), 4) as avg_cc, max(cc) as max_cc, count(*) filter (priority = 'P1') as p1, count(*) filter (priority = 'P2') as p2, count(*) filter (priority = 'P3') as p3 from t")
+def complexity_summary(spark, d):
+    top = code.complexity(table(spark, d, "documents")).orderBy(F.desc("cc"), "doc_id").limit(100)
+    return top.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cc"), 4).alias("avg_cc"), F.max("cc").alias("max_cc"), *[F.count_if(F.col("priority") == p).alias(p.lower()) for p in ("P1", "P2", "P3")])
+
+
+@query("select source, count(*) as files, sum(n_chars)::bigint as size, round(avg(n_chars), 4) as mean from documents group by source having count(*) >= 5")
+def dir_rollup(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"), F.round(F.avg("n_chars"), 4).alias("mean")).where("files >= 5")
+
+
+@query(r"""select block, size, count(*) as n from (select substr(md5(array_to_string(l[i : i + size - 1], chr(10))), 1, 8) as block, size from
+(select l, size, unnest(range(1, len(l) - size + 2)) as i from (select list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and not starts_with(x, '#')) as l from documents), (values (3), (4), (5)) s(size) where len(l) >= size)) group by all having count(*) > 1""")
+def duplicate_blocks(spark, d):
+    return code.duplicate_blocks(table(spark, d, "documents"))
+
+
+@query("select h, count(*) as copies, min(doc_id) as first_doc from (select doc_id, substr(md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and not starts_with(x, '#')), chr(10))), 1, 16) as h from documents) group by h having count(*) > 1")
+def code_normalise_hash(spark, d):
+    own = table(spark, d, "documents").select("doc_id", F.substring(F.md5(code.normal_form(F.col("text"))), 1, 16).alias("h"))
+    return own.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query(r"""with l as (select unnest(string_split(text, chr(10))) as line from documents), g as (select regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"', '"..."', 'g'), '\b[0-9]+\b', 'N', 'g'), '\b[a-zA-Z_]\w*\(', 'FUNC(', 'g') as pattern from l)
+select md5(pattern) as pattern, count(*) as n from g where length(pattern) > 3 group by 1 having count(*) >= 2""")
+def line_generalise_group(spark, d):
+    g = code.lines(table(spark, d, "documents")).select(code.generalised(F.col("line")).alias("p")).where(F.length("p") > 3)
+    return g.groupBy(F.md5("p").alias("pattern")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+@query(r"select doc_id, len(regexp_extract_all(text, '\b[0-9]{2,}\b'))::int as numbers from documents where regexp_matches(text, '\b[0-9]{2,}\b')")
+def magic_numbers(spark, d):
+    n = F.regexp_count("text", F.lit(r"\b[0-9]{2,}\b"))
+    return table(spark, d, "documents").select("doc_id", n.alias("numbers")).where("numbers > 0")
+
+
+@query("select l_suppkey as file, count(distinct l_orderkey) as commits, round(sum(l_quantity), 4) as changed, round(count(distinct l_orderkey) * greatest(1.0, sum(l_quantity) / count(distinct l_orderkey) / 10), 4) as churn from lineitem group by 1")
+def churn_per_file(spark, d):
+    return history.churn(table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "file"), "file", "l_orderkey", "l_quantity").withColumn("changed", F.round("changed", 4))
+
+
+@query("""with c as (select l_suppkey as file, count(distinct l_orderkey) as commits, round(count(distinct l_orderkey) * greatest(1.0, sum(l_quantity) / count(distinct l_orderkey) / 10), 4) as churn from lineitem group by 1),
+r as (select l_suppkey as file, date_diff('day', max(o_orderdate)::date, (select max(o_orderdate)::date from orders)) as days from lineitem join orders on l_orderkey = o_orderkey group by 1)
+select file, round(churn * case when days <= 7 then 2.0 when days <= 30 then 1.5 when days <= 90 then 1.0 else 0.5 end, 4) as hotspot from c join r using (file) order by hotspot desc, file limit 20""")
+def hotspot_topn(spark, d):
+    items, orders = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "file"), table(spark, d, "orders")
+    c = history.churn(items, "file", "l_orderkey", "l_quantity")
+    last = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).groupBy("file").agg(F.max("o_orderdate").alias("last"))
+    anchor = orders.agg(F.max("o_orderdate").alias("anchor"))
+    days = F.datediff(F.col("anchor").cast("date"), F.col("last").cast("date"))
+    out = c.join(last, "file").crossJoin(F.broadcast(anchor))  # one row
+    return out.select("file", F.round(F.col("churn") * history.recency(days), 4).alias("hotspot")).orderBy(F.desc("hotspot"), "file").limit(20)
+
+
+@query("select o_custkey, o_orderkey, rank::int as rank from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rank from orders) where rank <= 5")
+def recent_commits_per_file(spark, d):
+    return history.newest(table(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 5).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("""with k as (select *, date_trunc('hour', ts) as h, least(1.0, value / 100) as conf from events),
+r as (select *, row_number() over (partition by user_id, h, event_type order by ts, event_id) as rn, count(*) over (partition by user_id, h, event_type) as confirmed from k)
+select event_id, round(case when confirmed > 1 then least(1.0, conf * 1.2) else conf end, 4) as conf, confirmed from r where rn = 1""")
+def finding_dedup(spark, d):
+    e = table(spark, d, "events").withColumn("h", F.date_trunc("hour", "ts")).withColumn("conf", F.least(F.lit(1.0), F.col("value") / 100)).withColumn("agent", F.col("user_id") % 5)
+    out = findings.keep_first(e, ["user_id", "h", "event_type"], [F.col("ts"), F.col("event_id")], "conf", "agent")
+    return out.select("event_id", F.round("conf", 4).alias("conf"), "confirmed")
+
+
+@query(f"select event_id, {_SEV_SQL} as severity, round(value, 4) as value from events order by case {_SEV_SQL} when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end, value desc, event_id limit 50")
+def severity_sort_topk(spark, d):
+    e = table(spark, d, "events").withColumn("severity", _severity())
+    return e.orderBy(findings.severity_rank(F.col("severity")), F.desc("value"), "event_id").limit(50).select("event_id", "severity", F.round("value", 4).alias("value"))
+
+
+@query("with e as (select *, epoch(ts)::bigint // 60 as m from events) select a.event_id as a, b.event_id as b from e a join e b on a.user_id = b.user_id and abs(a.m - b.m) <= 5 where a.event_type = 'error' and b.event_type <> 'error'")
+def band_join(spark, d):
+    e = table(spark, d, "events").withColumn("m", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60))
+    a = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("a"), F.col("m").alias("ma"))
+    b = e.where("event_type <> 'error'").select("user_id", F.col("event_id").alias("b"), F.col("m").alias("mb"))
+    return findings.band_join(a, b, "user_id", "ma", "mb", 5).select("a", "b")
+
+
+@query("select user_id, arg_min(event_id, (ts, event_id)) as first_event, min(ts) as first_ts from events group by user_id")
+def first_match_lookup(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.min("ts").alias("first_ts"))
+
+
+@query("with p as (select doc_id, max(toxic)::double as score from labels group by 1) select doc_id, case when d.doc_id is null then 'prediction' when p.doc_id is null then 'row' else 'both' end as origin, case when score > 0.5 then least(1.0, score * 1.2) else score end as boost from (select doc_id from documents where doc_id % 3 = 0) d full join p using (doc_id)".replace("select doc_id, case", "select coalesce(d.doc_id, p.doc_id) as doc_id, case").replace("full join p using (doc_id)", "full join p on d.doc_id = p.doc_id"))
+def prediction_merge(spark, d):
+    rows = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id")
+    p = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("score"))
+    return findings.merge_predictions(rows, p, "doc_id", "score").select("doc_id", "origin", "boost")
+
+
+@query("select coalesce(a.doc_id, b.doc_id) as doc_id, round(0.6 * coalesce(s, 0.5) + 0.4 * coalesce(l, 0.5), 4) as combined from (select doc_id, (n_chars % 100) / 100.0 as s from documents where doc_id % 2 = 0) a full join (select doc_id, quality::double as l from labels) b on a.doc_id = b.doc_id")
+def rank_combine(spark, d):
+    a = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", ((F.col("n_chars") % 100) / 100).alias("s"))
+    b = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("l"))
+    out = findings.rank_combine(a, b, "doc_id", "s", "l", 0.6, 0.4)
+    return out.withColumn("combined", F.round("combined", 4))
+
+
+@query(f"select v.level, coalesce(n, 0)::bigint as n from (values ('critical'), ('high'), ('medium'), ('low')) v(level) left join (select {_SEV_SQL} as s, count(*) as n from events group by 1) x on x.s = v.level")
+def priority_distribution(spark, d):
+    return findings.zero_filled(table(spark, d, "events"), _severity())
+
+
+@query(f"select {_SEV_SQL} as severity, count(*) as n, round(sum(value), 4) as total, round(avg(value), 4) as mean, round(min(value), 4) as least, round(max(value), 4) as most from events group by 1")
+def agg_severity_statistics(spark, d):
+    return table(spark, d, "events").groupBy(_severity().alias("severity")).agg(F.count(F.lit(1)).alias("n"), *[F.round(f("value"), 4).alias(n) for n, f in (("total", F.sum), ("mean", F.avg), ("least", F.min), ("most", F.max))])
+
+
+@query("select ts::date::varchar as day, count(*) as n, round(sum(value), 4) as total, count(*) filter (event_type = 'error') as errors from events group by 1")
+def history_daily(spark, d):
+    return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@query("select count(*) as n, count(*) filter (event_type = 'error') as errors, count(distinct user_id) as users, round(avg(value), 4) as mean from events where ts >= (select max(ts) from events) - interval 7 day")
+def history_period_stats(spark, d):
+    e = table(spark, d, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    own = e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("interval 7 days"))  # one row
+    return own.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query("select c_custkey, c_name from customer where c_name ilike '%00001%' order by c_name, c_custkey limit 10 offset 5")
+def history_page(spark, d):
+    return table(spark, d, "customer").where(F.col("c_name").ilike("%00001%")).orderBy("c_name", "c_custkey").offset(5).limit(10).select("c_custkey", "c_name")
+
+
+@query("select event_type, count(*) filter (ts >= timestamp '2024-01-15') as kept, count(*) filter (ts < timestamp '2024-01-15') as deleted from events group by 1")
+def retention_keep(spark, d):
+    keep = F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("deleted"))
+
+
+@query("select o_orderstatus as status, o_orderpriority as kind, count(*) as n, round(min(o_totalprice), 4) as least, round(max(o_totalprice), 4) as most from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
+def type_status_stats(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"), "o_totalprice")
+    return o.groupingSets([["status"], ["kind"], []], "status", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("o_totalprice"), 4).alias("least"), F.round(F.max("o_totalprice"), 4).alias("most"))
+
+
+@query("select o_custkey, count(*) as n, round(sum(o_totalprice), 4) as total, max(o_orderdate) as latest from orders group by 1")
+def project_rollup(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 4).alias("total"), F.max("o_orderdate").alias("latest"))
+
+
+@query("select event_id, unnest(list_filter([case when value > 95 then 'critical' end, case when value > 85 then 'warning' end, case when event_type = 'error' then 'error' end], lambda x: x is not null)) as alert from events")
+def telemetry_alerts(spark, d):
+    rules = F.array(F.when(F.col("value") > 95, "critical"), F.when(F.col("value") > 85, "warning"), F.when(F.col("event_type") == "error", "error"))
+    return table(spark, d, "events").select("event_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("alert"))
+
+
+@query("""with p as (select date_trunc('hour', ts) as context, event_type, count(*) as v, sum(value) as c from events group by 1, 2),
+r as (select *, sum(v) over (partition by context) as n, row_number() over (partition by context order by v desc, round(c, 4) desc, event_type) as rn from p)
+select context, event_type as winner, v as votes, round(c, 4) as confidence, n::bigint as total, case when v = n then 'unanimous' when v * 2 > n then 'majority' when v > 1 then 'plurality' else 'none' end as agreement from r where rn = 1""")
+def vote_majority(spark, d):
+    return votes.tally(table(spark, d, "events").withColumn("context", F.date_trunc("hour", "ts")), "context", "event_type", "value")
+
+
+@query("select event_id, user_id, round(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 6) as mean from events")
+def model_running_mean(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 6).alias("mean"))
+
+
+@query("""with i as (select user_id, event_type, event_type <> 'error' as positive, least(1.0, value / 100) as w from events), a as (select user_id, sum(case when positive then w else 0 end) as pos, sum(case when positive then 0 else w end) as neg, count(distinct event_type) as kinds, max(w) as strongest, min(w) as weakest from i group by 1)
+select user_id, round(pos, 4) as pos, round(neg, 4) as neg, kinds, round(strongest, 4) as strongest, round(weakest, 4) as weakest, round(least(1.0, case when pos + neg > 0 then pos / (pos + neg) else 0 end + least(0.2, 0.05 * kinds) + case when strongest >= 0.8 then 0.1 else 0 end), 4) as confidence from a""")
+def evidence_rank(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", (F.col("event_type") != "error").alias("positive"), F.least(F.lit(1.0), F.col("value") / 100).alias("w"))
+    return votes.evidence(e, "user_id", "event_type", "positive", "w")
+
+
+_EDGES = "e as (select distinct l_suppkey as src, l_partkey % 100 as dst from lineitem)"
+
+
+def _edges(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"))
+
+
+@query(f"with {_EDGES}, x as (select src as node, 1 as o, 0 as i from e union all select dst, 0, 1 from e) select node, sum(i)::bigint as d_in, sum(o)::bigint as d_out from x group by node")
+def graph_degrees(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+_TRANS = "t as (select distinct event_type as src, nxt as dst from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) where nxt is not null)"
+
+
+def _transitions(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst is not null").distinct()
+
+
+@query(f"with recursive {_TRANS}, r as (select src, dst from t union select r.src, t.dst from r join t on r.dst = t.src) select src, dst from r")
+def graph_reach(spark, d):
+    return graph.reachable(_transitions(spark, d))
+
+
+@query("""with u as (select distinct least(c_nationkey, c_custkey % 40) as a, greatest(c_nationkey, c_custkey % 40) as b from customer where c_nationkey <> c_custkey % 40),
+t as (select x.a, x.b, y.b as c from u x join u y on x.b = y.a join u z on z.a = x.a and z.b = y.b) select node, count(*) as n from (select unnest([a, b, c]) as node from t) group by node""")
+def graph_triangles(spark, d):
+    return graph.triangles(table(spark, d, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 40).alias("dst")))
+
+
+@query()
+def graph_pagerank(spark, d):
+    return graph.pagerank(_edges(spark, d), 5).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("""with b as (select distinct l_suppkey as src, l_partkey % 50 as dst from lineitem where l_shipdate < timestamp '1998-01-01'), a as (select distinct l_suppkey as src, l_partkey % 50 as dst from lineitem where l_shipdate >= timestamp '1998-01-01')
+select coalesce(b.src, a.src) as src, coalesce(b.dst, a.dst) as dst, case when b.src is null then 'added' when a.src is null then 'removed' else 'kept' end as state from b full join a on a.src = b.src and a.dst = b.dst""")
+def graph_diff(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"), "l_shipdate")
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    return graph.diff(e.where(F.col("l_shipdate") < cut), e.where(F.col("l_shipdate") >= cut), ["src", "dst"])
+
+
+@query("""with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id, round(list_dot_product(embedding::double[], q::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(q::double[], q::double[])), 4) as similarity from embeddings, q where vec_id <> query_id)
+select query_id, vec_id, similarity, rank::int as rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s) where rank <= 5""")
+def vector_topk(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.top_k(rows, rows.where("vec_id % 100 = 0"), 5)
+
+
+@query("""select user_id, min(n)::int as start, count(*) as length from (select user_id, n, n - sum(f) over (partition by user_id order by n) as g, f from (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, (event_type = 'error')::int as f from events)) where f = 1 group by user_id, g having count(*) >= 3""")
+def circuit_breaker(spark, d):
+    return history.runs(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], F.col("event_type") == "error", 3)
+
+
+@query("select page_id, freed_before::bigint as freed_before from (select page_id, coalesce(sum(s) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as freed_before from (select page_id, length(html) as s from pages order by page_id limit 100)) where freed_before < (select sum(length(html)) from pages) - 0.8 * 500000")
+def lru_eviction(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.length("html").alias("s"))
+    return history.evicted(p, "s", [F.col("page_id")], 500000).select("page_id", F.col("freed_before").cast("long").alias("freed_before"))
+
+
+@query("select p_brand, arg_min(p_partkey, (-score, p_partkey)) as best, round(max(score), 4) as score from (select *, round(p_size / 10.0 + 100 / greatest(p_retailprice, 1), 6) as score from part) group by 1")
+def plan_stats(spark, d):
+    p = table(spark, d, "part").withColumn("score", F.round(F.col("p_size") / 10 + F.lit(100) / F.greatest("p_retailprice", F.lit(1)), 6))
+    return p.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-F.col("score"), "p_partkey")).alias("best"), F.round(F.max("score"), 4).alias("score"))
+
+
+@query("select source, case when n >= 3 then 'high' when n >= 1 then 'medium' else 'low' end as level, n from (select source, count(*) filter (regexp_matches(text, '(?i)\\b(token|secret|licensed)\\b')) as n from documents group by 1)")
+def keyword_classify(spark, d):
+    n = F.count_if(F.col("text").rlike(r"(?i)\b(token|secret|licensed)\b"))
+    return table(spark, d, "documents").groupBy("source").agg(n.alias("n")).select("source", findings.ladder(F.col("n"), [(3, "high"), (1, "medium")], "low").alias("level"), "n")
+
+
+@query("select o_custkey, round(ln(1 + count(*)) / 5, 4) as activity, round(least(500000, sum(o_totalprice)) / 500000, 4) as volume from orders group by 1")
+def feature_vector(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
+    return o.select("o_custkey", F.round(F.log1p("n") / 5, 4).alias("activity"), F.round(F.least(F.lit(500000), F.col("s")) / 500000, 4).alias("volume"))
+
+
+@query(f"""with {_HITS}, s as (select doc_id, count(*) as hits from h group by 1), {_COMPLEX.partition(', c as')[2].join(['c as', ''])}
+select doc_id, (10 * coalesce(hits, 0) + cc)::double as score from m left join s using (doc_id) where 10 * coalesce(hits, 0) + cc > 0""")
+def flagship_candidates(spark, d):
+    docs = table(spark, d, "documents")
+    hits = code.rule_hits(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    out = code.complexity(docs).join(hits, "doc_id", "full_outer")
+    return out.select("doc_id", F.round((F.lit(10) * F.coalesce("hits", F.lit(0)) + F.coalesce("cc", F.lit(0))).cast("double"), 4).alias("score")).where("score > 0")
+
+
+FLAGSHIP = flagship_candidates
