@@ -137,9 +137,9 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        spaces = [w for w in words if w.isspace()]
+        spaces = [w for w in words if not w.strip(" \n")]
         self.words.update(zip(spaces, self._plain(spaces), strict=True))
-        new = [w for w in words if not w.isspace() and self._KNOWN.fullmatch(w)]
+        new = [w for w in words if w.strip(" \n") and self._KNOWN.fullmatch(w)]
         groups = [new[i : i + 200] for i in range(0, len(new), 200)]
         for group, e in zip(groups, self.model.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
