@@ -26,3 +26,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def hash_embedding(text: Column, size: int = 128) -> Column:
+    """The 16 bytes of a text's MD5, repeated to ``size`` places, as byte / 128 - 1."""
+    digest = F.md5(text)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(digest, (i % 16) * 2 + 1, F.lit(2)), 16, 10).cast("int") / 128 - 1)

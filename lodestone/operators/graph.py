@@ -61,3 +61,44 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     a, b = before.select(*keys).distinct().withColumn("__a", F.lit(1)), after.select(*keys).distinct().withColumn("__b", F.lit(1))
     state = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").otherwise("kept")
     return a.join(b, keys, "full_outer").select(*keys, state.alias("state"))
+
+
+def group_dependencies(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(src, dst) distinct pairs of groups that edges lead between, from
+    ``groups`` (node, group); a group may depend on itself."""
+    e = edges.select("src", "dst").distinct()
+    a, b = groups.toDF("src", "src_group"), groups.toDF("dst", "dst_group")
+    return e.join(a, "src").join(b, "dst").select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst")).distinct()
+
+
+def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
+    """(path, length): simple cycles of at most ``longest`` nodes, each once,
+    from its smallest node.  The number of joins is fixed by ``longest``."""
+    e = edges.select("src", "dst").distinct()
+    step = e.select(F.col("src").alias("__at"), F.col("dst").alias("__next"))
+    paths, out = e.where("src <= dst").select("src", F.array("src").alias("path"), F.col("dst").alias("next")), None
+    for n in range(1, longest + 1):
+        closed = paths.where("next = src").select("path", F.lit(n).alias("length"))
+        out = closed if out is None else out.unionAll(closed)
+        if n < longest:
+            grown = paths.where("next > src and not array_contains(path, next)").select("src", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("__at"))
+            paths = grown.join(step, "__at").select("src", "path", F.col("__next").alias("next"))
+    return out
+
+
+def hits(edges: DataFrame, iterations: int = 10) -> DataFrame:
+    """(node, hub, authority) after a fixed number of steps, scaled to sum 1 at
+    the end: the shares do not depend on the scale in between, and a step that
+    scales would use its own plan twice.  Nodes without exits (or entries) have 0."""
+    e = edges.select("src", "dst").distinct()
+
+    def scaled(sums: DataFrame, name: str) -> DataFrame:
+        total = sums.agg(F.sum("x").alias("t"))  # one row
+        return sums.crossJoin(F.broadcast(total)).select("node", (F.col("x") / F.col("t")).alias(name))
+
+    hub = e.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    for _ in range(iterations):
+        authority = e.join(hub.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x"))
+        hub = e.join(authority.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("x"))
+    both = scaled(hub, "hub").join(scaled(authority, "authority"), "node", "full_outer")
+    return both.fillna(0.0, ["hub", "authority"])

@@ -24,3 +24,17 @@ def evidence(items: DataFrame, candidate: str, kind: str, positive: str, weight:
     share = F.when(total > 0, F.col("pos") / total).otherwise(0.0)
     conf = F.least(F.lit(1.0), share + F.least(F.lit(0.2), F.lit(0.05) * F.col("kinds")) + F.when(F.col("strongest") >= 0.8, 0.1).otherwise(0.0))
     return out.select(candidate, *[F.round(c, 4).alias(c) for c in ("pos", "neg")], "kinds", F.round("strongest", 4).alias("strongest"), F.round("weakest", 4).alias("weakest"), F.round(conf, 4).alias("confidence"))
+
+
+def weighted(votes: DataFrame, context: str, option: str, weight: str) -> DataFrame:
+    """Per context: the option with the largest single weight (ties by name) and
+    the share of votes that agree with it; the votes are summed per option first."""
+    per = votes.groupBy(context, option).agg(F.count(F.lit(1)).alias("v"), F.max(weight).alias("w"))
+    order = F.struct(F.col("w"), F.col("v"), F.col(option))
+    out = per.groupBy(context).agg(F.max(order).alias("best"), F.sum("v").alias("n"))
+    return out.select(context, F.col(f"best.{option}").alias("winner"), F.round("best.w", 4).alias("score"), F.round(F.col("best.v") / F.col("n"), 4).alias("agreement"))
+
+
+def weakest_link(items: DataFrame, chain: str, item: str, strength: str) -> DataFrame:
+    """Per chain: the least strength and the first item that has it."""
+    return items.groupBy(chain).agg(F.min(strength).alias("strength"), F.min_by(item, F.struct(strength, item)).alias("weakest"))

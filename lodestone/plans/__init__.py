@@ -1,0 +1,5 @@
+"""Importing the package registers all queries."""
+
+from . import catalogue, wider
+
+__all__ = ["catalogue", "wider"]

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path where driver and executors both write
+    (``spark.checkpoint.dir``); where none is set, one is made here."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        root = context.getCheckpointDir()
+    return f"{root.rstrip('/')}/lodestone-{label}-{uuid.uuid4().hex}"
