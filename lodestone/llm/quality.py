@@ -8,8 +8,8 @@ the threshold is calibrated over all labelled rows.
 
 At scale: documents are scored in one narrow pass with the forest in the task's
 closure (``TREES`` x 2 ``SUBSAMPLE`` nodes, whatever the input).  Calibration
-reads the labelled documents once more and shuffles one count per score bucket
-and task.
+reads the documents once more; their statistics, not their texts, meet the
+labels, and one count per score bucket and task is shuffled.
 """
 
 from __future__ import annotations
@@ -179,8 +179,9 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     null labels count as none.  Without labelled bad rows nothing is rejected.
     """
     by = labels.where(F.col(id_col).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.min(quality) > 0).alias("__good"))
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(by, "__id")
-    own = common.written(with_statistics(own, "__text").drop("__text"), "labelled")
+    # The statistics first: what the join shuffles are a few numbers a row, not texts.
+    own = with_statistics(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").drop("__text")
+    own = common.written(own.join(by, "__id"), "labelled")
     ok = own.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT} * n_words")
     # The sample: the labelled rows with the smallest hashes, so reruns agree.
     sample = ok.orderBy(F.xxhash64("__id", F.lit(SEED)), "__id", "features").limit(SAMPLE).select("__good", "features").toPandas()
