@@ -52,3 +52,187 @@ def symbols(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], names=names)
 
     return files.where(F.col(text).isNotNull()).select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+
+
+#: Calls whose result is not to be trusted, calls that must not
+#: get such values, and words in the name of a call that makes them safe.
+SOURCES = ["input", "raw_input", "request.args.get", "request.form.get", "request.get_json", "os.environ.get", "os.getenv", "sys.stdin.read", "sys.argv"]
+SINKS = ["eval", "exec", "compile", "os.system", "os.popen", "subprocess.call", "subprocess.run", "subprocess.Popen", "cursor.execute", "pickle.loads", "open"]
+SANITISERS = ["escape", "sanit", "quote", "clean", "valid", "encode"]
+
+
+def _per_function(files: DataFrame, of, schema: str, types: list, path: str = "path", text: str = "text") -> DataFrame:
+    """Rows of ``of(function node)`` after (path, function), for each function of
+    each file that parses; one narrow pass in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ast
+
+        for batch in batches:
+            rows = []
+            for where, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    tree = ast.parse(code)
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                for node in ast.walk(tree):
+                    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                        rows += [(where, node.name, *r) for r in of(node)]
+            all_types = [pa.string(), pa.string(), *types]
+            columns = list(zip(*rows, strict=True)) or [()] * len(all_types)
+            names = ["path", "function", *(c.split()[0] for c in schema.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, all_types, strict=True)], names=names)
+
+    own = files.where(F.col(text).isNotNull()).select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
+    return own.mapInArrow(run, f"path string, function string, {schema}")
+
+
+def metrics(files: DataFrame) -> DataFrame:
+    """(path, name, cc, cognitive, nesting, params, n_lines) per function: cc is 1,
+    plus each branch, loop, handler and context, plus the further operands of
+    each and / or; cognitive counts if and loops; nesting is the deepest of these."""
+
+    def of(function):
+        import ast
+
+        nest, branch = (ast.If, ast.For, ast.While, ast.AsyncFor), (ast.If, ast.For, ast.While, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith)
+        cc, cognitive, deepest, todo = 1, 0, 0, [(c, 0) for c in ast.iter_child_nodes(function)]
+        while todo:
+            node, depth = todo.pop()
+            cc += isinstance(node, branch) + (len(node.values) - 1 if isinstance(node, ast.BoolOp) else 0)
+            inner = depth + isinstance(node, nest)
+            cognitive, deepest = cognitive + isinstance(node, nest), max(deepest, inner)
+            other = node.orelse if isinstance(node, ast.If) and len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) else []
+            todo += [(c, depth if c in other else inner) for c in ast.iter_child_nodes(node)]
+        a = function.args
+        yield cc, cognitive, deepest, len(a.posonlyargs + a.args + a.kwonlyargs), function.end_lineno - function.lineno + 1
+
+    out = _per_function(files, of, "cc int, cognitive int, nesting int, params int, n_lines int", [pa.int32()] * 5)
+    return out.withColumnRenamed("function", "name")
+
+
+def flow(files: DataFrame) -> DataFrame:
+    """(path, function, src, dst, kind): control flow between the statements of
+    each function, by their lines; 0 is the exit.  An exception may leave every
+    statement of a try body for its handlers."""
+
+    def of(function):
+        import ast
+
+        edges, leave = [], []
+
+        def link(ends, to):
+            edges.extend((src, to, kind) for src, kind in ends)
+
+        def block(body, ends, loop):
+            for s in body:
+                if not ends:
+                    break  # not reached
+                back = isinstance(s, (ast.For, ast.AsyncFor, ast.While))
+                link(ends, s.lineno)
+                ends = [(s.lineno, "next")]
+                if isinstance(s, ast.If):
+                    ends = block(s.body, [(s.lineno, "true")], loop) + block(s.orelse, [(s.lineno, "false")], loop)
+                elif back:
+                    own = {"break": [], "continue": []}
+                    inner = block(s.body, [(s.lineno, "true")], own)
+                    link([(x, "loop" if k == "next" else k) for x, k in inner + own["continue"]], s.lineno)
+                    ends = own["break"] + block(s.orelse, [(s.lineno, "false")], loop)
+                elif isinstance(s, (ast.With, ast.AsyncWith)):
+                    ends = block(s.body, ends, loop)
+                elif isinstance(s, ast.Try):
+                    raised = [(x.lineno, "except") for x in s.body]
+                    ends = block(s.orelse, block(s.body, ends, loop), loop) if s.orelse else block(s.body, ends, loop)
+                    for h in s.handlers:
+                        link(raised, h.lineno)
+                        ends = ends + block(h.body, [(h.lineno, "next")], loop)
+                    ends = block(s.finalbody, ends, loop)
+                elif isinstance(s, (ast.Return, ast.Raise)):
+                    leave.append((s.lineno, type(s).__name__.lower()))
+                    ends = []
+                elif isinstance(s, (ast.Break, ast.Continue)) and loop is not None:
+                    kind = type(s).__name__.lower()
+                    loop[kind].append((s.lineno, kind))
+                    ends = []
+            return ends
+
+        link(block(function.body, [(function.lineno, "next")], None) + leave, 0)
+        return edges
+
+    return _per_function(files, of, "src int, dst int, kind string", [pa.int32(), pa.int32(), pa.string()])
+
+
+def dominators(edges: DataFrame) -> DataFrame:
+    """(path, function, node, dominator): the closest other node on every way from
+    the entry.  A function's edges are one small group."""
+
+    def of(keys, frame):
+        import pandas as pd
+
+        entry, before = frame["src"].iloc[0], {}
+        nodes = set(frame["src"]) | set(frame["dst"])
+        for a, b in zip(frame["src"], frame["dst"], strict=True):
+            before.setdefault(b, set()).add(a)
+        entry = next(iter(nodes - set(before)), entry)
+        dom, changed = {n: nodes if n != entry else {entry} for n in nodes}, True
+        while changed:
+            changed = False
+            for n in nodes - {entry}:
+                new = {n} | set.intersection(*(dom[p] for p in before[n]))
+                changed, dom[n] = changed or new != dom[n], new
+        rows = [(*keys, n, max(dom[n] - {n}, key=lambda x: len(dom[x]))) for n in nodes if n != entry]
+        return pd.DataFrame(rows, columns=["path", "function", "node", "dominator"])
+
+    return edges.groupBy("path", "function").applyInPandas(of, "path string, function string, node int, dominator int")
+
+
+def taints(files: DataFrame) -> DataFrame:
+    """(path, function, source, sink, line_no, sanitised): values of a source call
+    that reach an argument of a sink call in the same function, through
+    assignments and calls.  ``sanitised`` where every value that reaches the
+    sink went through a call named like a sanitiser."""
+
+    def of(function):
+        import ast
+
+        known: dict[str, set] = {}  # variable: (source, safe)
+        found = set()
+
+        def value(node) -> set:
+            if isinstance(node, ast.Name):
+                return known.get(node.id, set())
+            got = set().union(*map(value, ast.iter_child_nodes(node)))
+            if isinstance(node, ast.Call):
+                name = ast.unparse(node.func)
+                if name in SINKS:
+                    found.update((src, name, node.lineno, safe) for src, safe in got)
+                if any(w in name.lower() for w in SANITISERS):
+                    got = {(src, True) for src, _ in got}
+                if name in SOURCES:
+                    got = got | {(name, False)}
+            return got
+
+        for _ in range(2):  # a second pass for values carried round a loop
+            for node in sorted((n for n in ast.walk(function) if isinstance(n, ast.stmt) and n is not function), key=lambda n: (n.lineno, n.col_offset)):
+                if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and node.value is not None:
+                    got = value(node.value)
+                    for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
+                        for n in ast.walk(t):
+                            if isinstance(n, ast.Name) and got:
+                                known[n.id] = known.get(n.id, set()) | got
+                elif isinstance(node, (ast.Expr, ast.Return)) and node.value is not None:
+                    value(node.value)
+                elif isinstance(node, (ast.If, ast.While)):
+                    value(node.test)
+                elif isinstance(node, (ast.For, ast.AsyncFor)):
+                    got = value(node.iter)
+                    for n in ast.walk(node.target):
+                        if isinstance(n, ast.Name) and got:
+                            known[n.id] = known.get(n.id, set()) | got
+                elif isinstance(node, (ast.With, ast.AsyncWith)):
+                    for item in node.items:
+                        value(item.context_expr)
+        sinks = {(src, sink, line) for src, sink, line, _ in found}
+        return [(*s, all(safe for *k, safe in found if tuple(k) == s)) for s in sorted(sinks)]
+
+    return _per_function(files, of, "source string, sink string, line_no int, sanitised boolean", [pa.string(), pa.string(), pa.int32(), pa.bool_()])

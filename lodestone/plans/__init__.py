@@ -1,5 +1,5 @@
 """Importing the package registers all queries."""
 
-from . import catalogue, wider
+from . import catalogue, parsed, wider
 
-__all__ = ["catalogue", "wider"]
+__all__ = ["catalogue", "parsed", "wider"]
