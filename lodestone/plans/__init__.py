@@ -1,5 +1,5 @@
 """Importing the package registers all queries."""
 
-from . import catalogue, parsed, wider
+from . import catalogue, parsed, ranked, wider
 
-__all__ = ["catalogue", "parsed", "wider"]
+__all__ = ["catalogue", "parsed", "ranked", "wider"]
