@@ -18,13 +18,14 @@ where p at the deepest known node is its estimate.  The two decisions at a node
 sum to 1, so the scores are log probabilities of a proper distribution.
 
 At scale: counts of distinct (context, byte) pairs and of words are summed in
-the task, then shuffled.  The model's size has a bound: contexts of depth 3 and
-more that were seen fewer than ``least`` times are left to their parent, with
-``least`` the smallest power of two that leaves at most ``MOST`` pairs a depth;
-so the tree is built from bounded tables, and broadcast.  The word counts of the
-base score have no such bound: words with a count in the upper classes that hold
-at most ``HOT`` words are broadcast; the other words of a document meet their
-counts in a join.
+the task, then shuffled.  The tree is whole: no context is left out.  Pairs with
+the same ``TOP`` nearest bytes of context stand in one subtree, which a task
+builds (a group's pairs must fit a task); the driver joins the subtrees' roots,
+fewer than 2^24, to the levels above, and with these each task gives the distinct
+pairs of its subtrees their code lengths.  The lengths form a table that grows
+with the text, as the word counts of the base score do.  Of both, the classes of
+the most frequent entries (at most ``MOST`` pairs, ``HOT`` words) are broadcast; a
+document's other pairs and words meet their entries in a join.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ from pyspark.sql import types as T
 from . import common
 
 DEPTH = 5  # bytes of context, at most 7
-MOST = 1 << 19  # (context, byte) pairs of a depth: some 50 MB of nodes
+TOP = 2  # nearest bytes of context that name a subtree
+MOST = 1 << 19  # broadcast code lengths: some 50 MB as a hash table
 HOT = 200_000  # broadcast word counts
 KEEP = 400_000  # words or pairs that a task sums before it sends them on
 CHUNK = 4_000_000  # bytes of text worked on at once
@@ -117,12 +119,17 @@ def decisions(code: np.ndarray, count: np.ndarray, level: int) -> tuple[np.ndarr
     return key[start], n - b, b
 
 
-def tree(pairs: dict) -> dict:
+def shorter(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs without the context byte farthest from the predicted one."""
+    return summed(((code >> np.uint64(16)) << np.uint64(8)) | (code & np.uint64(255)), n)
+
+
+def grown(pairs: dict, nodes: dict) -> tuple[dict, dict]:
     """(depth, level) -> sorted keys, estimate of a one, its share, from
-    depth -> (sorted (context, byte) codes, counts)."""
+    depth -> (sorted (context, byte) codes, counts); and level -> keys, log Pw, a,
+    b of the least depth.  ``nodes`` has these of the depth below, or nothing."""
     out: dict = {}
-    nodes: dict = {}  # of the depth below: keys, log Pw, a, b
-    for d in range(max(pairs), -1, -1):
+    for d in sorted(pairs, reverse=True):
         pair, n = pairs[d]
         here: dict = {}
         for level in range(8):
@@ -138,15 +145,17 @@ def tree(pairs: dict) -> dict:
                 up = ((below[0] >> np.uint64(level + 8)) << np.uint64(level)) | (below[0] & np.uint64((1 << level) - 1))
                 at = np.searchsorted(key, up)
                 product = np.bincount(at, below[1], len(key))
-                # What no kept child holds is coded by an estimate of its own.
-                rest = [x - np.bincount(at, y, len(key)) for x, y in ((a, below[2]), (b, below[3]))]
-                product = product + log_kt(*rest)
                 weighted = np.logaddexp(kt, product) - np.log(2)
                 share = 1 / (1 + np.exp(np.clip(product - kt, -60, 60)))  # beta / (beta + 1)
             out[d, level] = (key, ((b + 0.5) / (a + b + 1.0)).astype(np.float32), share.astype(np.float32))
             here[level] = (key, weighted, a, b)
         nodes = here
-    return out
+    return out, nodes
+
+
+def tree(pairs: dict) -> dict:
+    """The nodes of a whole tree, as of ``grown``."""
+    return grown(pairs, {})[0]
 
 
 class Model:
@@ -186,8 +195,12 @@ class Model:
 
     def remember(self, code: np.ndarray) -> None:
         """Keeps the code lengths of these codes (the most frequent first) in a
-        hash table: each key in the first free of its ``PROBES`` places."""
-        values = self.bits(code).astype(np.float32)
+        hash table."""
+        self.fill(code, self.bits(code).astype(np.float32))
+
+    def fill(self, code: np.ndarray, values: np.ndarray) -> None:
+        """Keeps these code lengths, each key in the first free of its ``PROBES``
+        places."""
         self.shift = np.uint64(64 - max(10, (4 * len(code)).bit_length()))
         self.keys = np.full(1 << int(64 - self.shift), np.uint64(2**64 - 1))
         self.values = np.zeros(len(self.keys), np.float32)
@@ -208,9 +221,8 @@ class Model:
         with np.errstate(over="ignore"):
             return ((code ^ (code >> np.uint64(23))) * self._ODD[probe]) >> self.shift
 
-    def lengths(self, code: np.ndarray) -> np.ndarray:
-        """As ``bits``, by table where remembered; other equal codes are
-        computed once."""
+    def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code lengths by table, and the positions that it does not have."""
         at = self._places(code, 0)
         out = self.values[at]
         rest = np.flatnonzero(self.keys[at] != code)
@@ -219,6 +231,12 @@ class Model:
             hit = self.keys[at] == code[rest]
             out[rest[hit]] = self.values[at[hit]]
             rest = rest[~hit]
+        return out, rest
+
+    def lengths(self, code: np.ndarray) -> np.ndarray:
+        """As ``bits``, by table where remembered; other equal codes are
+        computed once."""
+        out, rest = self.known(code)
         own, back = np.unique(code[rest], return_inverse=True)
         out[rest] = self.bits(own)[back]
         return out
@@ -233,84 +251,139 @@ def held_out(doc_id: Column) -> Column:
 
 
 def gathered(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """(word, code, n) sums over the texts: of words (code null; the end token
-    is the empty word) and of (context, byte) pairs (word null)."""
+    """(word, code, n, m) sums over the texts, n of the training rows and m of
+    all: of words of training rows (code null; the end token is the empty word)
+    and of (context, byte) pairs (word null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        def rows(word, code, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["word", "code", "n"])
+        def rows(word, code, n, m) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["word", "code", "n", "m"])
+
+        def counted(words) -> pa.RecordBatch:
+            return rows(list(words), [None] * len(words), list(words.values()), list(words.values()))
 
         words: Counter = Counter()
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held = none
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for t in texts:
-                words.update(t.lower().split())
-                if len(words) > KEEP:
-                    yield rows(list(words), [None] * len(words), list(words.values()))
-                    words.clear()
-            words[b""] += len(texts)
-            for run in chunks([p for t in texts for p in parts(t, depth)], lambda p: len(p[1])):
-                code, _ = codes(run, depth)
-                code, n = np.unique(code, return_counts=True)
-                held = summed(np.concatenate([held[0], code]), np.concatenate([held[1], n]))
-                if len(held[0]) > 4 * KEEP:
-                    yield rows([None] * len(held[0]), held[0].view(np.int64), held[1])
-                    held = (held[0][:0], held[1][:0])
-        if words:
-            yield rows(list(words), [None] * len(words), list(words.values()))
+            every = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for learned in (True, False):
+                texts = [t for t, out in every if out != learned]
+                if learned:
+                    for t in texts:
+                        words.update(t.lower().split())
+                        if len(words) > KEEP:
+                            yield counted(words)
+                            words.clear()
+                    words[b""] += len(texts)
+                for run in chunks([p for t in texts for p in parts(t, depth)], lambda p: len(p[1])):
+                    code, _ = codes(run, depth)
+                    code, m = np.unique(code, return_counts=True)
+                    n = m if learned else np.zeros_like(m)
+                    held = summed(*(np.concatenate(x) for x in zip(held, (code, n, m), strict=True)))
+                    if len(held[0]) > 4 * KEEP:
+                        yield rows([None] * len(held[0]), held[0].view(np.int64), *held[1:])
+                        held = none
+        if +words:
+            yield counted(+words)
         if len(held[0]):
-            yield rows([None] * len(held[0]), held[0].view(np.int64), held[1])
-
-    return docs.select(common.as_bytes(text_col)).mapInArrow(run, "word binary, code long, n long")
-
-
-def fitted(pairs: DataFrame, depth: int) -> tuple[Model, np.ndarray]:
-    """The model of (code, n) rows, and its codes of full depth."""
-    tables = {}
-    for d in range(depth, -1, -1):
-        if d < depth:
-            # Without the byte farthest from the predicted one.
-            context = F.shiftrightunsigned("code", 16) if d else F.lit(0).cast("long")
-            byte = F.col("code").bitwiseAND(F.lit(255))
-            pairs = common.written(pairs.groupBy(F.shiftleft(context, 8).bitwiseOR(byte).alias("code")).agg(F.sum("n").alias("n")), "pairs")
-        kept = pairs
-        if d > 2:
-            of = pairs.groupBy(F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("k"))
-            of = common.written(of, "contexts")
-            classes = {r["c"]: r["k"] for r in of.groupBy(F.floor(F.log2("seen")).alias("c")).agg(F.sum("k").alias("k")).collect()}  # 64 at most
-            least, total = 0, sum(classes.values())
-            while total > MOST:
-                total -= classes.get(least, 0)
-                least += 1
-            if least:
-                kept = pairs.withColumn("context", F.shiftrightunsigned("code", 8)).join(of.where(F.col("seen") >= F.lit(1 << least)), "context").select("code", "n")
-        got = kept.select("code", "n").toArrow()  # MOST rows at most; below depth 3: 2 ** 24
-        code = got["code"].to_numpy().view(np.uint64)
+            yield rows([None] * len(held[0]), held[0].view(np.int64), *held[1:])
+
+    return docs.select(common.as_bytes(text_col), "held_out").mapInArrow(run, "word binary, code long, n long, m long")
+
+
+def groups(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[tuple]:
+    """Columns (code, n, m) of whole groups of equal ``code >> shift``, sorted by
+    code, from batches that have a group's rows together: KEEP rows or one group."""
+    held, size, least = [], 0, KEEP
+    for batch in batches:
+        held.append([batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+        size += batch.num_rows
+        if size < least:
+            continue
+        code, *rest = map(np.concatenate, zip(*held, strict=True))
+        others = np.flatnonzero((code >> np.uint64(shift)) != (code[-1] >> np.uint64(shift)))
+        cut = others[-1] + 1 if len(others) else 0
+        if cut:
+            order = np.argsort(code[:cut])
+            yield tuple(x[:cut][order] for x in (code, *rest))
+        held, size = [[x[cut:] for x in (code, *rest)]], len(code) - cut
+        least = max(KEEP, 2 * size)
+    if size:
+        code, *rest = map(np.concatenate, zip(*held, strict=True))
         order = np.argsort(code)
-        tables[d] = (code[order], got["n"].to_numpy()[order])
-        del got
-    deepest = tables[depth]
-    return Model(depth, tree(tables)), deepest[0][np.argsort(-deepest[1], kind="stable")]
+        yield tuple(x[order] for x in (code, *rest))
+
+
+def subtrees(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[dict, dict]:
+    """``grown`` of the depths from ``top`` for pairs of full depth; pairs that
+    no training row has (n = 0) make no node."""
+    pairs = {depth: (code[n > 0], n[n > 0])}
+    for d in range(depth - 1, top - 1, -1):
+        pairs[d] = shorter(*pairs[d + 1])
+    return grown(pairs, {})
+
+
+def code_lengths(pairs: DataFrame, depth: int) -> DataFrame:
+    """(code, m, bits) of (code, n, m) rows: code lengths by the whole tree."""
+    top = min(TOP, depth)
+    shift = 8 * (depth - top + 1)
+    dealt = pairs.select("code", "n", "m").repartition(F.shiftrightunsigned("code", shift)).sortWithinPartitions("code")
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n, _ in groups(batches, shift):
+            _, nodes = subtrees(code, n, depth, top)
+            for level, (key, weighted, a, b) in nodes.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(weighted), pa.array(a), pa.array(b)], names=["level", "key", "weighted", "a", "b"])
+
+    got = dealt.mapInArrow(roots, "level int, key long, weighted double, a long, b long").toArrow()  # 2 ** 24 rows at most
+    level, key = got["level"].to_numpy(), got["key"].to_numpy().view(np.uint64)
+    weighted, a, b = (got[c].to_numpy() for c in ("weighted", "a", "b"))
+    nodes = {k: (key[own], weighted[own], a[own], b[own]) for k in range(8) for own in [np.flatnonzero(level == k)]}
+    key, _, a, b = nodes[7]
+    code, n = summed(np.concatenate([key << np.uint64(1), (key << np.uint64(1)) | np.uint64(1)]), np.concatenate([a, b]))
+    above, pair = {}, (code[n > 0], n[n > 0])
+    for d in range(top - 1, -1, -1):
+        above[d] = pair = shorter(*pair)
+    shared = pairs.sparkSession.sparkContext.broadcast(grown(above, nodes)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n, m in groups(batches, shift):
+            bits = Model(depth, shared.value | subtrees(code, n, depth, top)[0]).bits(code)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(m), pa.array(bits)], names=["code", "m", "bits"])
+
+    return common.written(dealt.mapInArrow(run, "code long, m long, bits double"), "lengths")
 
 
 _models: dict = {}
 
 
 def _loaded(shared) -> Model:
-    """The broadcast model with its table, made once in each worker process."""
-    model, frequent = shared.value
+    """The broadcast code lengths as a table, made once in each worker process."""
     key = getattr(shared, "_bid", id(shared))
     if key not in _models:
         _models.clear()
-        if len(frequent):
-            model.remember(frequent)
+        model = Model(0, {})
+        if len(shared.value[0]):
+            model.fill(*shared.value)
         _models[key] = model
     return _models[key]
 
 
+def far_lists(doc: list, code: list, n_docs: int) -> pa.ListArray:
+    """Each document's distinct codes with their numbers, from positions."""
+    doc, code = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((doc, np.int64), (code, np.uint64)))
+    order = np.lexsort((code, doc))
+    doc, code = doc[order], code[order]
+    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, int)
+    n = np.diff(np.append(start, len(doc)))
+    offsets = np.searchsorted(doc[start], np.arange(n_docs + 1)).astype(np.int32)
+    both = pa.StructArray.from_arrays([pa.array(code[start].view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets), both)
+
+
 def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte for each row of ``docs``.
@@ -322,18 +395,28 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    sums = common.written(gathered(own.where(~F.col("held_out")), "text", depth).groupBy("word", "code").agg(F.sum("n").alias("n")), "sums")
+    sums = common.written(gathered(own, "text", depth).groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "sums")
     words = sums.where("word is not null").select("word", "n")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    model, frequent = fitted(sums.where("code is not null").select("code", "n"), depth)
+    lengths = code_lengths(sums.where("code is not null"), depth)
+    eighth = F.floor(F.log2("m") * 8)
+    classes = {r["c"]: r["k"] for r in lengths.groupBy(eighth.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}  # 512 at most
+    least, hot = 512, 0
+    while least and hot + classes.get(least - 1, 0) <= MOST:
+        least -= 1
+        hot += classes.get(least, 0)
+    got = lengths.where(eighth >= least).toArrow()  # MOST at most
+    order = np.argsort(-got["m"].to_numpy(), kind="stable")
+    frequent = got["code"].to_numpy().view(np.uint64)[order], got["bits"].to_numpy()[order].astype(np.float32)
+    del got
     classes = {r["c"]: r["k"] for r in words.groupBy(F.floor(F.log2("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}  # 64 at most
     low, hot = 64, 0
     while low and hot + classes.get(low - 1, 0) <= HOT:
         low -= 1
         hot += classes.get(low, 0)
     counts = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= F.lit(float(2**low))).toLocalIterator()}  # HOT at most
-    shared, known = spark.sparkContext.broadcast((model, frequent)), spark.sparkContext.broadcast(counts)
+    shared, known = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(counts)
     floor = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,30 +428,38 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
         for batch in batches:
             rows = []
             texts = batch.column(2).to_pylist()
-            bits = np.zeros(len(texts))
+            bits, far = np.zeros(len(texts)), ([], [])
             flat = [(i, *p) for i, t in enumerate(texts) for p in parts(t, depth)]
             for run in chunks(flat, lambda p: len(p[2])):
                 code, sizes = codes([p[1:] for p in run], depth)
-                np.add.at(bits, [p[0] for p in run], np.add.reduceat(model.lengths(code).astype(float), np.cumsum([0, *sizes])[:-1]))
+                length, rest = model.known(code)
+                length[rest] = 0
+                np.add.at(bits, [p[0] for p in run], np.add.reduceat(length.astype(float), np.cumsum([0, *sizes])[:-1]))
+                far[0].append(np.repeat([p[0] for p in run], sizes)[rest])
+                far[1].append(code[rest])
             for t, b in zip(texts, bits.tolist(), strict=True):
                 tokens = t.lower().split()
                 tokens.append(b"")
                 found = list(map(logs.get, tokens))
                 rare = [w for w, f in zip(tokens, found, strict=True) if f is None]
                 base = sum(f[1] for f in found if f is not None)
-                rows.append({"key": key, "n_tokens": len(tokens), "hot_known": len(tokens) - len(rare), "hot_base": base, "score": -b * float(np.log10(2)), "bits_per_byte": b / (len(t) + 1), "rare": rare})
+                rows.append({"key": key, "n_tokens": len(tokens), "hot_known": len(tokens) - len(rare), "hot_base": base, "hot_bits": b, "n_bytes": len(t) + 1, "rare": rare})
                 key += 1
-            new = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()), ("rare", pa.list_(pa.binary()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new.columns], names=["doc_id", "held_out", *new.schema.names])
+            new = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("hot_bits", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.binary()))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new.columns, far_lists(*far, len(texts))], names=["doc_id", "held_out", *new.schema.names, "far"])
 
-    schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, key long, n_tokens long, hot_known long, hot_base double, score double, bits_per_byte double, rare array<binary>").fields])
+    schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, key long, n_tokens long, hot_known long, hot_base double, hot_bits double, n_bytes long, rare array<binary>, far array<struct<code:long,n:long>>").fields])
     table = common.written(own.select("doc_id", "held_out", common.as_bytes("text").alias("text")).mapInArrow(run, schema), "scored")
     # The other words, once per document with their number, against the counts.
     rest = table.select("key", F.explode("rare").alias("word")).join(words, "word", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
     rest = rest.groupBy("key").agg(F.sum(F.log10((F.col("n") + 1) / F.lit(floor))).alias("base"), F.sum((F.col("n") > 0).cast("long")).alias("known"))
-    out = table.drop("rare").join(rest, "key", "left")
+    # The other pairs likewise, against the code lengths.
+    far = table.select("key", F.inline("far")).join(lengths.where(eighth < least).select("code", "bits"), "code")
+    far = far.groupBy("key").agg(F.sum(F.col("n") * F.col("bits")).alias("far_bits"))
+    out = table.drop("rare", "far").join(rest, "key", "left").join(far, "key", "left")
+    bits = F.col("hot_bits") + F.coalesce("far_bits", F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte"
+        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (-bits * float(np.log10(2))).alias("score"), (bits / F.col("n_bytes")).alias("bits_per_byte")
     )
 
 

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import binary, counts, ctw, decontam, html, mixing, neardup, pii, quality, urls
@@ -222,6 +223,38 @@ def test_byte_score(docs, none):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got) and ctw.scored(none).count() == 0
 
 
+def test_byte_score_has_the_whole_tree(docs):
+    rows = [(("" if i is None else str(i)), (t or "").encode()) for i, t, _ in texts()]
+    own = [ctw.parts(t, ctw.DEPTH) for i, t in rows if zlib.crc32(i.encode()) % 7 != 2]
+    code, _ = ctw.codes([p for parts in own for p in parts], ctw.DEPTH)
+    tables = {}
+    for d in range(ctw.DEPTH + 1):
+        context = code >> np.uint64(8 * (ctw.DEPTH - d + 1)) if d else np.zeros_like(code)
+        tables[d] = np.unique((context << np.uint64(8)) | (code & np.uint64(255)), return_counts=True)
+    model = ctw.Model(ctw.DEPTH, ctw.tree(tables))
+    want = sorted(-model.bits(ctw.codes(ctw.parts(t, ctw.DEPTH), ctw.DEPTH)[0]).sum() * math.log10(2) for _, t in rows)
+    most = ctw.MOST
+    try:  # whatever is broadcast
+        for ctw.MOST in (most, 64):
+            got = sorted(r["score"] for r in ctw.scored(docs).collect())
+            assert np.allclose(got, want, rtol=1e-5)
+    finally:
+        ctw.MOST = most
+
+
+def test_groups_stay_together():
+    code = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 5000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)] * 3, names=["code", "n", "m"]) for x in np.array_split(code, 50)]
+    keep = ctw.KEEP
+    try:
+        ctw.KEEP = 300
+        runs = [r[0] for r in ctw.groups(batches, 14)]
+    finally:
+        ctw.KEEP = keep
+    assert len(runs) > 5 and (np.concatenate(runs) == code.astype(np.uint64)).all()
+    assert all(x[-1] >> np.uint64(14) < y[0] >> np.uint64(14) for x, y in zip(runs, runs[1:], strict=False))
+
+
 def test_token_counts(docs, none):
     pieces = {"▁a": -1.0, "ab": -1.2, "b": -2.0, "▁": -1.5, "▁ab": -4.0, "a": -1.1}
     trie = counts.Trie(pieces)
