@@ -11,13 +11,14 @@ both entropies to the base of the number of pages that have the node (a node
 that looks and reads the same on every page has 0, one that always differs 1).
 ``role`` is 0 for what HTML itself declares as outside the main text (menus,
 headers, footers, sidebars, forms, scripts, and classes of adverts, notices and
-comments) and 1 otherwise.  Nodes of an article are never below the limit.
-Branches under a node of low importance are removed from each page.
-
-At scale: one narrow pass emits a row per page and node (path, style hash,
-content hash), counted by host before the shuffle; the nodes of low importance
-are joined back by host.  A host with few pages has no statistics to go by:
-then the roles decide.
+comments) and 1 otherwise.  Branches under a node of low importance are removed
+from each page, in articles too.  An article mark is a prior: it multiplies the
+odds of what it holds by ``PRIOR``, and divides those of the text beside it.
+
+At scale: one narrow pass emits a row per distinct page and node (hash of the full
+path, style hash, content hash), counted by host before the shuffle; the nodes
+that the entropies decide on are joined back by host.  A host with few pages has
+no statistics to go by: then the roles and the article mark decide.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from . import common
 
 MIN_PAGES = 5  # pages of a host with the node, from which entropies count
 LIMIT = 0.3
-DEPTH = 12  # path steps of a node's name; deeper elements belong to that node
+PRIOR = 4  # odds of an article mark
+ARTICLE_LIMIT = LIMIT / (LIMIT + PRIOR * (1 - LIMIT))  # in an article: 0.1
+BESIDE_LIMIT = PRIOR * LIMIT / (PRIOR * LIMIT + 1 - LIMIT)  # beside one: 0.63
 
 #: What HTML declares or sites name as outside the main text.
 OUTSIDE = set("head script style noscript template svg iframe object nav header footer aside form button select textarea dialog menu".split())
@@ -52,10 +55,22 @@ _SPACES = re.compile(r"\s+")
 class Block:
     """A run of text between block borders, with the node it hangs from."""
 
-    __slots__ = ("article", "outside", "path", "text")
+    __slots__ = ("article", "node", "outside", "text")
+
+    def __init__(self, node: int, text: str, outside: bool, article: bool):
+        self.node, self.text, self.outside, self.article = node, text, outside, article
+
 
-    def __init__(self, path: tuple, text: str, outside: bool, article: bool):
-        self.path, self.text, self.outside, self.article = path, text, outside, article
+class Page:
+    """The blocks of a page in order and its element nodes: parent's number, hash
+    of the full path, outside, article; by path the children's names and the texts
+    below (a polynomial hash with its power: texts in the page's order)."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parents, self.paths, self.outside, self.article = [0], [0], [False], [False]
+        self.children: dict[int, list[str]] = {}
+        self.texts: dict[int, tuple[int, int]] = {}
 
 
 def _outside(tag: str, names: list[str], in_article: bool) -> bool:
@@ -64,11 +79,18 @@ def _outside(tag: str, names: list[str], in_article: bool) -> bool:
     return any(t in OUTSIDE_NAMES for n in names for t in _TOKENS.findall(n.lower())) and tag not in ("body", "html", "article", "main")
 
 
-def parse(page: str) -> tuple[list[Block], dict[tuple, list[str]]]:
-    """The blocks of a page in order, and the children of each node."""
-    blocks: list[Block] = []
-    children: dict[tuple, list[str]] = {}
-    stack: list[tuple[str, tuple, bool, bool]] = [("", (), False, False)]  # tag, path, outside, article
+_BASE, _PRIME = 0x1F123BB5159A55E5, 2**61 - 1
+
+
+def _joined(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    return (a[0] * b[1] + b[0]) % _PRIME, a[1] * b[1] % _PRIME
+
+
+def parse(page: str) -> Page:
+    import xxhash
+
+    out = Page()
+    stack: list[list] = [["", 0, (0, 1)]]  # tag, node, texts
     own: list[str] = []
 
     def flush() -> None:
@@ -76,8 +98,17 @@ def parse(page: str) -> tuple[list[Block], dict[tuple, list[str]]]:
             text = _SPACES.sub(" ", _html.unescape("".join(own))).strip()
             own.clear()
             if text:
-                _, path, outside, article = stack[-1]
-                blocks.append(Block(path, text, outside, article))
+                _, node, texts = stack[-1]
+                out.blocks.append(Block(node, text, out.outside[node], out.article[node]))
+                stack[-1][2] = _joined(texts, (xxhash.xxh64_intdigest(text) % _PRIME, _BASE))
+
+    def leave(k: int) -> None:
+        while len(stack) > k:
+            _, node, texts = stack.pop()
+            if texts[1] != 1:
+                path = out.paths[node]
+                out.texts[path] = _joined(out.texts.get(path, (0, 1)), texts)
+                stack[-1][2] = _joined(stack[-1][2], texts)
 
     at, end = 0, len(page)
     while at < end:
@@ -95,7 +126,7 @@ def parse(page: str) -> tuple[list[Block], dict[tuple, list[str]]]:
                 if tag in CLOSES:  # an omitted end tag
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] in CLOSES[tag]:
-                            del stack[k:]
+                            leave(k)
                             break
                         if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body"):
                             break
@@ -107,23 +138,27 @@ def parse(page: str) -> tuple[list[Block], dict[tuple, list[str]]]:
                 close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
                 continue
-            _, path, outside, article = stack[-1]
+            up = stack[-1][1]
             if tag in BLOCKS or tag in OUTSIDE:
                 names = [next(filter(None, x), "") for x in _NAMES.findall(m[2])]
-                name = ".".join([tag, *sorted(set(" ".join(names).split()))[:3]])
-                children.setdefault(path, []).append(name)
-                inner = article or tag in ("article", "main")
-                stack.append((tag, (*path, name)[:DEPTH], outside or tag == "title" or _outside(tag, names, article), inner))
+                name = ".".join([tag, *sorted(set(" ".join(names).split()))])
+                out.children.setdefault(out.paths[up], []).append(name)
+                stack.append([tag, len(out.paths), (0, 1)])
+                out.parents.append(up)
+                out.paths.append(xxhash.xxh64_intdigest(name, out.paths[up]))
+                out.outside.append(out.outside[up] or tag == "title" or _outside(tag, names, out.article[up]))
+                out.article.append(out.article[up] or tag in ("article", "main"))
         elif m[3]:
             tag = m[3].lower()
             if tag in BLOCKS or tag in OUTSIDE:
                 flush()
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        leave(k)
                         break
     flush()
-    return blocks, children
+    leave(1)
+    return out
 
 
 def host(url: Column) -> Column:
@@ -137,68 +172,72 @@ def _hash(text: str) -> int:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content) of each node of the hosts."""
-    schema = T.StructType.fromDDL("nodes array<struct<path:string,style:long,content:long>>")
+    """(host, path, article, beside, pages, presentation, content) of each node of
+    the hosts, over their different pages, without what is outside by its role.
+    ``beside``: the node has text of its own and is in no article."""
+    schema = T.StructType.fromDDL("nodes array<struct<path:long,style:long,content:long,article:boolean,beside:boolean>>")
 
     def make():
         def run(values: list) -> dict:
             out = []
             for v in values:
-                blocks, children = parse(v or "")
-                texts: dict[tuple, list[str]] = {}
-                for b in blocks:
-                    for d in range(1, len(b.path) + 1):
-                        texts.setdefault(b.path[:d], []).append(b.text)
+                page = parse(v or "")
+                beside = {page.paths[b.node] for b in page.blocks if not b.article}
                 # Repeated siblings are one step of a style: a list of four
                 # items looks like one of five.
-                style = {p: ",".join(x for x, y in zip(c, [None, *c], strict=False) if x != y) for p, c in children.items()}
-                out.append([{"path": "/".join(p), "style": _hash(style.get(p, "")), "content": _hash("\n".join(t))} for p, t in texts.items()])
+                style = {p: ",".join(x for x, y in zip(c, [None, *c], strict=False) if x != y) for p, c in page.children.items()}
+                kinds = {p: a for p, a, o in zip(page.paths, page.article, page.outside, strict=True) if not o and p in page.texts}
+                out.append([{"path": p - 2**63, "style": _hash(style.get(p, "")), "content": page.texts[p][0], "article": a, "beside": p in beside} for p, a in kinds.items()])
             return {"nodes": out}
 
         return run
 
-    own = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("__html"))
-    rows = common.append(own, schema, F.col("__html"), make).select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+    text = F.col(html_col).cast("string")
+    own = common.append(pages.select(host(F.col(url_col)).alias("host"), F.xxhash64(text).alias("digest"), text.alias("__html")), schema, F.col("__html"), make)
+    # Copies of a page say nothing about what the host's pages share.
+    rows = own.select("host", "digest", "nodes").dropDuplicates(["host", "digest"]).select("host", F.inline("nodes"))
     # Counts per value first: they are summed before the shuffle.
     parts = []
     for kind in ("style", "content"):
-        n = rows.groupBy("host", "path", F.col(kind).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        n = rows.groupBy("host", "path", F.col(kind).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.bool_or("article").alias("article"), F.bool_or("beside").alias("beside"))
         parts.append(n.withColumn("kind", F.lit(kind)))
     counts = parts[0].unionByName(parts[1])
     total = F.sum("n")
     entropy = (F.log(total) - F.sum(F.col("n") * F.log("n")) / total) / F.log(total)
-    by = counts.groupBy("host", "path", "kind").agg(total.alias("pages"), F.when(total > 1, entropy).otherwise(1.0).alias("h"))
-    return by.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == "style", F.col("h"))).alias("presentation"), F.max(F.when(F.col("kind") == "content", F.col("h"))).alias("content"))
+    by = counts.groupBy("host", "path", "kind").agg(total.alias("pages"), F.bool_or("article").alias("article"), F.bool_or("beside").alias("beside"), F.when(total > 1, entropy).otherwise(1.0).alias("h"))
+    return by.groupBy("host", "path").agg(F.bool_or("article").alias("article"), F.bool_or("beside").alias("beside"), F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == "style", F.col("h"))).alias("presentation"), F.max(F.when(F.col("kind") == "content", F.col("h"))).alias("content"))
 
 
 def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars.
 
     Null and empty html give the empty text; pages of a null url or one without
-    a host form the tree of the host ''; repeated pages lower the entropies of
-    what they repeat outside articles only; columns of these names in ``pages``
-    are replaced.
+    a host form the tree of the host ''; copies of a page count once in the
+    entropies; columns of these names in ``pages`` are replaced.
     """
-    tree = style_tree(pages, url_col, html_col)
-    low = tree.where((F.col("pages") >= MIN_PAGES) & (F.greatest("presentation", "content") < LIMIT))
-    low = common.written(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("__low")), "styles")
+    importance = F.greatest("presentation", "content")
+    low = importance < F.when(F.col("article"), ARTICLE_LIMIT).otherwise(LIMIT)
+    high = F.col("beside") & (importance >= BESIDE_LIMIT)
+    tree = style_tree(pages, url_col, html_col).where(F.col("pages") >= MIN_PAGES).where(low | high)
+    tree = common.written(tree.groupBy("host").agg(F.sort_array(F.collect_set(F.when(low, F.col("path")))).alias("__low"), F.sort_array(F.collect_set(F.when(high, F.col("path")))).alias("__high")), "styles")
     base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")])
-    base = base.withColumn("__host", host(F.col(url_col))).join(low.withColumnRenamed("host", "__host"), "__host", "left").drop("__host")
+    base = base.withColumn("__host", host(F.col(url_col))).join(tree.withColumnRenamed("host", "__host"), "__host", "left").drop("__host")
     schema = T.StructType.fromDDL("text string, n_chars long")
 
     def make():
         def run(values: list) -> dict:
             out = []
             for v in values:
-                blocks, _ = parse(v["html"] or "")
-                drop = set(v["low"] or ())
-                # Where a page marks its article, the article is the main text.
-                marked = any(b.article and not b.outside for b in blocks)
+                page = parse(v["html"] or "")
+                drop, keep = set(v["low"] or ()), set(v["high"] or ())
+                gone = [False]  # by node: it or a node above is of low importance
+                for up, path in zip(page.parents[1:], page.paths[1:], strict=True):
+                    gone.append(gone[up] or path - 2**63 in drop)
+                # Text beside a page's article needs the entropies' word.
+                marked = any(b.article and not b.outside for b in page.blocks)
                 kept = []
-                for b in blocks:
-                    if b.outside or (marked and not b.article):
-                        continue
-                    if not b.article and drop and any("/".join(b.path[:d]) in drop for d in range(1, len(b.path) + 1)):
+                for b in page.blocks:
+                    if b.outside or gone[b.node] or (marked and not b.article and page.paths[b.node] - 2**63 not in keep):
                         continue
                     kept.append(b.text)
                 out.append(" ".join(kept))
@@ -206,8 +245,8 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
         return run
 
-    value = F.struct(F.col(html_col).cast("string").alias("html"), F.col("__low").alias("low"))
-    return common.append(base, schema, value, make).drop("__low")
+    value = F.struct(F.col(html_col).cast("string").alias("html"), F.col("__low").alias("low"), F.col("__high").alias("high"))
+    return common.append(base, schema, value, make).drop("__low", "__high")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

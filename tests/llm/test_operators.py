@@ -288,6 +288,21 @@ def test_main_text(spark):
     assert html.extracted(pages.limit(0)).count() == 0
 
 
+def test_main_text_by_the_tree(spark):
+    deep = "<div>" * 13
+    rows = [(i, f"http://a/{i}", f"<body><article><div class=x>read this first</div><p>text {i}</p></article></body>") for i in range(20)]
+    rows += [(100 + i, f"http://b/{i}", f"<body><div class=x>text {i}</div><article>same teaser</article></body>") for i in range(20)]
+    rows += [(200 + i, f"http://c/{i}", f"<body>{deep}<section>same words</section><p>text {i}</p></body>") for i in range(20)]
+    rows += [(300 + i, "http://d/", f"<body><article><p>text {i % 5}</p></article></body>") for i in range(50)]
+    rows += [(400 + i, "http://e/", "<body><article><p>a copy</p></article></body>") for i in range(50)]
+    rows += [(500, "http://a/copy", "<body><article>few</article><div>beside</div></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extracted(pages).collect()}
+    for i in range(20):  # notices in articles, text beside teasers, nodes below twelve steps
+        assert got[i] == got[100 + i] == got[200 + i] == f"text {i}"
+    assert got[307] == "text 2" and got[409] == "a copy" and got[500] == "few"
+
+
 def test_urls(spark):
     rows = [(i, f"http://a.example.org/{'es' if i % 2 else 'fr'}/{i}") for i in range(200)]
     rows += [(900, None), (901, "nothing"), (902, "http://b.net/es/7"), (903, "HTTP://X.ORG?q"), (904, "http://b.net/fr/7#x"), (905, "http://q.example.org/en/12")]
