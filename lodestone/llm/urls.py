@@ -8,9 +8,8 @@ fits gets the verdict of the mined rules that it contains, found by an inverted
 index from each rule's rarest token; without one it is allowed.
 
 At scale: mining groups by token inside Spark's FP-growth; the mined rules are
-counted before they are collected, and mined again at twice the support while
-there are more than ``MOST`` (so the index has a size bound).  Judging is one
-narrow pass over the URLs.
+pruned and ranked as a table.  Judging takes them in blocks of ``BLOCK`` ranks, the
+best first: one narrow pass over the URLs for each block.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from . import common
 
 #: (host, path, verdict): a path "/" is the whole host.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-SUPPORT, CONFIDENCE, MOST = 0.005, 0.8, 20_000
+SUPPORT, CONFIDENCE, BLOCK = 0.005, 0.8, 20_000
 _LABEL = "label="
 _WORD = re.compile(r"[^\W_]+")
 
@@ -61,7 +60,7 @@ def tokens(url: str | None) -> list[str]:
     out = {f"scheme={scheme.lower()}"}
     out.update(f"label:{w}" for x in labels for w in _WORD.findall(x))
     out.update("suffix=" + ".".join(labels[i:]) for i in range(max(0, len(labels) - 2), len(labels)))
-    for k, part in enumerate(head[2].split("/")[1:9]):
+    for k, part in enumerate(head[2].split("/")[1:]):
         for w in _WORD.findall(part.lower()):
             out.add(f"path{min(k, 3)}={w}" if not w.isdigit() else f"path{min(k, 3)}=number")
             if w.isdigit():
@@ -77,40 +76,39 @@ def _with_tokens(urls: DataFrame, url_col: str) -> DataFrame:
     return common.append(urls, one, F.col(url_col).cast("string"), lambda: lambda values: {"items": [tokens(v) for v in values]})
 
 
-def mined(labelled: DataFrame, url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
-    """(items, verdict, confidence, support) from rows (url, verdict)."""
+def mined(labelled: DataFrame, url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """(rank, items, verdict, confidence, support) from rows (url, verdict): every
+    rule over the bounds but those that a shorter one makes redundant; without
+    any row, nothing."""
     rows = _with_tokens(labelled, url_col)
     rows = common.written(rows.select(F.concat("items", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items")), "items")
     if rows.isEmpty():
-        return []
-    while True:
-        rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows).associationRules
-        rules = rules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
-        # Several tokens of one host or place say the same: short rules suffice.
-        rules = common.written(rules.where(F.size("antecedent") <= 3).select("antecedent", F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
-        if rules.count() <= MOST:
-            break
-        support *= 2
-    found = [(frozenset(r["antecedent"]), r["verdict"], r["confidence"], r["support"]) for r in rules.toLocalIterator()]
-    best: dict[tuple[frozenset, str], float] = {(a, v): c for a, v, c, _ in found}
-    out = []
-    for a, v, c, s in found:
-        shorter = [a - {x} for x in a] + [frozenset({x}) for x in a if len(a) > 1]
-        if not any(best.get((b, v), -1.0) >= c for b in shorter):
-            out.append((a, v, c, s))
-    return sorted(out, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0]), r[1]))
+        return None
+    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows).associationRules
+    rules = rules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
+    rules = common.written(rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
+    # Rules of one token less, or of one, that are as confident.
+    less = F.transform("items", lambda x: F.array_except("items", F.array(x)))
+    parts = F.array_union(less, F.transform("items", lambda x: F.array(x)))
+    tried = rules.where(F.size("items") > 1).select("items", "verdict", "confidence", F.explode(parts).alias("part"))
+    as_sure = rules.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("c"))
+    redundant = tried.join(as_sure, ["part", "verdict"]).where("c >= confidence").select("items", "verdict").distinct()
+    left = rules.join(redundant, ["items", "verdict"], "left_anti")
+    ranked = left.orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), "items", "verdict").rdd.zipWithIndex().map(lambda r: (r[1], *r[0]))
+    return common.written(labelled.sparkSession.createDataFrame(ranked, "rank long, items array<string>, verdict string, confidence double, support double"), "ranked")
 
 
 class Index:
-    """Rules by their rarest token; a lookup gives the first rule that fits."""
+    """Rules (items, verdict), best first, by their rarest token; a lookup gives
+    the first rule that fits, counted from ``first``."""
 
-    def __init__(self, rules: list):
+    def __init__(self, rules: list, first: int = 0):
         uses: dict[str, int] = {}
         for a, *_ in rules:
             for x in a:
                 uses[x] = uses.get(x, 0) + 1
         self.by: dict[str, list] = {}
-        for rank, (a, v, *_) in enumerate(rules):  # rules come best first
+        for rank, (a, v, *_) in enumerate(rules, first):
             self.by.setdefault(min(a, key=lambda x: (uses[x], x)), []).append((rank, a, v))
 
     def verdict(self, items: list[str]) -> tuple[str, int]:
@@ -136,18 +134,26 @@ def judged(pages: DataFrame, rules: list = RULES, url_col: str = "url", **how) -
     base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "mined")])
     base = base.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col))).withColumn("__listed", listed(F.col("host"), F.col("path"), rules))
     found = mined(base.where("__listed is not null").select(F.col(url_col).alias("url"), F.col("__listed.verdict").alias("verdict")), **how)
+    count = found.count() if found is not None else 0
+    known = F.col("__listed").isNotNull()
+    out = base.withColumn("__verdict", F.when(~known, "allow")).withColumn("mined", F.when(~known, -1).cast("int"))
+    schema = T.StructType.fromDDL("__verdict string, mined int")
+    for first in range(0, count, BLOCK):
+        block = [(frozenset(r["items"]), r["verdict"]) for r in sorted(found.where(F.col("rank").between(first, first + BLOCK - 1)).toLocalIterator(), key=lambda r: r["rank"])]
 
-    def make():
-        index = Index(found)
+        def make(block=block, first=first):
+            index = Index(block, first)
 
-        def run(values: list) -> dict:
-            got = [index.verdict(tokens(v["url"])) if not v["known"] else (None, None) for v in values]
-            return {"__verdict": [v for v, _ in got], "mined": [r for _, r in got]}
+            def run(values: list) -> dict:
+                # Only what no listed rule and no better block decides.
+                got = [index.verdict(tokens(v["url"])) if v["mined"] == -1 else (v["verdict"], v["mined"]) for v in values]
+                return {"__verdict": [v for v, _ in got], "mined": [r for _, r in got]}
 
-        return run
+            return run
 
-    schema = T.StructType.fromDDL("__verdict string, mined int")
-    out = common.append(base, schema, F.struct(F.col(url_col).cast("string").alias("url"), F.col("__listed").isNotNull().alias("known")), make)
+        out = common.append(out, schema, F.struct(F.col(url_col).cast("string").alias("url"), F.col("__verdict").alias("verdict"), "mined"), make)
+        if first + BLOCK < count:
+            out = common.written(out, "judged")  # so one block at a time is in memory
     return out.withColumn("rule", F.col("__listed.rule")).withColumn("verdict", F.coalesce("__listed.verdict", "__verdict")).drop("__listed", "__verdict")
 
 

@@ -315,6 +315,26 @@ def test_urls(spark):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
+def test_url_rules_are_whole(spark):
+    far = "/".join("aaaaaaaa")
+    rows = [(i, f"http://{'x.org' if i % 2 else 'example.org'}/{far}/{'good' if i % 2 else 'bad'}") for i in range(200)]
+    pages = spark.createDataFrame([*rows, (900, f"http://b.net/{far}/bad"), (901, f"http://b.net/{far}/good")], "page_id long, url string")
+    rules = [("x.org", "/", "allow"), ("example.org", "/", "block")]
+    block = urls.BLOCK
+    try:
+        urls.BLOCK = 2  # several passes
+        got = {r["page_id"]: r["verdict"] for r in urls.judged(pages, rules).collect()}
+    finally:
+        urls.BLOCK = block
+    assert (got[900], got[901]) == ("block", "allow")  # the word in the ninth segment
+    # Only four words together reach the confidence; any three stand half blocked.
+    words = ["p", "q", "r", "s"]
+    every = [(f"http://a/?{'&'.join(words)}", "block")] * 16
+    every += [(f"http://a/?{'&'.join(w for w in words if w != out)}", "allow") for out in words for _ in range(16)]
+    found = urls.mined(spark.createDataFrame(every, "url string, verdict string")).collect()
+    assert any(r["verdict"] == "block" and len(r["items"]) >= 4 for r in found)
+
+
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
 
