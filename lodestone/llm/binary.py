@@ -115,8 +115,9 @@ class Encoder:
 
     The library cuts a text into pre-tokens and encodes each by itself, so
     every different pre-token is encoded once and kept.  ``_CUT`` is the cut for
-    well-known characters; a text with any other is encoded whole.  New
-    pre-tokens are encoded many at a time with line feeds between them.
+    well-known characters; a text with any other, or with one of the file's added
+    tokens (the library cuts those out first), is encoded whole.  New pre-tokens
+    are encoded many at a time with line feeds between them.
     """
 
     KEEP = 700_000  # pre-tokens: some 150 MB
@@ -130,7 +131,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -164,8 +165,8 @@ class Encoder:
         for t, one, ids, at in zip(texts, cut, found, gaps, strict=True):
             for i in at:
                 ids[i] = get(one[i])
-            if at and not all(one[i] in known for i in at):
-                out += self._plain([t])  # a character that the cut does not cover
+            if (at and not all(one[i] in known for i in at)) or any(x in t for x in self.added):
+                out += self._plain([t])  # a character that the cut does not cover, or an added token
             else:
                 out.append(b"".join(ids))
         return out

@@ -24,11 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (tests, local mode) one is made here.
+    Only in local mode, where the session names none (tests), one is made here:
+    on a cluster a folder of this machine would be lost to the executors.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -53,6 +56,17 @@ def as_bytes(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")
 
 
+def nested(column: str) -> str:
+    """The name of a column inside ``__row``."""
+    return f"__row.`{column}`"
+
+
+def as_row(docs: DataFrame, *extra: Column) -> DataFrame:
+    """``docs`` as one struct column ``__row``, so that no column that an operator
+    adds can clash with one of its own; ``select("__row.*")`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *extra)
+
+
 def append(df: DataFrame, schema: T.StructType, text: Column, make: Callable[[], Callable[[list], dict]]) -> DataFrame:
     """``df`` with further columns computed by Python workers, batch by batch.
 

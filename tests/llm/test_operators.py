@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from lodestone.llm import binary, counts, ctw, decontam, html, mixing, neardup, pii, quality, urls
 
@@ -162,7 +163,7 @@ def test_packing(bits):
 
 def test_token_files(docs, none):
     got = sorted(binary.read(binary.write(docs, binary.public(), binary.VOCABULARY)).collect(), key=lambda r: r["start"])
-    model, at = binary.Encoder(binary.public()).model, 0
+    model, at = Tokenizer.from_file(binary.public()), 0
     rows = sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0))
     for r, (i, t, _) in zip(got, rows, strict=True):
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 2]
@@ -172,11 +173,12 @@ def test_token_files(docs, none):
 
 
 def test_encoder():
-    encode, rng = binary.Encoder(binary.public()), random.Random(4)
+    encode, rng, model = binary.Encoder(binary.public()), random.Random(4), Tokenizer.from_file(binary.public())
     kinds = ["  ", " ", "\n", "\t", "a", "Bc", "'s", "'", "12", "é", "!", "\xa0", "中", "-", "<|endoftext|>", "."]
     many = ["".join(rng.choices(kinds, k=rng.randint(0, 60))) for _ in range(3000)]
-    want = [e.ids for e in encode.model.encode_batch(many, add_special_tokens=False)]
+    want = [e.ids for e in model.encode_batch(many, add_special_tokens=False)]
     assert [np.frombuffer(g, "<u4").tolist() for g in encode(many)] == want
+    assert np.frombuffer(encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
 def test_personal_data(docs, none):
