@@ -23,6 +23,7 @@ no statistics to go by: then the roles and the article mark decide.
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import re
 
@@ -41,13 +42,19 @@ BESIDE_LIMIT = PRIOR * LIMIT / (PRIOR * LIMIT + 1 - LIMIT)  # beside one: 0.63
 #: What HTML declares or sites name as outside the main text.
 OUTSIDE = set("head script style noscript template svg iframe object nav header footer aside form button select textarea dialog menu".split())
 OUTSIDE_NAMES = set("ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu header masthead footer sidebar aside breadcrumb breadcrumbs cookie cookies consent notice gdpr popup modal overlay newsletter subscribe share sharing social related recommended comment comments disqus respond reply login signup search pagination pager toolbar widget copyright legal".split())
+UNSURE = set("related legal notice social search share copyright comment comments login menu overlay reply signup widget".split())
+NEUTRAL = set("area articles bar block body box button buttons container content form inner item items link links list main page post posts section site stories story text top bottom title wrap wrapper".split())
+ARTICLES_OUTSIDE = set("ad ads advert advertisement sponsored promo comment comments comment-body reply".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul br".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
 #: A tag that closes an open one of the kind when it starts.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([A-Za-z][^\s/>]*)[^>]*>|<[!?][^>]*(?:>|\Z)|<[/A-Za-z][^>]*\Z", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Each alternative ends at its mark or at the end of the page, and takes no step
+#: back: a quote opens a value after an equals sign only, and only if it is closed.
+_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<([A-Za-z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[^>=]++)*+)(?:>|\Z)|</([A-Za-z][^\s/>]*+)[^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_BARRIERS = ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 _TOKENS = re.compile(r"[A-Za-z]+")
 _SPACES = re.compile(r"\s+")
 
@@ -73,10 +80,26 @@ class Page:
         self.texts: dict[int, tuple[int, int]] = {}
 
 
+def _named_outside(names: list[str], in_article: bool) -> bool:
+    """Whether a name says that an element is outside the main text.  A header in an
+    article is its own; the words of ``UNSURE`` count only beside neutral ones
+    ("related-posts", not "related-work")."""
+    for n in names:
+        words = set(_TOKENS.findall(n.lower()))
+        found = words & OUTSIDE_NAMES
+        if in_article:
+            found -= {"header", "masthead"}
+        if found and (found - UNSURE or words <= OUTSIDE_NAMES | NEUTRAL):
+            return True
+    return False
+
+
 def _outside(tag: str, names: list[str], in_article: bool) -> bool:
     if tag in OUTSIDE and not (tag == "header" and in_article):
         return True
-    return any(t in OUTSIDE_NAMES for n in names for t in _TOKENS.findall(n.lower())) and tag not in ("body", "html", "article", "main")
+    if tag in ("article", "main"):  # a reader's comment or an advert marked up as an article
+        return any(n.lower() in ARTICLES_OUTSIDE for n in names)
+    return tag not in ("body", "html") and _named_outside(names, in_article)
 
 
 _BASE, _PRIME = 0x1F123BB5159A55E5, 2**61 - 1
@@ -86,11 +109,19 @@ def _joined(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
     return (a[0] * b[1] + b[0]) % _PRIME, a[1] * b[1] % _PRIME
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*+)?(?:>|\Z)", re.I)
+
+
 def parse(page: str) -> Page:
+    """The blocks and nodes of a page, in time that grows with its length: every tag,
+    comment and raw element is read once, and open elements are found by tag."""
     import xxhash
 
     out = Page()
-    stack: list[list] = [["", 0, (0, 1)]]  # tag, node, texts
+    stack: list[list] = [["", 0, (0, 1), None]]  # tag, node, texts, the text outside an inline element
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
     own: list[str] = []
 
     def flush() -> None:
@@ -98,18 +129,36 @@ def parse(page: str) -> Page:
             text = _SPACES.sub(" ", _html.unescape("".join(own))).strip()
             own.clear()
             if text:
-                _, node, texts = stack[-1]
+                _, node, texts, _ = stack[-1]
                 out.blocks.append(Block(node, text, out.outside[node], out.article[node]))
                 stack[-1][2] = _joined(texts, (xxhash.xxh64_intdigest(text) % _PRIME, _BASE))
 
+    def enter(tag: str, name: str, outside: bool, around: list[str] | None) -> None:
+        up = stack[-1][1]
+        out.children.setdefault(out.paths[up], []).append(name)
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append([tag, len(out.paths), (0, 1), around])
+        out.parents.append(up)
+        out.paths.append(xxhash.xxh64_intdigest(name, out.paths[up]))
+        out.outside.append(out.outside[up] or outside)
+        out.article.append(out.article[up] or tag in ("article", "main"))
+
     def leave(k: int) -> None:
         while len(stack) > k:
-            _, node, texts = stack.pop()
+            if stack[-1][3] is not None or stack[-1][0] in BLOCKS or stack[-1][0] in OUTSIDE:
+                flush()
+            tag, node, texts, around = stack.pop()
+            opened[tag].pop()
+            if around is not None:  # the text goes on as before the inline element
+                own[:] = around
             if texts[1] != 1:
                 path = out.paths[node]
                 out.texts[path] = _joined(out.texts.get(path, (0, 1)), texts)
                 stack[-1][2] = _joined(stack[-1][2], texts)
 
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     at, end = 0, len(page)
     while at < end:
         m = _PARTS.search(page, at)
@@ -124,38 +173,38 @@ def parse(page: str) -> Page:
             if tag in BLOCKS:
                 flush()
                 if tag in CLOSES:  # an omitted end tag
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in CLOSES[tag]:
-                            leave(k)
-                            break
-                        if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body"):
-                            break
+                    k = last(CLOSES[tag])
+                    if k > last(_BARRIERS):
+                        leave(k)
             elif tag in RAW or tag in OUTSIDE:
                 flush()
             if tag in VOID or m[2].endswith("/"):
                 continue
             if tag in RAW and tag != "title":
-                close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+                close = _raw_end(tag).search(page, at)
                 at = close.end() if close else end
                 continue
             up = stack[-1][1]
-            if tag in BLOCKS or tag in OUTSIDE:
-                names = [next(filter(None, x), "") for x in _NAMES.findall(m[2])]
-                name = ".".join([tag, *sorted(set(" ".join(names).split()))])
-                out.children.setdefault(out.paths[up], []).append(name)
-                stack.append([tag, len(out.paths), (0, 1)])
-                out.parents.append(up)
-                out.paths.append(xxhash.xxh64_intdigest(name, out.paths[up]))
-                out.outside.append(out.outside[up] or tag == "title" or _outside(tag, names, out.article[up]))
-                out.article.append(out.article[up] or tag in ("article", "main"))
+            node = tag in BLOCKS or tag in OUTSIDE
+            if node or "=" in m[2]:
+                names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(m[2])).split()
+                if node:
+                    outside = tag == "title" or _outside(tag, names, out.article[up])
+                    enter(tag, ".".join([tag, *sorted(set(names))]), outside, None)
+                elif not (opened.get("pre") or opened.get("code")) and _named_outside(names, out.article[up]):
+                    around = [*own, " "]  # its text is no part of the block around it
+                    own.clear()
+                    enter(tag, ".".join([tag, *sorted(set(names))]), True, around)
+                elif opened.get(tag) or tag == "code":
+                    enter(tag, tag, False, None)
+            elif opened.get(tag) or tag == "code":  # so that end tags meet their own
+                enter(tag, tag, False, None)
         elif m[3]:
             tag = m[3].lower()
             if tag in BLOCKS or tag in OUTSIDE:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        leave(k)
-                        break
+            if opened.get(tag):
+                leave(opened[tag][-1])
     flush()
     leave(1)
     return out
@@ -213,7 +262,9 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     Null and empty html give the empty text; pages of a null url or one without
     a host form the tree of the host ''; copies of a page count once in the
-    entropies; columns of these names in ``pages`` are replaced.
+    entropies; a page of any length, broken tags too, takes time that grows with its
+    length; an empty table gives an empty one; columns of these names in ``pages``
+    are replaced.
     """
     importance = F.greatest("presentation", "content")
     low = importance < F.when(F.col("article"), ARTICLE_LIMIT).otherwise(LIMIT)
