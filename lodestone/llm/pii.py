@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import common
 
 KINDS = ["email", "ip", "card", "phone"]
-LONGEST = 12  # tokens of a span
+LONGEST = 24  # tokens of a span: a written-out address of many parts
 SENTENCES, EPOCHS, SEED = 240, 12, 7  # the training set and the steps
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,6 +42,9 @@ _SPELLED = re.compile(r"[\[(]\s?[aA][tT]")
 _REACH = 90  # characters of context at each side of a trigger
 
 
+_DIGITS = frozenset("0123456789")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -105,7 +108,7 @@ def _features(text: str, spans: list[tuple[int, int]], i: int, j: int) -> np.nda
     n = len(digits)
     tokens = [text[x:y] for x, y in spans[i : j + 1]]
     low = s.lower()
-    numbers = [t for t in tokens if t.isdigit()]
+    numbers = [t for t in tokens if t[0] in _DIGITS]  # ASCII digits only: others, as in "²", are no numbers
     letters = any(t.isalpha() for t in tokens)
     at = low.find("@")
     spelled = re.search(r"[\[(]\s?at\s?[\])]", low) is not None
@@ -113,12 +116,12 @@ def _features(text: str, spans: list[tuple[int, int]], i: int, j: int) -> np.nda
     previous = text[spans[i - 1][0] : spans[i - 1][1]].lower() if i else ""
     earlier = text[spans[i - 2][0] : spans[i - 2][1]].lower() if i > 1 else ""
     f = {
-        "bias": 1, "starts_digit": s[0].isdigit(), "starts_plus": s[0] == "+", "starts_bracket": s[0] == "(", "ends_digit": s[-1].isdigit(), "ends_letter": s[-1].isalpha(), "ends_mark": not s[-1].isalnum(),
+        "bias": 1, "starts_digit": s[0] in _DIGITS, "starts_plus": s[0] == "+", "starts_bracket": s[0] == "(", "ends_digit": s[-1] in _DIGITS, "ends_letter": s[-1].isalpha(), "ends_mark": not s[-1].isalnum(),
         "has_at": at >= 0, "has_spelled_at": spelled, "dot_after_at": (at >= 0 and "." in s[at:]) or (spelled and re.search(r"\.|[\[(]\s?dot\s?[\])]", low) is not None), "space_inside": any(c.isspace() for c in s),
         "digits_0": n == 0, "digits_1_6": 0 < n < 7, "digits_7_9": 7 <= n < 10, "digits_10_15": 10 <= n < 16, "digits_16": n == 16, "digits_17_19": 17 <= n < 20, "digits_more": n > 19, "luhn": 12 <= n < 20 and luhn(digits),
         "four_parts": len(numbers) == 4 and s.count(".") == 3, "all_octets": len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers), "groups_of_4": len(numbers) > 2 and all(len(x) == 4 for x in numbers),
         "one_number": len(tokens) == 1 and bool(numbers), "letters_inside": letters, "marks_kinds": min(len({t for t in tokens if not t.isalnum()}), 4) / 4, "touches_word": before.isalpha() or after.isalpha(),
-        "touches_digit": before.isdigit() or after.isdigit(), "touches_mark": (before != "" and before in "_-@+.=/\"#") or (after != "" and after in "_-@=/\"#"),
+        "touches_digit": before in _DIGITS or after in _DIGITS, "touches_mark": (before != "" and before in "_-@+.=/\"#") or (after != "" and after in "_-@=/\"#"),
         "only_phone_marks": set(s) <= set("+0123456789 ().-/"), "leading_zero": digits[:1] == "0", "hex_like": n > 0 and letters and re.fullmatch(r"[0-9a-f]+", low) is not None,
     }
     for cue, cues in _CUES.items():
@@ -287,13 +290,15 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone (base), base_spans, spans.
+    """``docs`` with n_email, n_ip, n_card, n_phone (base), base_spans, spans and
+    n_spans (all of ``spans``).
 
     Spans are ``kind:start:end`` in code points, by start, then by kind as
-    listed.  Null and empty texts have none; columns of these names in ``docs``
-    are replaced.
+    listed.  Null and empty texts have none; repeated rows are read alike; a long
+    text is read whole, in time that grows with its length; an empty table gives
+    an empty one; columns of these names in ``docs`` are replaced.
     """
-    schema = T.StructType.fromDDL(", ".join(f"n_{k} long" for k in KINDS) + ", base_spans string, spans string")
+    schema = T.StructType.fromDDL(", ".join(f"n_{k} long" for k in KINDS) + ", base_spans string, spans string, n_spans long")
     w = trained()
 
     def make():
@@ -305,6 +310,7 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     got[f"n_{kind}"].append(sum(x[1] == k for x in base))
                 got["base_spans"].append(_joined(base))
                 got["spans"].append(_joined(every))
+                got["n_spans"].append(len(every))
             return got
 
         return run
@@ -313,8 +319,12 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[{}]") -> DataFrame:
-    """``docs`` with every span replaced by its kind in the text."""
-    found = with_spans(docs, text_col)
+    """``docs`` with every span replaced by its kind in the text.
+
+    A null text stays null; every other column, repeated rows and empty tables
+    pass as they are, whatever the names of the columns.
+    """
+    found = with_spans(common.as_row(docs), common.nested(text_col))
 
     def make():
         def run(values: list) -> dict:
@@ -327,12 +337,13 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[{}]") -> Dat
                         parts += [text[last : max(int(a), last)], mask.format(kind)]
                         last = int(b)
                 out.append(text if text is None else "".join([*parts, text[last:]]))
-            return {text_col: out}
+            return {"__text": out}
 
         return run
 
-    one = T.StructType([T.StructField(text_col, T.StringType())])
-    return common.append(found, one, F.struct(F.col(text_col).alias("text"), "spans"), make).select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = T.StructType([T.StructField("__text", T.StringType())])
+    masked = common.append(found, one, F.struct(F.col(common.nested(text_col)).cast("string").alias("text"), "spans"), make)
+    return masked.select(*[F.col("__text").alias(c) if c == text_col else F.col(common.nested(c)) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
