@@ -5,17 +5,20 @@ consecutive item words is hashed; a document's windows are hashed by the same
 rolling rule (numpy, over the whole text) and looked up in a bitmap, then in
 the hash set; each hit is verified word by word.
 
-The windows are broadcast only in blocks of at most ``BLOCK`` windows.  Beyond
-one block, items are dealt into blocks by their hash and the documents pass the
-blocks one after another, each pass a narrow scan written to the shared folder:
-no shuffle, and memory that does not grow with the benchmark.
+The windows are broadcast only in blocks of some ``BLOCK`` windows and ids.  Long
+items are cut into overlapping runs, equal runs stand once with their items, and
+beyond one block the runs are dealt into blocks by their hash; the documents pass
+the blocks one after another, each pass a narrow scan written to the shared folder:
+no shuffle of documents, and memory that does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +38,15 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """The windows of some items: hash -> [(words, item ids)]."""
+    """The windows of some runs (ids, text): hash -> [(words, item ids)]."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
+    def __init__(self, items: list[tuple[list[str], bytes]], n: int):
         windows: dict[tuple, set] = {}
-        for item, text in items:
+        for own, text in items:
             w = words(text)
             size = min(n, len(w))
             for i in range(len(w) - size + 1 if w else 0):
-                windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+                windows.setdefault(tuple(w[i : i + size]), set()).update(own)
         vocabulary = sorted({x for w in windows for x in w})
         self.ids = {x: i + 1 for i, x in enumerate(vocabulary)}  # 0: any other word
         self.by: dict[int, dict[int, list]] = {}
@@ -100,14 +103,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> list[DataFrame]:
+def _runs(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, text, windows): the items as runs of at most ``BLOCK`` / 16 windows; runs
+    overlap by n - 1 words, so every window is in one."""
+    most = max(BLOCK // 16, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = words(text)
+                count = max(len(w) - n, 0) + 1 if w else 0
+                for i in range(0, count, most):
+                    part = w[i : i + most + n - 1]
+                    yield pa.RecordBatch.from_pydict({"id": [own], "text": [b" ".join(part)], "windows": pa.array([min(most, count - i)], pa.int64())})
+
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), common.as_bytes(text_col).alias("text"))
-    # Characters bound the windows: each needs a word and a separator.
-    most = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    k = int(most // BLOCK) + 1
+    return items.mapInArrow(run, "id string, text binary, windows long")
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> list[DataFrame]:
+    """Tables (ids, text) of distinct runs with their items, each of some ``BLOCK``
+    windows and ids.  The ids of a text that many items share are dealt into several
+    rows, so that no row grows with the number of copies."""
+    runs = common.written(_runs(benchmark, id_col, text_col, n).dropDuplicates(), "runs")
+    n_ids = runs.count()
+    deal = F.pmod(F.xxhash64("id"), F.lit(n_ids // (BLOCK // 16 or 1) + 1))
+    items = common.written(runs.groupBy("text", deal.alias("part")).agg(F.collect_set("id").alias("ids"), F.first("windows").alias("windows")), "items")
+    most = items.agg(F.sum(F.col("windows") + F.size("ids"))).first()[0] or 0
+    k = int(2 * most // BLOCK) + 1 if most > BLOCK else 1
     if k == 1:
         return [items]
-    items = common.written(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(k))), "items")
+    items = common.written(items.withColumn("block", F.pmod(F.xxhash64("text", "part"), F.lit(k))), "items")
     return [items.where(F.col("block") == b).drop("block") for b in range(k)]
 
 
@@ -125,7 +151,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "t
     context = docs.sparkSession.sparkContext
     blocks = _blocks(benchmark, item_col, item_text, n)
     for k, block in enumerate(blocks):
-        rows = [(r["id"], bytes(r["text"])) for r in block.toLocalIterator()]  # one block: bounded by BLOCK
+        rows = [(r["ids"], bytes(r["text"])) for r in block.toLocalIterator()]  # one block: bounded by BLOCK
         shared = context.broadcast(rows)
 
         def make(shared=shared, first=not k):
@@ -155,11 +181,14 @@ def spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "t
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **how) -> DataFrame:
     """Drops contaminated documents, or with ``remove="spans"`` cuts the hit
-    words (and what lies between them within a span) out of the text."""
-    found = spans(docs, benchmark, text_col=text_col, **how)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    words (and what lies between them within a span) out of the text.
+
+    Null and empty texts hold no window and stay; repeated rows are treated alike;
+    every column passes as it is, whatever its name; empty tables stay empty.
+    """
+    found = spans(common.as_row(docs), benchmark, text_col=common.nested(text_col), **how)
     if remove == "documents":
-        return found.where(F.size("hits") == 0).select(*columns)
+        return found.where(F.size("hits") == 0).select("__row.*")
 
     def make():
         def cut(values: list) -> dict:
@@ -176,12 +205,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                     parts.append(raw[last : at[h["start"]][0]])
                     last = at[h["end"] - 1][1]
                 out.append(b"".join([*parts, raw[last:]]).decode())
-            return {text_col: out}
+            return {"__text": out}
 
         return cut
 
-    one = T.StructType([T.StructField(text_col, T.StringType())])
-    return common.append(found, one, F.struct(F.col(text_col).alias("text"), "hits"), make).select(*columns)
+    one = T.StructType([T.StructField("__text", T.StringType())])
+    left = common.append(found, one, F.struct(F.col(common.nested(text_col)).cast("string").alias("text"), "hits"), make)
+    return left.select(*[F.col("__text").alias(c) if c == text_col else F.col(common.nested(c)) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
