@@ -183,12 +183,20 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = with_statistics(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").drop("__text")
     own = common.written(own.join(by, "__id"), "labelled")
     ok = own.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT} * n_words")
-    # The sample: the labelled rows with the smallest hashes, so reruns agree.
-    sample = ok.orderBy(F.xxhash64("__id", F.lit(SEED)), "__id", "features").limit(SAMPLE).select("__good", "features").toPandas()
-    if not sample["__good"].any():
+    width = len(FEATURES)
+    ends = ok.agg(F.count_if("__good").alias("n"), *[f(F.col("features")[i]).alias(f"{n}{i}") for i in range(width) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not ends["n"]:
         return None
-    every = np.array(sample["features"].tolist())
-    forest = fit(every[sample["__good"].to_numpy(bool)], every.max(axis=0) - every.min(axis=0))
+    # The sample: the good rows with the smallest hashes, so reruns agree.  A bound on
+    # the hash leaves some two samples' rows to sort, however many there are.
+    hashed = F.xxhash64("__id", F.lit(SEED))
+    share = min(1.0, 2.0 * SAMPLE / ends["n"])
+    few = ok.where("__good").where(hashed <= F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1)))
+    sample = few.orderBy(hashed, "__id", "features").limit(SAMPLE).select("features").toPandas()
+    if not len(sample):  # all good rows share a few ids with large hashes
+        sample = ok.where("__good").limit(SAMPLE).select("features").toPandas()
+    span = np.array([ends[f"hi{i}"] - ends[f"lo{i}"] for i in range(width)])
+    forest = fit(np.array(sample["features"].tolist()), span)
 
     def make():
         return lambda values: {"bucket": (np.clip(score(forest, np.array(values)), 0, 1) * (BUCKETS - 1)).astype(int).tolist()}
@@ -217,8 +225,9 @@ def judged(docs: DataFrame, fitted: dict | None, text_col: str = "text") -> Data
     """``docs`` with the base counts, base_failed, anomaly and kept.
 
     Null and empty texts have no words and fail the base rule; without a model
-    (no labelled rows) only the base rule decides; extra columns pass, columns
-    named like the new ones are replaced.
+    (no labelled rows) only the base rule decides; repeated rows are judged alike;
+    a long text is read whole, in time that grows with its length; extra columns
+    pass, columns named like the new ones are replaced.
     """
     schema = T.StructType.fromDDL(", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, anomaly double, kept boolean")
 
@@ -237,9 +246,14 @@ def judged(docs: DataFrame, fitted: dict | None, text_col: str = "text") -> Data
 
 
 def filtered(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that the rules and the forest keep."""
-    out = judged(docs, model(docs, labels, **how), how.get("text_col", "text"))
-    return out.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the rules and the forest keep.
+
+    Null and empty texts go (no words); repeated rows are judged alike; every
+    column passes as it is, whatever its name; without labels only the base rule
+    decides; an empty table stays empty.
+    """
+    out = judged(common.as_row(docs), model(docs, labels, **how), common.nested(how.get("text_col", "text")))
+    return out.where("kept").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
