@@ -38,6 +38,7 @@ K = 64
 MISS = 1e-5
 BLOCK = 1024
 SKETCH = 1 << 18  # cells of the count sketch, at least; 16 times as many at most
+MANY = 100_000  # buckets that are broadcast, at most
 DENSE = 4  # pairs per member from which a block is settled on full sets in its task
 _SEED = np.random.default_rng(20240607)
 _A = _SEED.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,6 +180,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _split_join(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` joined to ``sizes`` (bucket, size, ...) without a shuffle of the rows
+    of large buckets: these are ``MANY`` at most, by the limit on their size, and
+    broadcast; the others meet by bucket."""
+    limit = max(BLOCK, rows.count() // MANY)
+    large = F.broadcast(sizes.where(F.col("size") > limit))  # MANY rows at most
+    few = rows.join(F.broadcast(sizes.where(F.col("size") > limit).select("bucket")), "bucket", "left_anti")
+    return rows.join(large, "bucket").unionByName(few.join(sizes.where(F.col("size") <= limit), "bucket"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa"))
@@ -239,10 +250,8 @@ class Links:
     def lists(self) -> DataFrame:
         """The postings of lists with two or more members, with their centre."""
         posts = common.written(self.postings(), "postings")
-        size = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        posts = common.written(posts.join(size, "bucket"), "lists")
-        centre = posts.groupBy("bucket").agg(F.max_by("rid", F.struct("weight", "rid")).alias("centre"))
-        return common.written(posts.join(centre, "bucket").select("bucket", "rid", "size", "centre"), "lists")
+        size = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max_by("rid", F.struct("weight", "rid")).alias("centre")).where("size > 1")
+        return common.written(_split_join(posts.select("bucket", "rid"), common.written(size, "sizes")), "lists")
 
     def matching(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that agree in t coordinates and can be similar."""
@@ -279,7 +288,7 @@ class Links:
         own = own.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         own = common.written(own, "rest")
         mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-        own = own.join(mixed, "bucket").withColumn("q", F.ceil(F.col("size") / BLOCK).cast("int"))
+        own = _split_join(own, common.written(mixed, "mixed")).withColumn("q", F.ceil(F.col("size") / BLOCK).cast("int"))
         own = own.withColumn("side", F.pmod(F.xxhash64("rid", F.lit(11)), F.col("q")).cast("int"))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
         return own.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rid", "label", "side")
@@ -387,7 +396,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     distinct n-word shingles; component_id is the smallest id reachable.  A text
     without words (null, empty) has no shingles and no links.  Null ids come
     after all others: a component of null ids only has a null id.  Of rows that
-    repeat the kept id each is kept.  ``key`` is a hash of id and text.
+    repeat the kept id each is kept.  ``key`` is a hash of id and text.  A long
+    text is read whole; extra columns are dropped; an empty table gives an empty one.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     table = common.written(_sets(own, "text", n, ["doc_id", "key"], whole=False), "signatures")
@@ -404,7 +414,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each component: the one with its smallest id."""
+    """One document of each component: the one with its smallest id.
+
+    Null and empty texts are linked with nothing and stay; rows that repeat the
+    kept id and text stay all; an empty table stays empty; every column passes as
+    it is, whatever its name (but ``__key``).
+    """
     found = classes(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("key").alias("__key")).distinct()
     out = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(found, "__key", "left_semi").drop("__key")
     return out
