@@ -10,12 +10,15 @@ Pieces come from a public vocabulary file (never trained here); it ranks its
 pieces, and the score of a piece is ``-log(rank + SHIFT)``, Zipf's law.  A
 character that no piece covers counts one token per UTF-8 byte.
 
-One narrow pass; the trie is dropped when it holds ``NODES`` nodes.
+One narrow pass; the trie is dropped when it holds ``NODES`` nodes.  A word of more
+than ``LONG`` characters (it will hardly come again) has nodes for its first ones;
+the rest is scored by the same rule in a window of the longest piece.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ MARK = "▁"
 SHIFT = 2.7
 NODES = 1_000_000
 BYTE = -30.0  # the score of a byte that no piece covers
+LONG = 200  # characters: a longer word gets no nodes of its own beyond these
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -61,7 +65,7 @@ class Trie:
             self.clear()
         child, score, count, pieces = self.child, self.score, self.count, self.pieces
         at, path = 0, [0]
-        for end, c in enumerate(s, 1):
+        for end, c in enumerate(s[:LONG], 1):
             node = child.get((at, c))
             if node is None:
                 n = len(c.encode())
@@ -79,7 +83,21 @@ class Trie:
                 self.scored += 1
             at = node
             path.append(at)
-        return count[at]
+        return count[at] if len(s) <= LONG else self._beyond(s, path)
+
+    def _beyond(self, s: str, path: list[int]) -> int:
+        """The number of tokens of a long string from the nodes of its head."""
+        first = max(0, len(path) - 1 - self.longest)
+        best = deque(((self.score[p], self.count[p]) for p in path[first:]), maxlen=self.longest)
+        for end in range(len(path), len(s) + 1):
+            n = len(s[end - 1].encode())
+            top, tokens = best[-1][0] + BYTE * n, best[-1][1] + n
+            for back, (x, k) in enumerate(reversed(best), 1):
+                p = self.pieces.get(s[end - back : end])
+                if p is not None and (x + p > top or (x + p == top and k + 1 < tokens)):
+                    top, tokens = x + p, k + 1
+            best.append((top, tokens))
+        return best[-1][1]
 
 
 _tries: dict[str, Trie] = {}
@@ -95,7 +113,9 @@ def trie(path: str) -> Trie:
 def counted(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_chars (code points) and n_tokens.
 
-    Null and empty texts count 0; columns of these names are replaced.
+    Null and empty texts count 0; repeated rows are counted alike; a text of one
+    huge word takes time that grows with its length and bounded memory; an empty
+    table gives an empty one; columns of these names are replaced.
     """
     schema = T.StructType.fromDDL("n_words long, n_chars long, n_tokens long")
 
@@ -113,7 +133,9 @@ def counted(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> Da
                 for w in words:
                     n = known.get(w)
                     if n is None:
-                        n = known[w] = own.tokens(MARK + w)
+                        n = own.tokens(MARK + w)
+                        if len(w) <= LONG:
+                            known[w] = n
                     total += n
                 out["n_words"].append(len(words))
                 out["n_chars"].append(len(v or ""))
