@@ -159,13 +159,17 @@ def _decided(base: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
-    text = how.get("text_col", "text")
-    out = mix(docs, **how)
+    """The mix itself: each row of ``docs`` as often as it is taken.
+
+    Null and empty texts are never taken; every column passes as it is, whatever
+    its name; an empty table stays empty.
+    """
+    columns = {"id_col": "doc_id", "text_col": "text", "source_col": "source"}
+    names = {k: common.nested(how.pop(k, v)) for k, v in columns.items()}
+    out = mix(common.as_row(docs), **names, **how)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
     out = out.withColumn("__times", times).where(F.col("__times") > 0)
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import binary, counts, ctw, decontam, html, mixing, neardup, pii, quality, urls
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_near_duplicates": neardup.query,
     "op9_token_files": binary.query,
     "op10_personal_data": pii.query,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
