@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows as Parquet to the shared folder and reads them for the next.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, further columns that
+the table has too, whatever their names.  Rows with a null in any column pass by the
+rules below; repeated rows are treated alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,27 +13,32 @@ from lodestone.llm import binary, common, decontam, mixing, neardup, quality
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the base rule or the calibrated forest rejects go."""
+    """Documents that the base rule or the calibrated forest rejects go; null and
+    empty texts have no words and go."""
     return quality.filtered(docs, common.read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group that five-word shingles link at 0.8 stays."""
+    """One document of each group that five-word shingles link at 0.8 stays: the one
+    with the smallest id (null last); texts without words are linked with nothing."""
     return neardup.deduplicated(docs, n=5, percent=80)
 
 
 def decontaminated(spark, docs, sf_dir):
-    """Documents that hold a ten-word window of a benchmark item go."""
+    """Documents that hold a ten-word window of a benchmark item go; a null text
+    holds none."""
     return decontam.decontaminate(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark, docs, sf_dir):
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; null is a source of
+    its own, ties of the hash are taken together, a text without words never."""
     return mixing.mixed_rows(docs)
 
 
 def token_files(spark, docs, sf_dir):
-    """The token ids in packed files; a row per document read back from them."""
+    """The token ids in packed files; a row per document read back from them, in
+    ascending id, null first; a null text is its end id only."""
     return binary.read(binary.write(docs, binary.public(), binary.VOCABULARY))
 
 

@@ -14,10 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder's path where driver and executors both write
-    (``spark.checkpoint.dir``); where none is set, one is made here."""
+    (``spark.checkpoint.dir``); in local mode, where none is set, one is made here."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/lodestone-{label}-{uuid.uuid4().hex}"
