@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Control-flow words that add a path when a line has them.
-KEYWORDS = ["if", "elif", "else", "for", "while", "except", "finally", "with", "and", "or", "case", "when"]
+#: Words that add a path for each line that has them.
+KEYWORDS = ["if", "elif", "for", "while", "and", "or", "except", "with"]
 #: Rules of this engine: name, severity, pattern.
 RULES = [("secret_assignment", "high", r"(?i)\b(api_key|secret|token|password)\s*=\s*[\"'][^\"']{8,}[\"']"), ("card_number", "critical", r"\b[0-9]{16}\b"), ("email_address", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"), ("ip_address", "low", r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b")]
 
@@ -24,15 +24,35 @@ def rule_hits(docs: DataFrame, rules: list = RULES) -> DataFrame:
     return hits.select("doc_id", "line_no", "h.rule", "h.severity")
 
 
-def complexity(docs: DataFrame, keywords: list[str] = KEYWORDS) -> DataFrame:
-    """Per document: loc, comments, cc (1 + lines per keyword), mi, priority."""
-    test = sum((F.when(F.col("line").rlike(rf"\b{k}\b"), 1).otherwise(0) for k in keywords), F.lit(0))
-    blank, comment = F.trim("line") == "", F.trim("line").startswith("#")
-    per = lines(docs).groupBy("doc_id").agg(
-        F.sum(F.when(~blank & ~comment, 1).otherwise(0)).cast("long").alias("loc"), F.sum(F.when(comment, 1).otherwise(0)).cast("long").alias("comments"), (F.sum(F.when(comment, 0).otherwise(test)) + 1).cast("long").alias("cc")
-    )
-    mi = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(171.0) - F.lit(5.2) * F.col("loc") / 100 - F.lit(0.23) * F.col("cc") - 16.2))
-    return per.withColumn("mi", F.round(mi, 4)).withColumn("priority", F.when(F.col("cc") > 20, "P1").when(F.col("cc") > 15, "P2").otherwise("P3"))
+def text_lines(text: Column) -> Column:
+    """The lines of a text as a reader of files counts them: a line feed at the end
+    starts no further line; null has none."""
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def word_pattern(word: str) -> str:
+    """A whole word, letters and digits of any language counting as part of words."""
+    return rf"(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])"
+
+
+def complexity(docs: DataFrame, keywords: list[str] = KEYWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: loc (all lines), comments, cc (1 + lines per keyword, comment lines
+    too), mi, score, priority, is_complex.
+
+    One narrow projection over the array of lines, one row for each input row; a
+    null text counts as empty; repeated rows stay; extra columns are dropped.
+    """
+    own = docs.select(id_col, text_lines(F.col(text_col)).alias("l"))
+    has = lambda word: lambda x: x.rlike(word_pattern(word))
+    cc = F.lit(1) + sum((F.size(F.filter("l", has(k))) for k in keywords), F.lit(0))
+    comments = F.size(F.filter("l", lambda x: F.trim(x).startswith("#")))
+    per = own.select(id_col, F.size("l").cast("long").alias("loc"), comments.cast("long").alias("comments"), cc.cast("long").alias("cc"))
+    mi = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(171.0) - F.lit(5.2) * (F.col("loc") / 100) - F.lit(0.23) * F.col("cc") - 16.2))
+    per = per.withColumn("mi", F.round(mi, 4))
+    per = per.withColumn("score", F.round(F.col("cc") + F.when(F.col("mi") < 50, (F.lit(50) - F.col("mi")) * 0.5).otherwise(0.0), 4))
+    priority = F.when((F.col("score") > 50) | (F.col("cc") > 20), "P1").when((F.col("score") > 25) | (F.col("cc") > 15), "P2").otherwise("P3")
+    return per.withColumn("priority", priority).withColumn("is_complex", (F.col("cc") > 10) | (F.col("mi") < 50))
 
 
 def normal_form(text: Column) -> Column:
@@ -41,24 +61,36 @@ def normal_form(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def generalised(line: Column) -> Column:
-    """Strings, then integers, then calls by placeholders; the order matters."""
-    c = F.regexp_replace(line, r'"[^"]*"', '"..."')
-    c = F.regexp_replace(c, r"\b[0-9]+\b", "N")
-    return F.regexp_replace(c, r"\b[a-zA-Z_]\w*\(", "FUNC(")
-
+def generalised(line: Column, calls: Column | bool = True) -> Column:
+    """Strings in double, then single quotes, integers, then calls (where ``calls``) by
+    placeholders; the order matters."""
+    c = F.regexp_replace(F.trim(line), r'"[^"]*"', '"..."')
+    c = F.regexp_replace(c, r"'[^']*'", "'...' ")
+    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}_])[0-9]+(?![\p{L}\p{N}_])", "N")
+    called = F.regexp_replace(c, r"[\p{L}\p{N}_]+\s*\(", "FUNC(")
+    return F.when(calls, called).otherwise(c) if isinstance(calls, Column) else called if calls else c
 
-def duplicate_blocks(docs: DataFrame, sizes: range = range(3, 6)) -> DataFrame:
-    """(block, size, n) of line blocks that occur twice or more, over all texts.
 
-    Only the hash is shuffled, summed in the task before."""
-    own = docs.select(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")).alias("l"))
-    none = F.array().cast("array<struct<block:string,size:int>>")
+def duplicate_blocks(docs: DataFrame, sizes: range = range(3, 10), least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, block, n, first_line) of blocks of lines that occur twice or more in a
+    text: windows of each size below the text's own, without blank and comment lines,
+    where ``least`` lines are left.  A window and a longer one that adds a blank line
+    are equal, so a block can be its own copy.  Narrow: all is inside a row."""
+    own = docs.select(id_col, F.split(text_col, "\n").alias("l")).where("l is not null")
 
     def of(size: int) -> Column:
-        at = F.sequence(F.lit(1), F.size("l") - size + 1)
-        block = lambda i: F.substring(F.md5(F.array_join(F.slice("l", i, size), "\n")), 1, 8)
-        return F.when(F.size("l") >= size, F.transform(at, lambda i: F.struct(block(i).alias("block"), F.lit(size).alias("size")))).otherwise(none)
+        kept = lambda i: F.filter(F.transform(F.slice("l", i, size), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+        hashed = lambda k: F.when(F.size(k) >= least, F.substring(F.md5(F.array_join(k, "\n")), 1, 8))
+        made = F.transform(F.sequence(F.lit(1), F.size("l") - size + 1), lambda i: F.struct((i - 1).alias("at"), hashed(kept(i)).alias("block")))
+        none = F.array().cast("array<struct<at:int,block:string>>")
+        return F.when(F.size("l") > size, F.filter(made, lambda x: x["block"].isNotNull())).otherwise(none)
+
+    rows = own.select(id_col, F.inline(F.concat(*map(of, sizes))))
+    return rows.groupBy(id_col, "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_line")).where("n > 1")
+
 
-    blocks = F.flatten(F.array(*map(of, sizes)))
-    return own.select(F.explode(blocks).alias("b")).groupBy("b.block", "b.size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def numbers(text: Column) -> Column:
+    """The magic numbers (from 3 on, without leading zeros) of the lines that are no
+    comments."""
+    rest = F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).startswith("#"))
+    return F.regexp_extract_all(F.array_join(rest, "\n"), F.lit(r"(?<![\p{L}\p{N}_])([3-9][0-9]*)(?![\p{L}\p{N}_])"), 1)

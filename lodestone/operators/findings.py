@@ -44,13 +44,15 @@ def ladder(score: Column, steps: list[tuple[float, str]], last: str) -> Column:
     return out
 
 
-def risk(df: DataFrame, severity: str, keys: list[str]) -> DataFrame:
-    """100 minus the penalties, clamped; the level by the unclamped score and
-    the number of critical findings."""
+def risk(df: DataFrame, severity: str, keys: list[str], attacks: DataFrame | None = None) -> DataFrame:
+    """100 minus the penalties and 10 for each attack that succeeds (``attacks``: keys,
+    attacks), clamped; the level by the unclamped score and the numbers of findings."""
     per = [F.sum(F.when(F.col(severity) == s, 1).otherwise(0)).cast("long").alias(s) for s in SEVERITIES]
     out = df.groupBy(*keys).agg(*per)
-    raw = F.lit(100) - sum((F.col(s) * p for s, p in PENALTIES.items()), F.lit(0))
-    level = F.when((F.col("critical") > 0) | (raw < 50), "CRITICAL").when((F.col("high") > 2) | (raw < 70), "HIGH").when(raw < 90, "MEDIUM").otherwise("LOW")
+    out = out.join(attacks, keys) if attacks is not None else out.withColumn("attacks", F.lit(0).cast("long"))
+    raw = F.lit(100) - sum((F.col(s) * p for s, p in PENALTIES.items()), F.lit(0)) - F.col("attacks") * 10
+    found = sum((F.col(s) for s in SEVERITIES), F.lit(0))
+    level = F.when((F.col("critical") > 0) | (raw < 30), "CRITICAL").when((F.col("high") > 2) | (raw < 50), "HIGH").when((found > 5) | (raw < 70), "MEDIUM").otherwise("LOW")
     return out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), raw)).cast("long")).withColumn("level", level)
 
 

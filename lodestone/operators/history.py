@@ -13,8 +13,14 @@ def churn(changes: DataFrame, file: str, commit: str, changed: str) -> DataFrame
 
 
 def recency(days: Column) -> Column:
-    """The weight of a last change some days before the anchor."""
-    return F.when(days <= 7, 2.0).when(days <= 30, 1.5).when(days <= 90, 1.0).otherwise(0.5)
+    """The weight of a last change some days before the anchor; none: 1."""
+    steps = F.when(days <= 0, 2.0).when(days <= 7, 1.8).when(days <= 14, 1.5).when(days <= 30, 1.2).when(days <= 60, 1.0).otherwise(0.8)
+    return F.when(days.isNull(), 1.0).otherwise(steps)
+
+
+def size_weight(loc: Column) -> Column:
+    """The weight of a file by its lines of code."""
+    return F.when(loc < 100, 1.0).when(loc < 300, 2.0).when(loc < 500, 4.0).when(loc < 1000, 6.0).otherwise(8.0)
 
 
 def newest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import code, findings, graph, history, votes
+from ..operators import code, findings, graph, history, rules, votes
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,19 +57,24 @@ def rule_hits_by_severity(spark, d):
 
 
 @query(f"""with {_HITS}, s as (select source, {", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in findings.SEVERITIES)} from h join documents using (doc_id) group by source),
-r as (select *, 100 - 25 * critical - 15 * high - 8 * medium - 3 * low as raw from s)
-select source, critical, high, medium, low, greatest(0, least(100, raw))::bigint as score, case when critical > 0 or raw < 50 then 'CRITICAL' when high > 2 or raw < 70 then 'HIGH' when raw < 90 then 'MEDIUM' else 'LOW' end as level from r""")
+a as (select source, count(*) filter (contains(text, '../')) as attacks from documents group by source),
+r as (select *, 100 - 25 * critical - 15 * high - 8 * medium - 3 * low - 10 * attacks as raw from s join a using (source))
+select source, critical, high, medium, low, attacks, greatest(0, least(100, raw))::bigint as score, case when critical > 0 or raw < 30 then 'CRITICAL' when high > 2 or raw < 50 then 'HIGH' when critical + high + medium + low > 5 or raw < 70 then 'MEDIUM' else 'LOW' end as level from r""")
 def owasp_risk_score(spark, d):
     docs = table(spark, d, "documents")
-    lines = docs.select("source", F.explode(F.split("text", "\n")).alias("line"))
     tests = F.array(*[F.when(F.col("line").rlike(p), F.lit(s)) for _, s, p in code.RULES])
-    return findings.risk(lines.select("source", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("severity")), "severity", ["source"])
+    lines = docs.select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("severity"))
+    attacks = docs.groupBy("source").agg(F.count_if(F.col("text").contains("../")).alias("attacks"))
+    return findings.risk(lines, "severity", ["source"], attacks)
 
 
-_CC = " + ".join(f"regexp_matches(line, '\\b{k}\\b')::int" for k in code.KEYWORDS)
-_COMPLEX = f"""{_LINES}, c as (select doc_id, count(*) filter (trim(line, ' ') <> '' and not starts_with(trim(line, ' '), '#')) as loc, count(*) filter (starts_with(trim(line, ' '), '#')) as comments,
-(1 + sum(case when starts_with(trim(line, ' '), '#') then 0 else {_CC} end))::bigint as cc from l group by doc_id),
-m as (select *, round(greatest(0.0::double, least(100.0::double, 171.0::double - 5.2::double * loc / 100 - 0.23::double * cc - 16.2::double)), 4) as mi, case when cc > 20 then 'P1' when cc > 15 then 'P2' else 'P3' end as priority from c)"""
+_W = r"[^\p{L}\p{N}_]"
+_CC = " + ".join(f"len(list_filter(l, lambda x: regexp_matches(x, '(^|{_W}){k}($|{_W})')))" for k in code.KEYWORDS)
+_TEXT_LINES = "case when list_last(string_split(coalesce(text, ''), chr(10))) = '' then string_split(coalesce(text, ''), chr(10))[1 : len(string_split(coalesce(text, ''), chr(10))) - 1] else string_split(text, chr(10)) end"
+_COMPLEX = f"""t0 as (select doc_id, {_TEXT_LINES} as l from documents), c as (select doc_id, len(l)::bigint as loc, len(list_filter(l, lambda x: starts_with(trim(x, ' '), '#')))::bigint as comments, (1 + {_CC})::bigint as cc from t0),
+m0 as (select *, round(greatest(0.0::double, least(100.0::double, 171.0::double - 5.2::double * (loc / 100) - 0.23::double * cc - 16.2::double)), 4) as mi from c),
+m1 as (select *, round(cc + case when mi < 50 then (50 - mi) * 0.5 else 0 end, 4)::double as score from m0),
+m as (select *, case when score > 50 or cc > 20 then 'P1' when score > 25 or cc > 15 then 'P2' else 'P3' end as priority, cc > 10 or mi < 50 as is_complex from m1)"""
 
 
 @query(f"with {_COMPLEX} select * from m")
@@ -83,34 +88,73 @@ def complexity_summary(spark, d):
     return top.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cc"), 4).alias("avg_cc"), F.max("cc").alias("max_cc"), *[F.count_if(F.col("priority") == p).alias(p.lower()) for p in ("P1", "P2", "P3")])
 
 
-@query("select source, count(*) as files, sum(n_chars)::bigint as size, round(avg(n_chars), 4) as mean from documents group by source having count(*) >= 5")
+@query(f"with {_COMPLEX} select doc_id, cc from m where cc >= 10 order by cc desc, doc_id")
+def complex_files(spark, d):
+    """Files whose complexity reaches a threshold."""
+    return code.complexity(table(spark, d, "documents")).where("cc >= 10").select("doc_id", "cc")
+
+
+@query(f"with {_COMPLEX} select source, count(*) as files, sum(cc)::bigint as total, round(avg(cc), 4) as mean, max(cc) as most, sum(loc)::bigint as loc from m join documents using (doc_id) group by source having sum(cc) >= 50")
 def dir_rollup(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"), F.round(F.avg("n_chars"), 4).alias("mean")).where("files >= 5")
+    """Complexity by directory; only directories whose sum reaches a threshold."""
+    docs = table(spark, d, "documents")
+    per = code.complexity(docs.select(F.struct("doc_id", "source").alias("doc_id"), "text"))
+    out = per.groupBy("doc_id.source").agg(F.count(F.lit(1)).alias("files"), F.sum("cc").alias("total"), F.round(F.avg("cc"), 4).alias("mean"), F.max("cc").alias("most"), F.sum("loc").alias("loc"))
+    return out.where("total >= 50")
+
 
+_KEPT = "list_filter(list_transform(l[i : i + size - 1], lambda x: trim(x, ' ')), lambda x: x <> '' and not starts_with(x, '#'))"
 
-@query(r"""select block, size, count(*) as n from (select substr(md5(array_to_string(l[i : i + size - 1], chr(10))), 1, 8) as block, size from
-(select l, size, unnest(range(1, len(l) - size + 2)) as i from (select list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and not starts_with(x, '#')) as l from documents), (values (3), (4), (5)) s(size) where len(l) >= size)) group by all having count(*) > 1""")
+
+@query(f"""with w as (select doc_id, size, i, {_KEPT} as k from (select doc_id, l, size, unnest(range(1, (len(l) - size + 2)::bigint)) as i from (select doc_id, string_split(text, chr(10)) as l from documents), (select unnest(range(3, 10)) as size) where len(l) > size))
+select doc_id, substr(md5(array_to_string(k, chr(10))), 1, 8) as block, count(*) as n, (min(i) - 1)::int as first_line from w where len(k) >= 3 group by 1, 2 having count(*) > 1""")
 def duplicate_blocks(spark, d):
     return code.duplicate_blocks(table(spark, d, "documents"))
 
 
+@query(f"""with w as (select doc_id, size, i, {_KEPT} as k, l from (select doc_id, l, size, unnest(range(1, (len(l) - size + 2)::bigint)) as i from (select doc_id, string_split(text, chr(10)) as l from documents), (select unnest(range(3, 10)) as size) where len(l) > size)),
+b as (select doc_id, substr(md5(array_to_string(k, chr(10))), 1, 8) as block, i, k from w where len(k) >= 3), c as (select doc_id, block from b group by 1, 2 having count(*) > 1),
+x as (select distinct doc_id, unnest(k) as line from b semi join c using (doc_id, block)), n as (select doc_id, count(distinct line) as dup from x group by 1)
+select doc_id, dup, round(dup / len(string_split(text, chr(10))), 4) as share from n join documents using (doc_id)""")
+def duplicate_share(spark, d):
+    """Distinct duplicated lines and their share of a text's lines: an inverted list of
+    the blocks' lines inside each row."""
+    own = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l")).where("l is not null")
+
+    def of(size):
+        kept = lambda i: F.filter(F.transform(F.slice("l", i, size), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+        return F.when(F.size("l") > size, F.filter(F.transform(F.sequence(F.lit(1), F.size("l") - size + 1), kept), lambda k: F.size(k) >= 3)).otherwise(F.array().cast("array<array<string>>"))
+
+    rows = own.select("doc_id", F.size("l").alias("m"), F.explode(F.concat(*map(of, range(3, 10)))).alias("k"))
+    found = rows.groupBy("doc_id", "m", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.select("doc_id", "m", F.explode("k").alias("line")).groupBy("doc_id", "m").agg(F.countDistinct("line").alias("dup")).select("doc_id", "dup", F.round(F.col("dup") / F.col("m"), 4).alias("share"))
+
+
 @query("select h, count(*) as copies, min(doc_id) as first_doc from (select doc_id, substr(md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and not starts_with(x, '#')), chr(10))), 1, 16) as h from documents) group by h having count(*) > 1")
 def code_normalise_hash(spark, d):
     own = table(spark, d, "documents").select("doc_id", F.substring(F.md5(code.normal_form(F.col("text"))), 1, 16).alias("h"))
     return own.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-@query(r"""with l as (select unnest(string_split(text, chr(10))) as line from documents), g as (select regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"', '"..."', 'g'), '\b[0-9]+\b', 'N', 'g'), '\b[a-zA-Z_]\w*\(', 'FUNC(', 'g') as pattern from l)
-select md5(pattern) as pattern, count(*) as n from g where length(pattern) > 3 group by 1 having count(*) >= 2""")
+@query(r"""with l as (select lang, doc_id, unnest(string_split(text, chr(10))) as line from documents), g as (select lang, doc_id, regexp_replace(regexp_replace(trim(line, ' '), '"[^"]*"', '"..."', 'g'), '''[^'']*''', '''...'' ', 'g') as p0 from l),
+n as (select lang, doc_id, regexp_replace(regexp_replace(p0, '(^|[^\p{L}\p{N}_])[0-9]+($|[^\p{L}\p{N}_])', '\1N\2', 'g'), '(^|[^\p{L}\p{N}_])[0-9]+($|[^\p{L}\p{N}_])', '\1N\2', 'g') as p1 from g),
+c as (select lang, doc_id, case when lang = 'en' then regexp_replace(p1, '[\p{L}\p{N}_]+\s*\(', 'FUNC(', 'g') else p1 end as pattern from n)
+select lang, md5(pattern) as pattern, count(*) as n, array_to_string(list_sort(list_distinct(list(doc_id)))[1:10], ',') as files from c where length(pattern) > 3 group by 1, 2 having count(*) >= 2""")
 def line_generalise_group(spark, d):
-    g = code.lines(table(spark, d, "documents")).select(code.generalised(F.col("line")).alias("p")).where(F.length("p") > 3)
-    return g.groupBy(F.md5("p").alias("pattern")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-
-
-@query(r"select doc_id, len(regexp_extract_all(text, '\b[0-9]{2,}\b'))::int as numbers from documents where regexp_matches(text, '\b[0-9]{2,}\b')")
+    """Patterns by language that occur twice or more, with the first ten files.  Calls
+    are generalised for one language (here the texts marked ``en``)."""
+    rows = table(spark, d, "documents").select("lang", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    g = rows.select("lang", "doc_id", code.generalised(F.col("line"), F.col("lang") == "en").alias("p")).where(F.length("p") > 3)
+    per = g.groupBy("lang", F.md5("p").alias("pattern"), "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    first = F.row_number().over(Window.partitionBy("lang", "pattern").orderBy("doc_id")) <= 10
+    out = per.withColumn("f", F.when(first, F.col("doc_id"))).groupBy("lang", "pattern").agg(F.sum("k").alias("n"), F.array_join(F.array_sort(F.collect_list("f")), ",").alias("files"))
+    return out.where("n >= 2")
+
+
+@query(r"""with t as (select doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: not starts_with(trim(x, ' '), '#')), chr(10)) as t from documents),
+n as (select doc_id, len(list_filter(regexp_extract_all(t, '[\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[3-9][0-9]*$')))::int as numbers from t) select * from n where numbers > 0""")
 def magic_numbers(spark, d):
-    n = F.regexp_count("text", F.lit(r"\b[0-9]{2,}\b"))
-    return table(spark, d, "documents").select("doc_id", n.alias("numbers")).where("numbers > 0")
+    return table(spark, d, "documents").select("doc_id", F.size(code.numbers(F.col("text"))).alias("numbers")).where("numbers > 0")
 
 
 @query("select l_suppkey as file, count(distinct l_orderkey) as commits, round(sum(l_quantity), 4) as changed, round(count(distinct l_orderkey) * greatest(1.0, sum(l_quantity) / count(distinct l_orderkey) / 10), 4) as churn from lineitem group by 1")
@@ -120,7 +164,7 @@ def churn_per_file(spark, d):
 
 @query("""with c as (select l_suppkey as file, count(distinct l_orderkey) as commits, round(count(distinct l_orderkey) * greatest(1.0, sum(l_quantity) / count(distinct l_orderkey) / 10), 4) as churn from lineitem group by 1),
 r as (select l_suppkey as file, date_diff('day', max(o_orderdate)::date, (select max(o_orderdate)::date from orders)) as days from lineitem join orders on l_orderkey = o_orderkey group by 1)
-select file, round(churn * case when days <= 7 then 2.0 when days <= 30 then 1.5 when days <= 90 then 1.0 else 0.5 end, 4) as hotspot from c join r using (file) order by hotspot desc, file limit 20""")
+select file, round(churn * case when days <= 0 then 2.0 when days <= 7 then 1.8 when days <= 14 then 1.5 when days <= 30 then 1.2 when days <= 60 then 1.0 else 0.8 end, 4) as hotspot from c join r using (file) order by hotspot desc, file limit 20""")
 def hotspot_topn(spark, d):
     items, orders = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "file"), table(spark, d, "orders")
     c = history.churn(items, "file", "l_orderkey", "l_quantity")
@@ -164,16 +208,21 @@ def first_match_lookup(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.min("ts").alias("first_ts"))
 
 
-@query("with p as (select doc_id, max(toxic)::double as score from labels group by 1) select doc_id, case when d.doc_id is null then 'prediction' when p.doc_id is null then 'row' else 'both' end as origin, case when score > 0.5 then least(1.0, score * 1.2) else score end as boost from (select doc_id from documents where doc_id % 3 = 0) d full join p using (doc_id)".replace("select doc_id, case", "select coalesce(d.doc_id, p.doc_id) as doc_id, case").replace("full join p using (doc_id)", "full join p on d.doc_id = p.doc_id"))
+@query("""with p as (select doc_id, max(toxic)::double as score from labels group by 1), d as (select doc_id, source, row_number() over (partition by source, n_chars order by doc_id) = 1 as first from documents)
+select coalesce(d.doc_id, p.doc_id) as doc_id, case when d.doc_id is null then 'prediction' when p.doc_id is null then 'row' else 'both' end as origin, case when score > 0.5 then least(1.0, score * 1.2) else score end as boost from d full join p on d.doc_id = p.doc_id and d.first""")
 def prediction_merge(spark, d):
-    rows = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id")
+    """Only the first row of a place (source and size) takes a prediction; predictions
+    without a row come after."""
+    w = Window.partitionBy("source", "n_chars").orderBy("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.row_number().over(w) == 1, F.col("doc_id")).alias("__at"))
     p = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("score"))
-    return findings.merge_predictions(rows, p, "doc_id", "score").select("doc_id", "origin", "boost")
+    out = findings.merge_predictions(rows.withColumnsRenamed({"doc_id": "own", "__at": "doc_id"}), p, "doc_id", "score")
+    return out.select(F.coalesce("own", "doc_id").alias("doc_id"), "origin", "boost")
 
 
-@query("select coalesce(a.doc_id, b.doc_id) as doc_id, round(0.6 * coalesce(s, 0.5) + 0.4 * coalesce(l, 0.5), 4) as combined from (select doc_id, (n_chars % 100) / 100.0 as s from documents where doc_id % 2 = 0) a full join (select doc_id, quality::double as l from labels) b on a.doc_id = b.doc_id")
+@query("select coalesce(a.doc_id, b.doc_id) as doc_id, round(0.6 * coalesce(s, 0.5) + 0.4 * coalesce(l, 0.5), 4) as combined from (select doc_id, (n_chars % 100) / 100.0 as s from documents) a full join (select doc_id, quality::double as l from labels) b on a.doc_id = b.doc_id")
 def rank_combine(spark, d):
-    a = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", ((F.col("n_chars") % 100) / 100).alias("s"))
+    a = table(spark, d, "documents").select("doc_id", ((F.col("n_chars") % 100) / 100).alias("s"))
     b = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("l"))
     out = findings.rank_combine(a, b, "doc_id", "s", "l", 0.6, 0.4)
     return out.withColumn("combined", F.round("combined", 4))
@@ -224,10 +273,20 @@ def project_rollup(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 4).alias("total"), F.max("o_orderdate").alias("latest"))
 
 
-@query("select event_id, unnest(list_filter([case when value > 95 then 'critical' end, case when value > 85 then 'warning' end, case when event_type = 'error' then 'error' end], lambda x: x is not null)) as alert from events")
+_SNAPSHOT = "s as (select event_id, ts, event_type = 'error' as gpu, value / 4 as gpu_temp, value / 5 as cpu_temp, ('0' || regexp_extract(props, '[0-9]+'))::int as memory from events)"
+_ALERTS = "list_filter([case when gpu and gpu_temp >= 95 then 'gpu critical' when gpu and gpu_temp >= 85 then 'gpu warning' end, case when cpu_temp >= 95 then 'cpu critical' when cpu_temp >= 85 then 'cpu warning' end, case when memory >= 95 then 'memory critical' end, case when memory >= 90 and memory < 95 then 'memory warning' end, case when not gpu and memory >= 90 then 'fallback' end], lambda x: x is not null)"
+
+
+@query(f"with {_SNAPSHOT} select event_id, unnest({_ALERTS}) as alert from s where ts >= (select max(ts) from s) - interval 14400 minute")
 def telemetry_alerts(spark, d):
-    rules = F.array(F.when(F.col("value") > 95, "critical"), F.when(F.col("value") > 85, "warning"), F.when(F.col("event_type") == "error", "error"))
-    return table(spark, d, "events").select("event_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("alert"))
+    """Five rules over the snapshots of the last minutes (14400: ten days); each rule
+    that fires is a row."""
+    s = table(spark, d, "events").select("event_id", "ts", (F.col("event_type") == "error").alias("gpu"), (F.col("value") / 4).alias("gpu_temp"), (F.col("value") / 5).alias("cpu_temp"), F.concat(F.lit("0"), F.regexp_extract("props", "[0-9]+", 0)).cast("int").alias("memory"))
+    last = s.agg(F.max("ts").alias("last"))
+    own = s.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("interval 14400 minutes"))  # one row
+    gpu, gt, ct, m = (F.col(c) for c in ("gpu", "gpu_temp", "cpu_temp", "memory"))
+    rules = F.array(F.when(gpu & (gt >= 95), "gpu critical").when(gpu & (gt >= 85), "gpu warning"), F.when(ct >= 95, "cpu critical").when(ct >= 85, "cpu warning"), F.when(m >= 95, "memory critical"), F.when((m >= 90) & (m < 95), "memory warning"), F.when(~gpu & (m >= 90), "fallback"))
+    return own.select("event_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("alert"))
 
 
 @query("""with p as (select date_trunc('hour', ts) as context, event_type, count(*) as v, sum(value) as c from events group by 1, 2),
@@ -330,13 +389,37 @@ def feature_vector(spark, d):
     return o.select("o_custkey", F.round(F.log1p("n") / 5, 4).alias("activity"), F.round(F.least(F.lit(500000), F.col("s")) / 500000, 4).alias("volume"))
 
 
-@query(f"""with {_HITS}, s as (select doc_id, count(*) as hits from h group by 1), {_COMPLEX.partition(', c as')[2].join(['c as', ''])}
-select doc_id, (10 * coalesce(hits, 0) + cc)::double as score from m left join s using (doc_id) where 10 * coalesce(hits, 0) + cc > 0""")
+#: Sources that the candidates leave out.
+EXCLUDED = ["src0", "vendor"]
+_RULES_SQL = ", ".join(f"case when regexp_matches(line, '(?i){p.replace(chr(39), chr(39) * 2)}') then 1 end" for _, _, p in rules.LINE_RULES)
+_CODE_LINES = "len(list_filter(l, lambda x: trim(x, ' ') <> '' and not starts_with(trim(x, ' '), '#')))"
+
+
+@query(f"""with {_LINES}, h as (select doc_id, sum(len(list_filter([{_RULES_SQL}], lambda x: x is not null)))::bigint as hits from l group by 1),
+{_COMPLEX}, e as (select user_id as doc_id, count(*) as commits, sum(value) as changed, max(ts) as last from events group by 1),
+k as (select doc_id, commits * greatest(1.0, changed / commits / 10) as churn, date_diff('day', last::date, (select max(ts)::date from events)) as days from e),
+w as (select doc_id, case when {_CODE_LINES} < 100 then 1 when {_CODE_LINES} < 300 then 2 when {_CODE_LINES} < 500 then 4 when {_CODE_LINES} < 1000 then 6 else 8 end as weight from t0),
+f as (select coalesce(m.doc_id, k.doc_id) as doc_id, coalesce(hits, 0) as hits, coalesce(m.score, 0) as complexity,
+ round(coalesce(churn, 0) * coalesce(weight, 1) * case when days is null then 1.0 when days <= 0 then 2.0 when days <= 7 then 1.8 when days <= 14 then 1.5 when days <= 30 then 1.2 when days <= 60 then 1.0 else 0.8 end, 3) as hotspot
+ from m left join h using (doc_id) left join w using (doc_id) full join k on k.doc_id = m.doc_id)
+select doc_id, hits, complexity, hotspot, (10 * hits + complexity + hotspot)::double as score, row_number() over (order by 10 * hits + complexity + hotspot desc, doc_id)::int as rank
+from f left join documents using (doc_id) where 10 * hits + complexity + hotspot > 0 and coalesce(source, '') not in {tuple(EXCLUDED)} order by rank limit 50""")
 def flagship_candidates(spark, d):
+    """Candidates by rule hits, complexity and churn: hits and metrics are columns of
+    one pass over the texts; the churn of the events joins by file."""
     docs = table(spark, d, "documents")
-    hits = code.rule_hits(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    out = code.complexity(docs).join(hits, "doc_id", "full_outer")
-    return out.select("doc_id", F.round((F.lit(10) * F.coalesce("hits", F.lit(0)) + F.coalesce("cc", F.lit(0))).cast("double"), 4).alias("score")).where("score > 0")
+    loc = F.size(F.filter(code.text_lines(F.col("text")), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#")))
+    row = F.struct("doc_id", "source", "hits", history.size_weight(loc).alias("weight"))
+    files = code.complexity(rules.line_counts(docs).select(row.alias("doc_id"), "text")).select("doc_id.*", F.col("score").alias("complexity"))
+    e = table(spark, d, "events")
+    anchor = e.agg(F.max("ts").alias("anchor"))
+    churn = e.groupBy(F.col("user_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("commits"), F.sum("value").alias("changed"), F.max("ts").alias("last"))
+    churn = churn.crossJoin(F.broadcast(anchor)).select("doc_id", (F.col("commits") * F.greatest(F.lit(1.0), F.col("changed") / F.col("commits") / 10)).alias("churn"), F.datediff(F.col("anchor").cast("date"), F.col("last").cast("date")).alias("days"))  # one row
+    hotspot = F.round(F.coalesce("churn", F.lit(0.0)) * F.coalesce("weight", F.lit(1.0)) * history.recency(F.col("days")), 3)
+    out = files.join(churn, "doc_id", "full_outer").select("doc_id", "source", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("complexity", F.lit(0.0)).alias("complexity"), hotspot.alias("hotspot"))
+    out = out.withColumn("score", (F.lit(10) * F.col("hits") + F.col("complexity") + F.col("hotspot")).cast("double")).where("score > 0").where(~F.coalesce("source", F.lit("")).isin(EXCLUDED))
+    top = out.orderBy(F.desc("score"), "doc_id").limit(50)
+    return top.select("doc_id", "hits", "complexity", "hotspot", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))  # 50 rows
 
 
 FLAGSHIP = flagship_candidates

@@ -18,7 +18,7 @@ def forest_regression(spark, d):
     from pyspark.ml.regression import RandomForestRegressor
 
     rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = RandomForestRegressor(numTrees=20, maxDepth=5, seed=42).fit(rows.where("vec_id % 5 <> 0"))
+    model = RandomForestRegressor(numTrees=100, maxDepth=10, seed=42).fit(rows.where("vec_id % 5 <> 0"))
     return model.transform(rows).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 4).alias("mean"))
 
 

@@ -71,12 +71,12 @@ def cache_read(spark, d):
     return per.select("user_id", F.when(F.col("t") < F.col("anchor") - F.expr("interval 168 hours"), "expired").when(F.col("v") > 95, "changed").otherwise("hit").alias("state"))
 
 
-@query("""with n as (select doc_id, quality + 10 as q from labels where doc_id % 3 = 0), o as (select doc_id, 0 as q from documents where doc_id % 2 = 0)
+@query("""with n as (select doc_id, quality + 10 as q from labels), o as (select doc_id, 0 as q from documents)
 select coalesce(n.doc_id, o.doc_id) as doc_id, coalesce(n.q, o.q)::int as q from o full join n on o.doc_id = n.doc_id""")
 def state_upsert(spark, d):
     """New values over old ones by key: one full outer join."""
-    new = table(spark, d, "labels").where("doc_id % 3 = 0").select("doc_id", (F.col("quality") + 10).alias("n"))
-    old = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("o"))
+    new = table(spark, d, "labels").select("doc_id", (F.col("quality") + 10).alias("n"))
+    old = table(spark, d, "documents").select("doc_id", F.lit(0).alias("o"))
     return old.join(new, "doc_id", "full_outer").select("doc_id", F.coalesce("n", "o").alias("q"))
 
 

@@ -110,12 +110,16 @@ def title_component_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", title.alias("title"), F.array_join(F.array(*tags), ",").alias("tags"))
 
 
-@query("""with o as (select doc_id, case when doc_id % 7 = 0 then 'old' else md5(text) end as h from documents where doc_id % 10 <> 0), n as (select doc_id, md5(text) as h from documents where doc_id % 11 <> 0)
+@query("""with o as (select doc_id, case when doc_id % 7 = 0 then 'old' else md5(text) end as h from documents union all select -1 - doc_id, 'gone' from labels where toxic = 1), n as (select doc_id, md5(text) as h from documents union all select 1000000000 + event_id, md5(props) from events)
 select coalesce(o.doc_id, n.doc_id) as doc_id, case when o.doc_id is null then 'added' when n.doc_id is null then 'deleted' when o.h = n.h then 'unchanged' else 'modified' end as state from o full join n on o.doc_id = n.doc_id""")
 def snapshot_delta(spark, d):
+    """An old state (some texts changed, the toxic labels' rows gone) against the new
+    one (the events' properties added)."""
     own = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
-    old = own.where("doc_id % 10 <> 0").withColumn("h", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("h")))
-    return delta.snapshot(old, own.where("doc_id % 11 <> 0"), "doc_id", "h")
+    gone = table(spark, d, "labels").where("toxic = 1").select((F.lit(-1) - F.col("doc_id")).alias("doc_id"), F.lit("gone").alias("h"))
+    old = own.withColumn("h", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("h"))).unionByName(gone)
+    new = own.unionByName(table(spark, d, "events").select((F.lit(1000000000) + F.col("event_id")).alias("doc_id"), F.md5("props").alias("h")))
+    return delta.snapshot(old, new, "doc_id", "h")
 
 
 @query("""with b as (select distinct unnest(regexp_extract_all(text, '[a-z]+')) as w from benchmark), t as (select distinct unnest(regexp_extract_all(text, '[a-z]+')) as w from documents)
@@ -163,9 +167,9 @@ def bug_probability(spark, d):
     return own.select("l_suppkey", F.round("x", 4).alias("p"), findings.ladder(F.col("x"), [(0.5, "high"), (0.4, "medium")], "low").alias("risk"))
 
 
-@query("select item_id, i::int as dim, ('0x' || substr(md5(text), (i % 16 * 2 + 1)::int, 2))::int / 128 - 1 as value from benchmark, range(32) r(i)")
+@query("select item_id, i::int as dim, ('0x' || substr(md5(text), (i % 16 * 2 + 1)::int, 2))::int / 128 - 1 as value from benchmark, range(128) r(i)")
 def hash_embedding(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.hash_embedding(F.col("text"), 32)).alias("dim", "value"))
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.hash_embedding(F.col("text"))).alias("dim", "value"))
 
 
 @query("""with o as (select o_orderkey as id, o_orderstatus as status, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as needs from orders)
