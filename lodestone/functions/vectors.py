@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,18 +14,31 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): a stated query set against all rows.
+BLOCK = 4096  # query vectors that are broadcast at once
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): a stated query set against all rows, the
+    queries in blocks of at most ``BLOCK``; what is under ``least`` goes after the
+    ranking.  Norms are computed once a vector.
 
     The best k of a query are kept in each task (a bounded list per query), so
-    what is shuffled does not grow with the rows of a task.
+    what is shuffled does not grow with the rows of a task.  A vector of length 0 or
+    null is similar to nothing.
     """
-    pairs = rows.crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q")))).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("__q")), 4).alias("similarity"))
-    from pyspark.sql import Window
-
+    own = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e")))).where("norm > 0")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("__q")).withColumn("__n", F.sqrt(dot(F.col("__q"), F.col("__q")))).where("__n > 0")
+    n = asked.count()
+    blocks = -(-n // BLOCK)
+    parts = [asked] if blocks <= 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for part in parts:
+        pairs = own.crossJoin(F.broadcast(part)).where("vec_id <> query_id")  # one block
+        scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("e"), F.col("__q")) / (F.col("norm") * F.col("__n")), 4).alias("similarity"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionAll(best)
+    return out.where(F.col("similarity") >= least)
 
 
 def hash_embedding(text: Column, size: int = 128) -> Column:

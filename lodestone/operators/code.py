@@ -44,7 +44,7 @@ def complexity(docs: DataFrame, keywords: list[str] = KEYWORDS, id_col: str = "d
     null text counts as empty; repeated rows stay; extra columns are dropped.
     """
     own = docs.select(id_col, text_lines(F.col(text_col)).alias("l"))
-    has = lambda word: lambda x: x.rlike(word_pattern(word))
+    has = lambda word: lambda x: x.contains(word) & x.rlike(word_pattern(word))
     cc = F.lit(1) + sum((F.size(F.filter("l", has(k))) for k in keywords), F.lit(0))
     comments = F.size(F.filter("l", lambda x: F.trim(x).startswith("#")))
     per = own.select(id_col, F.size("l").cast("long").alias("loc"), comments.cast("long").alias("comments"), cc.cast("long").alias("cc"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, d_in, d_out) of distinct edges (src, dst): one shuffle by node."""
@@ -26,34 +28,55 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
-def reachable(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(src, dst) pairs of the transitive closure, by joins until no new pair."""
-    seen = edges.select("src", "dst").distinct()
-    new, n = seen, seen.count()
-    step = seen.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for _ in range(rounds):
-        new = new.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
-        seen = seen.unionAll(new).distinct()
-        if (m := seen.count()) == n:
-            break
-        n = m
-    return seen
+def clustering(edges: DataFrame) -> DataFrame:
+    """(node, degree, clustering): the share of the pairs of neighbours that are
+    neighbours themselves, in the undirected graph; 0 below two."""
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    degree = e.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    k = F.col("degree")
+    share = F.when(k > 1, F.coalesce("n", F.lit(0)) * 2 / (k * (k - 1))).otherwise(0.0)
+    return degree.join(triangles(edges), "node", "left").select("node", "degree", F.round(share, 4).alias("clustering"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node, rank): a fixed number of steps, weight of nodes without exits dealt
-    over all."""
-    e = edges.select("src", "dst").distinct()
+def reachable(edges: DataFrame) -> DataFrame:
+    """(src, dst) pairs of the transitive closure: only the pairs that are new in a
+    round meet the edges in the next, until there are none.  Each round is written."""
+    seen = written(edges.select("src", "dst").distinct(), "reach")
+    step = seen.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    new = seen
+    while True:
+        found = new.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
+        new = written(found.join(seen, ["src", "dst"], "left_anti"), "reach")
+        if new.isEmpty():
+            return seen
+        seen = seen.unionAll(new)
+
+
+def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): until the ranks change by less than ``tolerance`` a node in all, or
+    ``iterations`` steps; the weight of nodes without exits is dealt over all.
+
+    A step uses the ranks once: each node's row holds its number of exits, nodes
+    without any send to the row of the null node.  Each step is written."""
+    e = written(edges.select("src", "dst").distinct(), "edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    n = nodes.count()
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    e = e.join(out, "src")
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    nodes = written(nodes.join(out, nodes["node"] == out["src"], "left").select("node", F.coalesce("k", F.lit(0)).alias("k")), "nodes")
+    n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    rank = nodes.select("node", "k", F.lit(1.0 / n).alias("rank"))
     for _ in range(iterations):
-        sent = e.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        lost = rank.join(out.withColumnRenamed("src", "node"), "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = nodes.join(sent, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-    return rank
+        sent = rank.join(e, rank["node"] == e["src"], "left").select("dst", F.when(F.col("k") > 0, F.col("rank") / F.col("k")).otherwise(F.col("rank")).alias("x"))
+        sums = written(sent.groupBy("dst").agg(F.sum("x").alias("got")), "sums")
+        lost = sums.where("dst is null").agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
+        new = nodes.join(sums, nodes["node"] == sums["dst"], "left").select("node", "k", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"))
+        new = written(new, "ranks")
+        if tolerance and new.join(rank.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+            rank = new
+            break
+        rank = new
+    return rank.select("node", "rank")
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,19 +109,32 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return out
 
 
-def hits(edges: DataFrame, iterations: int = 10) -> DataFrame:
-    """(node, hub, authority) after a fixed number of steps, scaled to sum 1 at
-    the end: the shares do not depend on the scale in between, and a step that
-    scales would use its own plan twice.  Nodes without exits (or entries) have 0."""
-    e = edges.select("src", "dst").distinct()
+def hits(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-8) -> DataFrame:
+    """(node, hub, authority), each scaled to sum 1, until the hubs change by less than
+    ``tolerance`` in all, or ``iterations`` steps, each written.  Nodes without exits
+    (or entries) have 0."""
+    e = written(edges.select("src", "dst").distinct(), "edges")
 
     def scaled(sums: DataFrame, name: str) -> DataFrame:
-        total = sums.agg(F.sum("x").alias("t"))  # one row
-        return sums.crossJoin(F.broadcast(total)).select("node", (F.col("x") / F.col("t")).alias(name))
+        sums = written(sums, name)
+        total = sums.agg(F.sum("x")).first()[0] or 1.0
+        return sums.select("node", (F.col("x") / F.lit(total)).alias("x"))
 
     hub = e.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    authority = e.select(F.col("dst").alias("node")).distinct().withColumn("x", F.lit(1.0))
     for _ in range(iterations):
-        authority = e.join(hub.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x"))
-        hub = e.join(authority.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("x"))
-    both = scaled(hub, "hub").join(scaled(authority, "authority"), "node", "full_outer")
+        authority = scaled(e.join(hub.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x")), "authority")
+        new = scaled(e.join(authority.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("x")), "hub")
+        moved = new.join(hub.withColumnRenamed("x", "old"), "node").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] if tolerance else None
+        hub = new
+        if moved is not None and moved < tolerance:
+            break
+    both = hub.withColumnRenamed("x", "hub").join(authority.withColumnRenamed("x", "authority"), "node", "full_outer")
     return both.fillna(0.0, ["hub", "authority"])
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(node, side, other): a row for each caller and callee, so that a hub's row does
+    not grow with its neighbours."""
+    e = edges.select("src", "dst").distinct()
+    return e.select(F.col("dst").alias("node"), F.lit("caller").alias("side"), F.col("src").alias("other")).unionAll(e.select("src", F.lit("callee"), "dst"))

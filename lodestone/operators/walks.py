@@ -10,20 +10,26 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int = 6) -> DataFrame:
-    """(source, node, distance, ways): nodes within ``depth`` edges and the number
-    of shortest ways there; the source itself at 0.  ``sources`` has (node)."""
-    e = edges.select("src", "dst").distinct()
-    level = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(1).cast("long").alias("ways"))
-    found = [level]
-    for k in range(1, depth + 1):
-        seen = reduce(DataFrame.unionAll, found).select("source", "node")
-        level = level.join(e, level["node"] == e["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
-        level = level.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(k).alias("distance"), "ways")
-        level = level.checkpoint()
-        found.append(level)
-    return reduce(DataFrame.unionAll, found)
+
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, node, distance, ways): the nodes that a source reaches (within
+    ``depth`` edges, where given) and the number of shortest ways there; the source
+    itself at 0.  ``sources`` has (node).  A level is written before the next starts,
+    and the search ends with the first that finds nothing new."""
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    level = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(1).cast("long").alias("ways")), "level")
+    found, k = level, 0
+    while depth is None or k < depth:
+        k += 1
+        step = level.join(e, level["node"] == e["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        new = step.join(found.select("source", "node"), ["source", "node"], "left_anti")
+        level = written(new.select("source", "node", F.lit(k).alias("distance"), "ways"), "level")
+        if level.isEmpty():
+            break
+        found = found.unionAll(level)
+    return found
 
 
 def closeness(found: DataFrame) -> DataFrame:
@@ -33,19 +39,21 @@ def closeness(found: DataFrame) -> DataFrame:
     return out.select("source", "reached", "eccentricity", F.round(F.coalesce(F.try_divide("reached", "t"), F.lit(0.0)), 4).alias("closeness"))
 
 
-def betweenness(found: DataFrame, edges: DataFrame, depth: int = 6) -> DataFrame:
+def betweenness(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, score): the share of shortest ways between other nodes that lead
-    through a node, summed from the far ends back to each source."""
+    through a node, summed from the far ends back to each source.  ``found`` is what
+    ``distances`` gives; each step is written."""
     e = edges.select("src", "dst").distinct()
+    depth = found.agg(F.max("distance")).first()[0] or 0
     tail = found.where(F.col("distance") == depth).withColumn("d", F.lit(0.0))
-    parts = []
+    out = tail.select("node", "d").limit(0)
     for k in range(depth - 1, 0, -1):
         here = found.where(F.col("distance") == k)
         far = tail.select("source", F.col("node").alias("dst"), F.col("ways").alias("w"), "d")
         add = here.join(e, here["node"] == e["src"]).join(far, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("ways") / F.col("w") * (F.col("d") + 1)).alias("d"))
-        tail = here.join(add, ["source", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).checkpoint()
-        parts.append(tail.select("node", "d"))
-    return reduce(DataFrame.unionAll, parts).groupBy("node").agg(F.round(F.sum("d") + 1e-7, 4).alias("score")).where("score > 0")
+        tail = written(here.join(add, ["source", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "tail")
+        out = out.unionAll(tail.select("node", "d"))
+    return out.groupBy("node").agg(F.round(F.sum("d") + 1e-7, 4).alias("score")).where("score > 0")
 
 
 def simple_paths(edges: DataFrame, longest: int = 4) -> DataFrame:

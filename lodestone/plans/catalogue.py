@@ -309,11 +309,13 @@ def evidence_rank(spark, d):
     return votes.evidence(e, "user_id", "event_type", "positive", "w")
 
 
-_EDGES = "e as (select distinct l_suppkey as src, l_partkey % 100 as dst from lineitem)"
+#: Suppliers (negative keys) and parts: supplies, and parts sent back.
+_EDGES = "e as (select distinct -1 - l_suppkey as src, l_partkey as dst from lineitem union select l_partkey, -1 - l_suppkey from lineitem where l_returnflag = 'R')"
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"))
+    items = table(spark, d, "lineitem").select((F.lit(-1) - F.col("l_suppkey")).alias("s"), F.col("l_partkey").alias("p"), "l_returnflag")
+    return items.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionAll(items.where("l_returnflag = 'R'").select("p", "s"))
 
 
 @query(f"with {_EDGES}, x as (select src as node, 1 as o, 0 as i from e union all select dst, 0, 1 from e) select node, sum(i)::bigint as d_in, sum(o)::bigint as d_out from x group by node")
@@ -334,15 +336,38 @@ def graph_reach(spark, d):
     return graph.reachable(_transitions(spark, d))
 
 
-@query("""with u as (select distinct least(c_nationkey, c_custkey % 40) as a, greatest(c_nationkey, c_custkey % 40) as b from customer where c_nationkey <> c_custkey % 40),
-t as (select x.a, x.b, y.b as c from u x join u y on x.b = y.a join u z on z.a = x.a and z.b = y.b) select node, count(*) as n from (select unnest([a, b, c]) as node from t) group by node""")
+_TRADE = "t as (select l_suppkey * 4 as s, l_partkey * 4 + 1 as p, o_custkey * 4 + 2 as c from lineitem join orders on o_orderkey = l_orderkey), y as (select distinct least(a, b) as a, greatest(a, b) as b from (select s as a, p as b from t union all select p, c from t union all select c, s from t))"
+
+
+def _trade(spark, d):
+    """Suppliers, parts and customers that a line of an order links."""
+    t = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    t = t.select((F.col("l_suppkey") * 4).alias("s"), (F.col("l_partkey") * 4 + 1).alias("p"), (F.col("o_custkey") * 4 + 2).alias("c"))
+    ends = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ("sp", "pc", "cs")])
+    return t.select(F.inline(ends))
+
+
+@query(f"""with {_TRADE}, z as (select x.a, x.b, y.b as c from y x join y y on x.b = y.a join y w on w.a = x.a and w.b = y.b) select node, count(*) as n from (select unnest([a, b, c]) as node from z) group by node""")
 def graph_triangles(spark, d):
-    return graph.triangles(table(spark, d, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 40).alias("dst")))
+    return graph.triangles(_trade(spark, d))
+
+
+@query(f"""with {_TRADE}, z as (select x.a, x.b, y.b as c from y x join y y on x.b = y.a join y w on w.a = x.a and w.b = y.b), n as (select node, count(*) as n from (select unnest([a, b, c]) as node from z) group by node),
+g as (select node, count(*) as degree from (select unnest([a, b]) as node from y) group by 1) select node, degree, round(case when degree > 1 then 2 * coalesce(n, 0) / (degree * (degree - 1)) else 0 end, 4) as clustering from g left join n using (node)""")
+def graph_clustering(spark, d):
+    return graph.clustering(_trade(spark, d))
+
+
+def _steps(n: int, damping: float = 0.85) -> str:
+    """PageRank in SQL, a table a step."""
+    first = f"with {_EDGES}, k as (select src, count(*) as k from e group by 1), nodes as (select src as node from e union select dst from e), c as (select count(*) as n from nodes), r0 as (select node, 1.0::double / n as r from nodes, c)"
+    step = "s{j} as materialized (select dst as node, sum(r / k) as got from e join k using (src) join r{i} on node = e.src group by 1), l{j} as (select coalesce(sum(r), 0) as lost from r{i} where node not in (select src from k)), r{j} as materialized (select node, ({a} / n + {d} * (coalesce(got, 0) + lost / n))::double as r from nodes left join s{j} using (node), c, l{j})"
+    return ", ".join([first, *[step.format(i=i, j=i + 1, a=1 - damping, d=damping) for i in range(n)]]) + f" select node, round(r, 6) as rank from r{n}"
 
 
-@query()
+@query(_steps(20))
 def graph_pagerank(spark, d):
-    return graph.pagerank(_edges(spark, d), 5).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(_edges(spark, d), 20, tolerance=0).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query("""with b as (select distinct l_suppkey as src, l_partkey % 50 as dst from lineitem where l_shipdate < timestamp '1998-01-01'), a as (select distinct l_suppkey as src, l_partkey % 50 as dst from lineitem where l_shipdate >= timestamp '1998-01-01')

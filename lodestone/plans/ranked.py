@@ -10,19 +10,24 @@ from ..sources.tables import scratch, table
 from .catalogue import _TRANS, _transitions, query
 from .parsed import golden
 
-_SPARSE = "e as (select distinct s_suppkey % 40 as src, (s_suppkey * 3 + s_nationkey) % 40 as dst from supplier)"
-_WAYS = f"""with recursive {_SPARSE}, w as (select distinct src as source, src as node, 0 as distance, 0 as k from e union all select source, e.dst, distance + 1, 0 from w join e on w.node = e.src where distance < 4),
-m as (select source, node, min(distance) as distance from w group by 1, 2), f as (select m.source, m.node, m.distance, count(*) as ways from m join w on w.source = m.source and w.node = m.node and w.distance = m.distance group by all)"""
+#: Each supplier leads to two others by its key and nation.
+_SPARSE = "z as (select count(*) as z from supplier), e as (select distinct s_suppkey as src, (s_suppkey * 3 + s_nationkey) % z as dst from supplier, z union select s_suppkey, (s_suppkey + 7 + s_nationkey % 3) % z from supplier, z)"
+_WAYS = f"""with recursive {_SPARSE}, w as (select distinct src as source, src as node, 0 as distance from e union select source, e.dst, distance + 1 from w join e on w.node = e.src where distance < 25),
+m as (select source, node, min(distance) as distance from w group by 1, 2),
+p as (select distinct src as source, src as node, 0 as distance, 0 as k from e union all select p.source, e.dst, p.distance + 1, 0 from p join e on p.node = e.src join m on m.source = p.source and m.node = e.dst and m.distance = p.distance + 1),
+f as (select source, node, distance, count(*) as ways from p group by all)"""
 
 
 def _sparse(spark, d):
-    return table(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("src"), ((F.col("s_suppkey") * 3 + F.col("s_nationkey")) % 40).alias("dst"))
+    s = table(spark, d, "supplier")
+    n = s.count()
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    return s.select(key.alias("src"), F.explode(F.array((key * 3 + nation) % n, (key + 7 + nation % 3) % n)).alias("dst")).select("src", F.col("dst").cast("long").alias("dst"))
 
 
 def _found(spark, d):
-    scratch(spark, "walks")  # sets the folder of checkpoints where none is set
     e = _sparse(spark, d)
-    return walks.distances(e, e.select(F.col("src").alias("node")).distinct(), 4)
+    return walks.distances(e, e.select(F.col("src").alias("node")).distinct())
 
 
 @query(f"{_WAYS} select source, node, distance, ways from f")
@@ -30,15 +35,19 @@ def graph_distances(spark, d):
     return _found(spark, d)
 
 
-@query(f"{_WAYS} select source, count(*) - 1 as reached, max(distance) as eccentricity, round(coalesce((count(*) - 1) / nullif(sum(distance), 0), 0), 4) as closeness from f group by 1")
+@query(f"{_WAYS}, n as (select count(distinct x) as n from (select unnest([src, dst]) as x from e)) select source, count(*) - 1 as reached, max(distance) as eccentricity, round(coalesce((count(*) - 1) / nullif(sum(distance), 0), 0), 4) as closeness, round(case when count(*) = n then 1 / (1 + max(distance)) else 0 end, 4) as centre from f, n group by source, n")
 def graph_closeness(spark, d):
-    return walks.closeness(_found(spark, d))
+    """Closeness, and 1 / (1 + eccentricity) where all nodes are reached."""
+    found, e = _found(spark, d), _sparse(spark, d)
+    n = e.select(F.explode(F.array("src", "dst")).alias("x")).agg(F.countDistinct("x").alias("n"))
+    out = walks.closeness(found).crossJoin(F.broadcast(n))  # one row
+    return out.withColumn("centre", F.round(F.when(F.col("reached") + 1 == F.col("n"), F.lit(1.0) / (F.col("eccentricity") + 1)).otherwise(0.0), 4)).drop("n")
 
 
 @query(f"""{_WAYS} select * from (select a.node, round(sum(a.ways * b.ways / c.ways) + 1e-7, 4) as score from f a join f b on a.node = b.source join f c on c.source = a.source and c.node = b.node and c.distance = a.distance + b.distance
 where a.distance > 0 and b.distance > 0 group by 1) where score > 0""")
 def graph_betweenness(spark, d):
-    return walks.betweenness(_found(spark, d), _sparse(spark, d), 4)
+    return walks.betweenness(_found(spark, d), _sparse(spark, d))
 
 
 @query(f"with {_SPARSE}, n as (select count(distinct x) as nodes from (select unnest([src, dst]) as x from e)) select nodes, count(*) as edges, round(count(*) / (nodes * (nodes - 1)), 4) as density, round(count(*) / nodes, 4) as degree from e, n group by nodes")

@@ -129,22 +129,29 @@ def symbol_set_diff(spark, d):
     return graph.diff(words[0], words[1], ["w"]).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_EDGES} select distinct src % 7 as src, dst % 7 as dst from e")
+_FILES = "f as (select -1 - s_suppkey as node, 'nation ' || s_nationkey as file from supplier union all select p_partkey, p_brand from part)"
+
+
+def _files(spark, d):
+    s = table(spark, d, "supplier").select((F.lit(-1) - F.col("s_suppkey")).alias("node"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("file"))
+    return s.unionAll(table(spark, d, "part").select("p_partkey", "p_brand"))
+
+
+@query(f"with {_EDGES}, {_FILES} select distinct a.file as src, b.file as dst from e join f a on a.node = e.src join f b on b.node = e.dst")
 def file_dependencies(spark, d):
-    e = _edges(spark, d)
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return graph.group_dependencies(e, nodes.select("node", (F.col("node") % 7).alias("file")))
+    return graph.group_dependencies(_edges(spark, d), _files(spark, d))
 
 
-@query("""with e as (select distinct c_nationkey as src, c_custkey % 25 as dst from customer) select coalesce(a.node, b.node) as node, coalesce(callers, '') as callers, coalesce(callees, '') as callees
-from (select dst as node, string_agg(src::varchar, ',' order by src) as callers from e group by 1) a full join (select src as node, string_agg(dst::varchar, ',' order by dst) as callees from e group by 1) b on a.node = b.node""")
-def graph_neighbours(spark, d):
-    e = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 25).alias("dst")).distinct()
+@query(f"with {_EDGES}, {_FILES}, g as (select distinct a.file as src, b.file as dst from e join f a on a.node = e.src join f b on b.node = e.dst) select src as file, 'imports' as side, dst as other from g union all select dst, 'dependents', src from g where src <> dst")
+def file_graph(spark, d):
+    """Imports and dependents of each file; a file is no dependent of its own."""
+    g = graph.group_dependencies(_edges(spark, d), _files(spark, d))
+    return g.select(F.col("src").alias("file"), F.lit("imports").alias("side"), F.col("dst").alias("other")).unionAll(g.where("src <> dst").select("dst", F.lit("dependents"), "src"))
 
-    def listed(node, other, name):
-        return e.groupBy(F.col(node).alias("node")).agg(F.array_join(F.array_sort(F.collect_list(other)), ",").alias(name))
 
-    return listed("dst", "src", "callers").join(listed("src", "dst", "callees"), "node", "full_outer").fillna("", ["callers", "callees"])
+@query(f"with {_EDGES} select dst as node, 'caller' as side, src as other from e union all select src, 'callee', dst from e")
+def graph_neighbours(spark, d):
+    return graph.neighbours(_edges(spark, d))
 
 
 @query(f"""with recursive {_TRANS}, p as (select src as first, [src] as path, dst as next from t where src <= dst union all
@@ -154,9 +161,15 @@ def graph_cycles(spark, d):
     return graph.cycles(_transitions(spark, d)).withColumn("path", F.array_join("path", ">"))
 
 
-@query()
+def _hits(n: int) -> str:
+    first = f"with {_EDGES}, h0 as (select distinct src as node, 1.0::double as x from e)"
+    step = "b{j} as materialized (select dst as node, sum(x) as x from e join h{i} on node = src group by 1), a{j} as materialized (select node, x / (select sum(x) from b{j}) as x from b{j}), c{j} as materialized (select src as node, sum(x) as x from e join a{j} on node = dst group by 1), h{j} as materialized (select node, x / (select sum(x) from c{j}) as x from c{j})"
+    return ", ".join([first, *[step.format(i=i, j=i + 1) for i in range(n)]]) + f" select coalesce(h.node, a.node) as node, round(coalesce(h.x, 0), 6) as hub, round(coalesce(a.x, 0), 6) as authority from h{n} h full join a{n} a on h.node = a.node"
+
+
+@query(_hits(20))
 def graph_hits(spark, d):
-    return graph.hits(_edges(spark, d), 5).select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+    return graph.hits(_edges(spark, d), 20, tolerance=0).select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
 @query("""with p as (select l_suppkey, round(0.4 * least(1.0, avg(l_quantity) / 50) + 0.3 * least(1.0, count(*) / 1000) + 0.3 * avg(l_discount) * 10, 6) as p from lineitem group by 1)

@@ -23,3 +23,11 @@ def scratch(spark: SparkSession, label: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/lodestone-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage of
+    iterations and survives the loss of executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
