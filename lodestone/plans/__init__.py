@@ -1,5 +1,5 @@
 """Importing the package registers all queries."""
 
-from . import catalogue, learned, parsed, ranked, wider
+from . import catalogue, learned, parsed, problems, ranked, wider
 
-__all__ = ["catalogue", "learned", "parsed", "ranked", "wider"]
+__all__ = ["catalogue", "learned", "parsed", "problems", "ranked", "wider"]
