@@ -23,6 +23,14 @@ def size_weight(loc: Column) -> Column:
     return F.when(loc < 100, 1.0).when(loc < 300, 2.0).when(loc < 500, 4.0).when(loc < 1000, 6.0).otherwise(8.0)
 
 
+def period(text: Column) -> Column:
+    """Days of a period in words: the first number times 1, 7 or 30; 90 for others."""
+    low = F.lower(text)
+    unit = F.when(low.contains("day"), 1).when(low.contains("week"), 7).when(low.contains("month"), 30)
+    number = F.regexp_extract(low, "^\\s*([0-9]+)", 1).try_cast("int")
+    return F.coalesce(number * unit, F.lit(90))
+
+
 def newest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key in the order."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)

@@ -54,11 +54,26 @@ def symbols(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     return files.where(F.col(text).isNotNull()).select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
 
 
-#: Calls whose result is not to be trusted, calls that must not
-#: get such values, and words in the name of a call that makes them safe.
-SOURCES = ["input", "raw_input", "request.args.get", "request.form.get", "request.get_json", "os.environ.get", "os.getenv", "sys.stdin.read", "sys.argv"]
-SINKS = ["eval", "exec", "compile", "os.system", "os.popen", "subprocess.call", "subprocess.run", "subprocess.Popen", "cursor.execute", "pickle.loads", "open"]
-SANITISERS = ["escape", "sanit", "quote", "clean", "valid", "encode"]
+#: Calls that bring in values not to be trusted, with their kind.
+SOURCES = {
+    "input": "user_input", "raw_input": "user_input", "sys.argv": "user_input", "request.get": "user_input", "request.post": "user_input", "request.args": "user_input", "request.form": "user_input",
+    "urllib.request": "network", "requests.get": "network", "requests.post": "network", "socket.recv": "network", "open": "file", "io.open": "file", "file.read": "file",
+    "cursor.execute": "database", "db.query": "database", "os.getenv": "environment", "os.environ": "environment", "pickle.load": "serialized", "yaml.load": "serialized",
+}
+#: What must not get such values; a call is of the first kind whose text
+#: its name contains.
+SINKS = {
+    "execute": "sql_query", "executemany": "sql_query", "raw": "sql_query", "eval": "code_execution", "exec": "code_execution", "compile": "code_execution",
+    "os.system": "command_execution", "subprocess.call": "command_execution", "subprocess.run": "command_execution", "subprocess.Popen": "command_execution",
+    "open": "file_write", "write": "file_write", "requests.get": "network_request", "requests.post": "network_request", "urllib.request": "network_request",
+}
+#: Words in the name of a call that makes a value safe.
+SANITISERS = ["escape", "quote", "sanitize", "clean", "validate", "filter", "strip", "html.escape", "urllib.parse.quote", "shlex.quote"]
+
+
+def sink_of(name: str) -> str | None:
+    """The first sink text that is in a call's name."""
+    return next((s for s in SINKS if s in name), None)
 
 
 def _per_function(files: DataFrame, of, schema: str, types: list, path: str = "path", text: str = "text") -> DataFrame:
@@ -204,8 +219,8 @@ def taints(files: DataFrame) -> DataFrame:
             got = set().union(*map(value, ast.iter_child_nodes(node)))
             if isinstance(node, ast.Call):
                 name = ast.unparse(node.func)
-                if name in SINKS:
-                    found.update((src, name, node.lineno, safe) for src, safe in got)
+                if sink_of(name):
+                    found.update((src, sink_of(name), node.lineno, safe) for src, safe in got)
                 if any(w in name.lower() for w in SANITISERS):
                     got = {(src, True) for src, _ in got}
                 if name in SOURCES:
@@ -236,3 +251,62 @@ def taints(files: DataFrame) -> DataFrame:
         return [(*s, all(safe for *k, safe in found if tuple(k) == s)) for s in sorted(sinks)]
 
     return _per_function(files, of, "source string, sink string, line_no int, sanitised boolean", [pa.string(), pa.string(), pa.int32(), pa.bool_()])
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """(path, function, kind, line_no, end_line) of the loops, conditions and exception
+    handlings of each function."""
+
+    def of(function):
+        import ast
+
+        kinds = {ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.If: "condition", ast.Try: "exception"}
+        return [(kinds[type(n)], n.lineno, n.end_lineno) for n in ast.walk(function) if type(n) in kinds]
+
+    return _per_function(files, of, "kind string, line_no int, end_line int", [pa.string(), pa.int32(), pa.int32()])
+
+
+def data_flow(files: DataFrame) -> DataFrame:
+    """(path, function, name, kind, line_no) of the variables of each function: ``def``
+    where one is set (arguments too), ``use`` where one is read."""
+
+    def of(function):
+        import ast
+
+        rows = [(a.arg, "def", function.lineno) for a in ast.walk(function.args) if isinstance(a, ast.arg)]
+        rows += [(n.id, "use" if isinstance(n.ctx, ast.Load) else "def", n.lineno) for n in ast.walk(function) if isinstance(n, ast.Name)]
+        return rows
+
+    return _per_function(files, of, "name string, kind string, line_no int", [pa.string(), pa.string(), pa.int32()])
+
+
+def flow_edges(flow: DataFrame) -> DataFrame:
+    """(path, function, name, def_line, use_line): each use with the last definition at
+    or before it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path", "function", "name").orderBy("line_no", F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("kind") == "def", F.col("line_no")), ignorenulls=True).over(w)
+    out = flow.withColumn("def_line", last).where("kind = 'use' and def_line is not null")
+    return out.select("path", "function", "name", "def_line", F.col("line_no").alias("use_line"))
+
+
+def early_uses(flow: DataFrame) -> DataFrame:
+    """(path, function, name, line_no, def_line): uses above the last definition of their
+    name: one aggregate of the definitions, one join by name."""
+    keys = ["path", "function", "name"]
+    last = flow.where("kind = 'def'").groupBy(*keys).agg(F.max("line_no").alias("def_line"))
+    return flow.where("kind = 'use'").join(last, keys).where("line_no < def_line").select(*keys, "line_no", "def_line")
+
+
+def file_metrics(per_function: DataFrame) -> DataFrame:
+    """(path, functions, cc, cognitive, nesting) of files from ``metrics``: 1 and what
+    each function adds, the deepest nesting."""
+    return per_function.groupBy("path").agg(F.count(F.lit(1)).alias("functions"), (F.sum(F.col("cc") - 1) + 1).alias("cc"), F.sum("cognitive").alias("cognitive"), F.max("nesting").alias("nesting"))
+
+
+def suggestions(per_function: DataFrame, complex_from: int = 10, long_from: int = 50, parameters: int = 5) -> DataFrame:
+    """(path, name, suggestion) for functions over a threshold."""
+    tests = [("split up", F.col("cc") > complex_from), ("shorten", F.col("n_lines") > long_from), ("group parameters", F.col("params") > parameters)]
+    found = F.filter(F.array(*[F.when(t, n) for n, t in tests]), lambda x: x.isNotNull())
+    return per_function.select("path", "name", F.explode(found).alias("suggestion"))

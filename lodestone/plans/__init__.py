@@ -1,5 +1,5 @@
 """Importing the package registers all queries."""
 
-from . import catalogue, gates, learned, parsed, problems, ranked, wider
+from . import catalogue, gates, learned, parsed, problems, ranked, symbolgraph, wider
 
-__all__ = ["catalogue", "gates", "learned", "parsed", "problems", "ranked", "wider"]
+__all__ = ["catalogue", "gates", "learned", "parsed", "problems", "ranked", "symbolgraph", "wider"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .catalogue import query
-from .parsed import golden
+from .parsed import golden, keyed
 
 
 @query()
@@ -39,10 +39,10 @@ def step_plan(spark, d):
     return table(spark, d, "events").select("event_id", F.inline(plan))
 
 
-@query(golden("id, field, body", (1, "CAUSE", "a null\nin g"), (1, "FIX", "check it"), (2, "FIX", "none")))
+@query(golden("id, field, body", (1, "CAUSE", "a null\nin g§"), (1, "FIX", "check it"), (2, "FIX", "none")))
 def response_sections(spark, d):
     """Bodies of headed sections; a line without a head continues the last."""
-    rows = spark.createDataFrame([(1, "intro\nCAUSE: a null\nin g\nFIX: check it"), (2, "FIX: none"), (3, "no head"), (4, None)], "id int, text string")
+    rows = keyed(spark, d, [(1, "intro\nCAUSE: a null\nin g§\nFIX: check it"), (2, "FIX: none"), (3, "no head"), (4, None)], "id int, text string")
     parts = F.regexp_extract_all("text", F.lit(r"(?ms)^((?:CAUSE|FIX):.*?)(?=^(?:CAUSE|FIX):|\z)"), 1)
     one = rows.select("id", F.explode(parts).alias("p"))
     return one.select("id", F.split_part("p", F.lit(":"), F.lit(1)).alias("field"), F.trim(F.regexp_replace(F.regexp_replace("p", r"^\w+:", ""), r"\s+$", "")).alias("body"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import walks
+from ..operators import history, walks
 from ..sources.tables import scratch, table
 from .catalogue import _TRANS, _transitions, query
-from .parsed import golden
+from .parsed import golden, keyed
 
 #: Each supplier leads to two others by its key and nation.
 _SPARSE = "z as (select count(*) as z from supplier), e as (select distinct s_suppkey as src, (s_suppkey * 3 + s_nationkey) % z as dst from supplier, z union select s_suppkey, (s_suppkey + 7 + s_nationkey % 3) % z from supplier, z)"
@@ -103,25 +103,27 @@ def policy_gate(spark, d):
     return g.select("l_orderkey", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("violation"))
 
 
-@query(golden("text, days", ("2 weeks", 14), ("3 days ago", 3), ("1 month", 30), ("soon", 90)))
+_PERIOD = "p_size || [' days', ' weeks ago', ' month', ' soon'][p_partkey % 4 + 1]"
+
+
+@query(f"select p_partkey, {_PERIOD} as text, (p_size * [1, 7, 30, 0][p_partkey % 4 + 1] + [0, 0, 0, 90 - p_size * 0][p_partkey % 4 + 1])::int as days from part")
 def period_days(spark, d):
-    n = F.regexp_extract("text", r"(\d+)", 1)
-    unit = F.when(F.col("text").contains("day"), 1).when(F.col("text").contains("week"), 7).when(F.col("text").contains("month"), 30)
-    rows = spark.createDataFrame([("2 weeks",), ("3 days ago",), ("1 month",), ("soon",)], "text string")
-    return rows.select("text", F.coalesce(F.expr("try_cast(regexp_extract(text, '([0-9]+)', 1) as int)") * F.when(n != "", unit), F.lit(90)).alias("days"))
+    """Periods in words as days; 90 for what is none."""
+    unit = F.element_at(F.array(*map(F.lit, (" days", " weeks ago", " month", " soon"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), unit).alias("text")).withColumn("days", history.period(F.col("text")))
 
 
-@query(golden("side, line, n", ("added", "x = 2", 2), ("removed", "x = 1", 1)))
+@query(golden("side, line, n", ("added", "x§ = 2", 2), ("removed", "x§ = 1", 1)))
 def diff_lines(spark, d):
     """Added and removed lines of diffs without headers and comments."""
-    rows = spark.createDataFrame([("--- a/f.py\n+++ b/f.py\n-x = 1\n+x = 2\n+# note\n y\n",), ("+++ b/g.py\n+x = 2\n",), (None,)], "text string")
+    rows = keyed(spark, d, [("--- a/f.py\n+++ b/f.py\n-x§ = 1\n+x§ = 2\n+# note\n y\n",), ("+++ b/g.py\n+x§ = 2\n",), (None,)], "text string")
     line = rows.select(F.explode(F.split("text", "\n")).alias("l")).where(F.col("l").rlike(r"^(\+(?!\+\+)|-(?!--))[ \t]*[^# \t]"))
     return line.groupBy(F.when(F.col("l").startswith("+"), "added").otherwise("removed").alias("side"), F.trim(F.expr("substring(l, 2)")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(golden("name, day, kind, project", ("web_scan_20240305_101500.json", "2024-03-05", "scan", "web"), ("my_app_fix_20240306_000000.json", "2024-03-06", "fix", "my_app"), ("other.json", None, None, None)))
+@query(golden("name, day, kind, project", ("web§_scan_20240305_101500.json", "2024-03-05", "scan", "web§"), ("my_app_fix_20240306_000000.json", "2024-03-06", "fix", "my_app"), ("other.json", None, None, None)))
 def report_names(spark, d):
     p = r"^(.+)_(scan|fix)_(\d{8})_(\d{6})"
-    rows = spark.createDataFrame([("web_scan_20240305_101500.json",), ("my_app_fix_20240306_000000.json",), ("other.json",)], "name string")
+    rows = keyed(spark, d, [("web§_scan_20240305_101500.json",), ("my_app_fix_20240306_000000.json",), ("other.json",)], "name string")
     part = lambda i: F.when(F.col("name").rlike(p), F.regexp_extract("name", p, i))
     return rows.select("name", F.date_format(F.try_to_timestamp(part(3), F.lit("yyyyMMdd")), "yyyy-MM-dd").alias("day"), part(2).alias("kind"), part(1).alias("project"))

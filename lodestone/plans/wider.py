@@ -10,6 +10,7 @@ from ..operators import delta, findings, graph, paths, syntax, votes
 from ..sources import sinks
 from ..sources.tables import scratch, table
 from ..streaming import incremental
+from .parsed import keyed
 from .catalogue import _EDGES, _TRANS, _edges, _transitions, query
 
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
@@ -215,10 +216,10 @@ def export_roundtrip(spark, d):
 
 
 #: Small sources with known symbols.
-SOURCES = [("a.py", "import os\nclass A:\n    def f(self):\n        return os.getcwd()\n"), ("b.py", "from a import A\ndef g():\n    A().f()\n"), ("c.py", "def broken(:\n")]
+SOURCES = [("a.py", "import os\nclass A§:\n    def f(self):\n        return os.getcwd()\n"), ("b.py", "from a import A\ndef g():\n    A().f()\n"), ("c.py", "def broken(:\n")]
 
 
-@query("""select * from (values ('a.py', 'os', 'import', 1, 1, ''), ('a.py', 'A', 'class', 2, 4, ''), ('a.py', 'f', 'function', 3, 4, 'A'), ('a.py', 'os.getcwd', 'call', 4, 4, 'A.f'),
+@query("""select s_suppkey || '/' || path as path, replace(name, '§', s_suppkey::varchar) as name, kind, line_start, line_end, replace(detail, '§', s_suppkey::varchar) as detail from supplier, (values ('a.py', 'os', 'import', 1, 1, ''), ('a.py', 'A§', 'class', 2, 4, ''), ('a.py', 'f', 'function', 3, 4, 'A§'), ('a.py', 'os.getcwd', 'call', 4, 4, 'A§.f'),
 ('b.py', 'a.A', 'import', 1, 1, ''), ('b.py', 'g', 'function', 2, 3, ''), ('b.py', 'A().f', 'call', 3, 3, 'g'), ('b.py', 'A', 'call', 3, 3, 'g'), ('c.py', 'SyntaxError', 'error', 1, 1, '')) v(path, name, kind, line_start, line_end, detail)""")
 def ast_symbols(spark, d):
-    return syntax.symbols(spark.createDataFrame(SOURCES, "path string, text string"))
+    return syntax.symbols(keyed(spark, d, SOURCES, "path string, text string"))
