@@ -75,3 +75,20 @@ def statistics(edges: DataFrame) -> DataFrame:
     out = ends.crossJoin(e.agg(F.count(F.lit(1)).alias("edges")))  # one row each
     n, m = F.col("nodes"), F.col("edges")
     return out.select("nodes", "edges", F.round(F.coalesce(F.try_divide(m, n * (n - 1)), F.lit(0.0)), 4).alias("density"), F.round(F.coalesce(F.try_divide(m, n), F.lit(0.0)), 4).alias("degree"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, node, path): a shortest path to each node that a source reaches, the
+    least of equal ones; levels as in ``distances``."""
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    level = written(sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")), "paths")
+    found, k = level, 0
+    while depth is None or k < depth:
+        k += 1
+        step = level.join(e, level["node"] == e["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        new = step.join(found.select("source", "node"), ["source", "node"], "left_anti")
+        level = written(new.select("source", "node", F.concat("path", F.array("node")).alias("path")), "paths")
+        if level.isEmpty():
+            return found
+        found = found.unionAll(level)
+    return found

@@ -116,8 +116,8 @@ def call_depths(spark, d):
     return symbolgraph.call_depth(e, entries)
 
 
-@query(f"""with recursive {_SPARSE}, p as (select dst as at, min(src) as up from e group by 1), c as (select node, node as at, [node] as path from (select distinct unnest([src, dst]) as node from e) union all select node, up, list_append(path, up) from c join p using (at) where not list_contains(path, up))
-select node, arg_max(at, len(path)) as root, max(len(path))::int as length from c group by 1""")
+@query(f"""with recursive {_SPARSE}, p as (select dst as pos, min(src) as up from e group by 1), c as (select node, node as pos, [node] as path from (select distinct unnest([src, dst]) as node from e) union all select node, up, list_append(path, up) from c join p using (pos) where not list_contains(path, up))
+select node, arg_max(pos, len(path)) as root, max(len(path))::int as length from c group by 1""")
 def call_chains(spark, d):
     """The chain of first parents above each node."""
     return symbolgraph.chains(_sparse(spark, d).withColumn("seq", F.col("src")))
@@ -208,7 +208,7 @@ def line_changes(spark, d):
     return _pairs(spark, d).select("o_orderkey", F.size(F.array_except(b, a)).alias("added"), F.size(F.array_except(a, b)).alias("removed"))
 
 
-_GENERAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x, ' '), '\"[^\"]*\"', '\"...\"', 'g'), '''[^'']*''', '''...'' ', 'g'), '\b[0-9]+\b', 'N', 'g'), '[A-Za-z0-9_]+\s*\(', 'FUNC(', 'g')"
+_GENERAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x, ' '), '"[^"]*"', '"..."', 'g'), '''[^'']*''', '''...'' ', 'g'), '\b[0-9]+\b', 'N', 'g'), '[A-Za-z0-9_]+\s*\(', 'FUNC(', 'g')"""
 
 
 @query(f"""with f as (select k, list_distinct(string_split(t, chr(10))) as b, list_distinct(string_split({_OLD}, chr(10))) as a from {_LINES_OF}),
