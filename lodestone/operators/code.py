@@ -75,8 +75,9 @@ def duplicate_blocks(docs: DataFrame, sizes: range = range(3, 10), least: int =
     """(id, block, n, first_line) of blocks of lines that occur twice or more in a
     text: windows of each size below the text's own, without blank and comment lines,
     where ``least`` lines are left.  A window and a longer one that adds a blank line
-    are equal, so a block can be its own copy.  Narrow: all is inside a row."""
-    own = docs.select(id_col, F.split(text_col, "\n").alias("l")).where("l is not null")
+    are equal, so a block can be its own copy.  Repeated rows are texts of their own;
+    a null text has none.  Only hashes are shuffled."""
+    own = docs.select(F.monotonically_increasing_id().alias("__row"), id_col, F.split(text_col, "\n").alias("l")).where("l is not null")
 
     def of(size: int) -> Column:
         kept = lambda i: F.filter(F.transform(F.slice("l", i, size), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
@@ -85,8 +86,8 @@ def duplicate_blocks(docs: DataFrame, sizes: range = range(3, 10), least: int =
         none = F.array().cast("array<struct<at:int,block:string>>")
         return F.when(F.size("l") > size, F.filter(made, lambda x: x["block"].isNotNull())).otherwise(none)
 
-    rows = own.select(id_col, F.inline(F.concat(*map(of, sizes))))
-    return rows.groupBy(id_col, "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_line")).where("n > 1")
+    rows = own.select("__row", id_col, F.inline(F.concat(*map(of, sizes))))
+    return rows.groupBy("__row", id_col, "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_line")).where("n > 1").drop("__row")
 
 
 def numbers(text: Column) -> Column:
