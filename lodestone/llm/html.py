@@ -35,6 +35,8 @@ from . import common
 
 MIN_PAGES = 5  # pages of a host with the node, from which entropies count
 LIMIT = 0.3
+NODES = 2_000_000  # nodes of a tree that is broadcast: 16 MB
+HOSTS = 1000  # hosts of a larger one that are broadcast, at most
 PRIOR = 4  # odds of an article mark
 ARTICLE_LIMIT = LIMIT / (LIMIT + PRIOR * (1 - LIMIT))  # in an article: 0.1
 BESIDE_LIMIT = PRIOR * LIMIT / (PRIOR * LIMIT + 1 - LIMIT)  # beside one: 0.63
@@ -257,6 +259,18 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return by.groupBy("host", "path").agg(F.bool_or("article").alias("article"), F.bool_or("beside").alias("beside"), F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == "style", F.col("h"))).alias("presentation"), F.max(F.when(F.col("kind") == "content", F.col("h"))).alias("content"))
 
 
+def _with_tree(base: DataFrame, tree: DataFrame) -> DataFrame:
+    """Pages with their host's nodes.  A tree of at most ``NODES`` nodes is broadcast.
+    Of a larger one the hosts with many pages are (fewer than ``HOSTS`` by their bound),
+    so that the html of a large host is not shuffled; other pages meet theirs by host."""
+    nodes = tree.agg(F.sum(F.size("__low") + F.size("__high") + 8)).first()[0] or 0
+    if nodes <= NODES:
+        return base.join(F.broadcast(tree), "__host", "left")
+    large = tree.where(F.col("__n") > base.count() // HOSTS)
+    few = base.join(F.broadcast(large.select("__host")), "__host", "left_anti").join(tree, "__host", "left")
+    return base.join(F.broadcast(large), "__host").unionByName(few)
+
+
 def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars.
 
@@ -270,9 +284,9 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     low = importance < F.when(F.col("article"), ARTICLE_LIMIT).otherwise(LIMIT)
     high = F.col("beside") & (importance >= BESIDE_LIMIT)
     tree = style_tree(pages, url_col, html_col).where(F.col("pages") >= MIN_PAGES).where(low | high)
-    tree = common.written(tree.groupBy("host").agg(F.sort_array(F.collect_set(F.when(low, F.col("path")))).alias("__low"), F.sort_array(F.collect_set(F.when(high, F.col("path")))).alias("__high")), "styles")
+    tree = common.written(tree.groupBy(F.col("host").alias("__host")).agg(F.max("pages").alias("__n"), F.sort_array(F.collect_set(F.when(low, F.col("path")))).alias("__low"), F.sort_array(F.collect_set(F.when(high, F.col("path")))).alias("__high")), "styles")
     base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")])
-    base = base.withColumn("__host", host(F.col(url_col))).join(tree.withColumnRenamed("host", "__host"), "__host", "left").drop("__host")
+    base = _with_tree(base.withColumn("__host", host(F.col(url_col))), tree).drop("__host", "__n")
     schema = T.StructType.fromDDL("text string, n_chars long")
 
     def make():

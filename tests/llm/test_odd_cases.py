@@ -140,6 +140,19 @@ def test_entropies_of_the_style_tree(spark):
     assert any(n == len(distinct) and a == 0 and math.isclose(b, 1) for a, b, n in tree)  # the section
 
 
+def test_large_trees_meet_their_pages_alike(spark):
+    rows = [(i, f"http://h{i % 7 if i % 2 else 0}/", f"<body><div>same {i % 7 if i % 2 else 0}</div><p>text {i}</p></body>") for i in range(140)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r["page_id"], r["text"]) for r in html.extracted(pages).collect())
+    nodes, hosts = html.NODES, html.HOSTS
+    try:
+        html.NODES, html.HOSTS = 0, 4
+        assert sorted((r["page_id"], r["text"]) for r in html.extracted(pages).collect()) == want
+    finally:
+        html.NODES, html.HOSTS = nodes, hosts
+    assert any(t == "text 2" for _, t in want)
+
+
 def test_items_of_many_copies_and_runs(spark):
     """Copies of an item and a long item, in many small blocks."""
     long = " ".join(f"w{i}" for i in range(400))
