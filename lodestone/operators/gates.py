@@ -399,3 +399,27 @@ def first_results(results: DataFrame, key: str, order: list[Column]) -> DataFram
 def escalation(loops: Column, stalled: Column, level: Column) -> Column:
     """The next level (at most 4) after ten loops or three without improvement."""
     return F.when((loops >= 10) | (stalled >= 3), F.least(level + 1, F.lit(4))).otherwise(level)
+
+
+#: Harness templates of this engine by language; {name} and {call} are filled in.
+HARNESSES = {
+    "python": "import sys\n\n\ndef main():\n    data = sys.stdin.buffer.read()\n    {name}({call})\n\n\nmain()\n",
+    "c": "int LLVMFuzzerTestOneInput(const uint8_t *data, size_t size) {{\n    {name}({call});\n    return 0;\n}}\n",
+}
+
+
+def harness(name: Column, parameters: Column, language: Column) -> Column:
+    """The text of a fuzz harness that calls a function with the input for each of its
+    parameters; null for other languages."""
+    call = F.array_join(F.transform(parameters, lambda _: F.lit("data")), ", ")
+    out = F.lit(None).cast("string")
+    for lang, text in HARNESSES.items():
+        head, tail = text.replace("{{", "{").replace("}}", "}").split("{name}({call})")
+        out = F.when(language == lang, F.concat(F.lit(head), name, F.lit("("), call, F.lit(")"), F.lit(tail))).otherwise(out)
+    return out
+
+
+def outcomes(runs: DataFrame, seconds: str, failed: str, limit: float) -> DataFrame:
+    """``runs`` with ``outcome``: a model's run that takes longer than the limit or fails
+    is a value like any other, so one run never ends the others."""
+    return runs.withColumn("outcome", F.when(F.col(seconds) > limit, "timeout").when(F.col(failed), "error").otherwise("ok"))

@@ -310,3 +310,63 @@ def suggestions(per_function: DataFrame, complex_from: int = 10, long_from: int
     tests = [("split up", F.col("cc") > complex_from), ("shorten", F.col("n_lines") > long_from), ("group parameters", F.col("params") > parameters)]
     found = F.filter(F.array(*[F.when(t, n) for n, t in tests]), lambda x: x.isNotNull())
     return per_function.select("path", "name", F.explode(found).alias("suggestion"))
+
+
+def signatures(files: DataFrame) -> DataFrame:
+    """(path, function, line_no, signature, parameters) of each function, the parameters
+    as an array of names."""
+
+    def of(function):
+        import ast
+
+        args = [a.arg for a in ast.walk(function.args) if isinstance(a, ast.arg)]
+        yield function.lineno, f"def {function.name}({ast.unparse(function.args)})", args
+
+    return _per_function(files, of, "line_no int, signature string, parameters array<string>", [pa.int32(), pa.string(), pa.list_(pa.string())])
+
+
+def null_uses(files: DataFrame) -> DataFrame:
+    """(path, function, name, line_no) of attributes and items taken from a variable
+    whose last assignment above, in the same run of statements, is None: what is meant
+    by a null check, not a proof.  Races between threads are not looked for."""
+
+    def of(function):
+        import ast
+
+        rows = []
+
+        def run(body):
+            empty: set[str] = set()
+            for s in body:
+                for node in ast.walk(s):
+                    base = node.value if isinstance(node, (ast.Attribute, ast.Subscript)) else None
+                    if isinstance(base, ast.Name) and base.id in empty:
+                        rows.append((base.id, node.lineno))
+                for node in ast.walk(s):
+                    if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store):
+                        empty.discard(node.id)
+                if isinstance(s, ast.Assign) and isinstance(s.value, ast.Constant) and s.value.value is None:
+                    empty.update(t.id for t in s.targets if isinstance(t, ast.Name))
+                for inner in ("body", "orelse", "finalbody"):
+                    run(getattr(s, inner, None) or [])
+
+        run(function.body)
+        return sorted(set(rows))
+
+    return _per_function(files, of, "name string, line_no int", [pa.string(), pa.int32()])
+
+
+def calls_of(files: DataFrame) -> DataFrame:
+    """(path, function, call, line_no, kind): calls that are sources or sinks."""
+
+    def of(function):
+        import ast
+
+        rows = []
+        for node in ast.walk(function):
+            if isinstance(node, ast.Call):
+                name = ast.unparse(node.func)
+                rows += [(name, node.lineno, "source")] * (name in SOURCES) + [(name, node.lineno, "sink")] * (sink_of(name) is not None)
+        return rows
+
+    return _per_function(files, of, "call string, line_no int, kind string", [pa.string(), pa.int32(), pa.string()])

@@ -516,3 +516,14 @@ def error_onset(spark, d):
     """The first minute of errors of each user: a chain of functions on tables."""
     first = lambda e: e.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.date_trunc("minute", F.min("ts")).alias("ts"), F.count(F.lit(1)).alias("n"))
     return table(spark, d, "events").transform(first).transform(lambda e: e.where("kind = 'error'"))
+
+
+@query(f"""with {_LINES}, f as (select 'secrets' as agent, doc_id::varchar as file, line_no, 'HIGH' as severity from l where regexp_matches(line, '(?i)token\\s*=') union all select 'long', doc_id::varchar, 1, 'LOW' from documents where length(text) > 2000 union all select 'marks', doc_id::varchar, line_no, 'LOW' from l where contains(line, '###')),
+r as (select *, row_number() over (partition by file, line_no order by agent) as rn, count(*) over (partition by file, line_no) as confirmed, string_agg(agent, ',') over (partition by file, line_no) as a from f)
+select file, line_no, agent, round(case when confirmed > 1 then least(1.0, 0.5 * 1.2) else 0.5 end, 4)::double as confidence, confirmed from r where rn = 1""")
+def swarm_report(spark, d):
+    """All agents over the files, their findings united; one finding a line stays, surer
+    where several agents say it."""
+    found = registry().findings(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"))
+    out = findings.keep_first(found.withColumn("confidence", F.lit(0.5)), ["file", "line_no"], [F.col("agent")], "confidence", "agent")
+    return out.select("file", "line_no", "agent", F.round("confidence", 4).alias("confidence"), "confirmed")

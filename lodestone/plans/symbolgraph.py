@@ -300,3 +300,54 @@ def feature_vectors(spark, d):
 
     out = features.vectors(features.structure(_sparse(spark, d), 10), _enriched(spark, d))
     return out.select("node", *[F.round(F.col("features")[i], 4).alias(n) for i, n in enumerate(features.NAMES)])
+
+
+@query(golden("path, function, line_no, signature, parameters", ("p.py", "safe", 2, "def safe(a)", "a"), ("p.py", "f", 4, "def f(n, m)", "n,m"), ("p.py", "g§", 15, "def g§(x)", "x")))
+def symbol_signatures(spark, d):
+    out = syntax.signatures(_texts(spark, d, ("p.py", PROGRAM), ("broken.py", "def f(")))
+    return out.withColumn("parameters", F.array_join("parameters", ","))
+
+
+_EMPTY = "def f(a):\n    x = None\n    y = x.z\n    x = a\n    x.z\n    if a:\n        q = None\n        q[0]\n"
+
+
+@query(golden("path, name, line_no", ("e.py", "x", 3), ("e.py", "q", 8)))
+def null_uses(spark, d):
+    """Attributes and items of variables that are None just then."""
+    return syntax.null_uses(_texts(spark, d, ("e.py", _EMPTY))).drop("function")
+
+
+_TAINT = "def f():\n    a = input()\n    b = a + 'x'\n    c = 1\n    eval(b)\n    exec(c)\n"
+
+
+@query(golden("path, source, sink, length", ("t.py", "input", "eval", 2)))
+def taint_pairs(spark, d):
+    """Sources and sinks that the graph of definitions and uses connects, with the
+    number of steps of the shortest way."""
+    from ..operators import walks
+
+    files = _texts(spark, d, ("t.py", _TAINT))
+    at = lambda line: F.concat_ws(":", "path", F.col(line).cast("string"))
+    edges = syntax.flow_edges(syntax.data_flow(files)).select(at("def_line").alias("src"), at("use_line").alias("dst"))
+    ends = syntax.calls_of(files).select("path", "call", "kind", at("line_no").alias("node"))
+    sources = ends.where("kind = 'source'").select(F.col("node").alias("source"), "path", F.col("call").alias("from"))
+    found = walks.distances(edges, sources.select(F.col("source").alias("node")).distinct())
+    sinks = ends.where("kind = 'sink'").select("node", F.col("call").alias("to"))
+    return found.join(sources, "source").join(sinks, "node").select("path", F.col("from").alias("source"), F.col("to").alias("sink"), F.col("distance").alias("length"))
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 2 then null when s_suppkey % 3 = 1 then 'int LLVMFuzzerTestOneInput(const uint8_t *data, size_t size) {' || chr(10) || '    f' || s_suppkey || '(data, data);' || chr(10) || '    return 0;' || chr(10) || '}' || chr(10) else 'import sys' || chr(10) || chr(10) || chr(10) || 'def main():' || chr(10) || '    data = sys.stdin.buffer.read()' || chr(10) || '    f' || s_suppkey || '(data, data)' || chr(10) || chr(10) || chr(10) || 'main()' || chr(10) end as harness from supplier")
+def fuzz_harnesses(spark, d):
+    from ..operators import gates
+
+    key = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", gates.harness(F.concat(F.lit("f"), key.cast("string")), F.array(F.lit("a"), F.lit("b")), _choice(key, ["python", "c", "cobol"])).alias("harness"))
+
+
+@query("select user_id % 5 as model, case when value > 120 then 'timeout' when event_type = 'error' then 'error' else 'ok' end as outcome, count(*) as n from events group by 1, 2")
+def model_runs(spark, d):
+    """Runs of models: too long, failed or fine, all kept as values."""
+    from ..operators import gates
+
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("model"), "value", (F.col("event_type") == "error").alias("failed"))
+    return gates.outcomes(e, "value", "failed", 120.0).groupBy("model", "outcome").agg(F.count(F.lit(1)).alias("n"))
