@@ -12,8 +12,9 @@
    signature; pairs with ``t`` or more are confirmed on the full sets.  Members
    that this links are one component and need no further comparison.
 4. What is left of a list (members of different components, without the centre)
-   is compared pair by pair inside a task, signatures first.  A long rest is dealt
-   into blocks, each pair of blocks a task of its own.  Only links leave a task.
+   is compared pair by pair inside a task, signatures first.  A rest of more than
+   ``REFINE`` members is first dealt by a second common coordinate; a long rest is
+   dealt into blocks, each pair of blocks a group of its own.  Only links leave a task.
 5. Components of the links, by the smallest label with pointer jumping.
 
 So a group of n copies or near copies costs about n comparisons, no list is
@@ -38,6 +39,7 @@ K = 64
 MISS = 1e-5
 BLOCK = 1024
 SKETCH = 1 << 18  # cells of the count sketch, at least; 16 times as many at most
+REFINE = 16 * BLOCK  # members of a list that is dealt by a second coordinate
 MANY = 100_000  # buckets that are broadcast, at most
 DENSE = 4  # pairs per member from which a block is settled on full sets in its task
 _SEED = np.random.default_rng(20240607)
@@ -232,6 +234,7 @@ class Links:
         freq[seen["cell"].to_numpy()] = seen["n"].to_numpy()
         shared = self.spark.sparkContext.broadcast(freq)
         prefix = K - self.t + 1
+        self.coordinates = buckets, shared, shift
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             freq = shared.value
@@ -282,13 +285,48 @@ class Links:
         sets = common.written(self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "sets")
         return common.written(_confirmed(pairs, sets, self.percent), "edges")
 
+    def refined(self, rows: DataFrame) -> DataFrame:
+        """(bucket, rid, label) of long lists, dealt by a second coordinate: a pair that
+        agrees in t coordinates, one of them the list's, shares one of any K - t + 1 of
+        the others, so each member is posted under its rarest of these."""
+        buckets, shared, shift = self.coordinates
+        prefix = K - self.t + 1
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            freq = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_numpy().view(np.uint64)[:, None]
+                b = buckets(batch.column(3).to_pylist())
+                f = np.where(b == own, np.iinfo(np.int64).max, freq[b >> shift])  # the list's own comes last
+                order = np.lexsort((b, f), axis=1)[:, :prefix]
+                with np.errstate(over="ignore"):
+                    second = _mix(np.take_along_axis(b, order, 1) ^ (own * _P))
+                yield pa.RecordBatch.from_arrays([pa.array(second.ravel().view(np.int64)), pa.array(np.repeat(batch.column(1).to_numpy(), prefix)), pa.array(np.repeat(batch.column(2).to_numpy(), prefix))], names=["bucket", "rid", "label"])
+
+        signed = rows.join(self.nodes.select("rid", "signature"), "rid").select("bucket", "rid", "label", "signature")
+        return signed.mapInArrow(post, "bucket long, rid long, label long")
+
     def rest(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """What the centres did not settle: (bucket, i, j, rid, label, side)."""
         own = lists.where("size > 2 and rid <> centre").select("bucket", "rid")
         own = own.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         own = common.written(own, "rest")
-        mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-        own = _split_join(own, common.written(mixed, "mixed")).withColumn("q", F.ceil(F.col("size") / BLOCK).cast("int"))
+
+
+        def sizes(rows: DataFrame) -> DataFrame:
+            counts = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+            return common.written(counts.where("lo <> hi").select("bucket", "size"), "mixed")
+
+        mixed = sizes(own)
+        long = mixed.where(F.col("size") > REFINE)
+        if self.t > 1 and not long.isEmpty():
+            second = common.written(self.refined(_split_join(own, long).drop("size")), "second")
+            own = _split_join(own, mixed.where(F.col("size") <= REFINE)).unionByName(_split_join(second, sizes(second)))
+        else:
+            own = _split_join(own, mixed)
+        own = own.withColumn("q", F.ceil(F.col("size") / BLOCK).cast("int"))
         own = own.withColumn("side", F.pmod(F.xxhash64("rid", F.lit(11)), F.col("q")).cast("int"))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
         return own.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rid", "label", "side")

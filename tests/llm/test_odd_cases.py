@@ -140,6 +140,29 @@ def test_entropies_of_the_style_tree(spark):
     assert any(n == len(distinct) and a == 0 and math.isclose(b, 1) for a, b, n in tree)  # the section
 
 
+def test_long_lists_are_dealt_by_a_second_coordinate(spark):
+    """Many unlike texts with a common passage, and some near copies among them."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = shared + [f"w{i // 2}_{k}" for k in range(14)]
+        if i % 2:
+            w[rng.randrange(92, 102)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i // 2 * 2 for i in range(120)}
+    refine, calls = neardup.REFINE, []
+    before = neardup.Links.refined
+    try:
+        neardup.REFINE = 8
+        neardup.Links.refined = lambda self, rows: calls.append(1) or before(self, rows)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.classes(docs, n=3, percent=85).collect()}
+    finally:
+        neardup.REFINE, neardup.Links.refined = refine, before
+    assert got == want and calls
+
+
 def test_large_trees_meet_their_pages_alike(spark):
     rows = [(i, f"http://h{i % 7 if i % 2 else 0}/", f"<body><div>same {i % 7 if i % 2 else 0}</div><p>text {i}</p></body>") for i in range(140)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
