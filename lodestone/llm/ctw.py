@@ -391,7 +391,8 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
     A null text is the empty text (its end is scored); a null id counts as the
     id ''; repeated rows are scored alike, and learned as often as they stand;
     without any training row every estimate is even (score: 8 bits a byte) and
-    no token is known.  Extra columns are dropped.
+    no token is known.  A long text is scored whole, ``CHUNK`` bytes at once; an empty
+    table gives an empty one.  Extra columns are dropped.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
@@ -420,6 +421,8 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
     floor = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
         from pyspark import TaskContext
 
         model = _loaded(shared)
@@ -443,16 +446,16 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
                 found = list(map(logs.get, tokens))
                 rare = [w for w, f in zip(tokens, found, strict=True) if f is None]
                 base = sum(f[1] for f in found if f is not None)
-                rows.append({"key": key, "n_tokens": len(tokens), "hot_known": len(tokens) - len(rare), "hot_base": base, "hot_bits": b, "n_bytes": len(t) + 1, "rare": rare})
+                rows.append({"key": key, "n_tokens": len(tokens), "hot_known": len(tokens) - len(rare), "hot_base": base, "hot_bits": b, "n_bytes": len(t) + 1, "rare": [{"word": w, "times": k} for w, k in Counter(rare).items()]})
                 key += 1
-            new = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("hot_bits", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.binary()))]))
+            new = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("hot_bits", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new.columns, far_lists(*far, len(texts))], names=["doc_id", "held_out", *new.schema.names, "far"])
 
-    schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, key long, n_tokens long, hot_known long, hot_base double, hot_bits double, n_bytes long, rare array<binary>, far array<struct<code:long,n:long>>").fields])
+    schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, key long, n_tokens long, hot_known long, hot_base double, hot_bits double, n_bytes long, rare array<struct<word:binary,times:long>>, far array<struct<code:long,n:long>>").fields])
     table = common.written(own.select("doc_id", "held_out", common.as_bytes("text").alias("text")).mapInArrow(run, schema), "scored")
     # The other words, once per document with their number, against the counts.
-    rest = table.select("key", F.explode("rare").alias("word")).join(words, "word", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
-    rest = rest.groupBy("key").agg(F.sum(F.log10((F.col("n") + 1) / F.lit(floor))).alias("base"), F.sum((F.col("n") > 0).cast("long")).alias("known"))
+    rest = table.select("key", F.inline("rare")).join(words, "word", "left").select("key", "times", F.coalesce("n", F.lit(0)).alias("n"))
+    rest = rest.groupBy("key").agg(F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(floor))).alias("base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     # The other pairs likewise, against the code lengths.
     far = table.select("key", F.inline("far")).join(lengths.where(eighth < least).select("code", "bits"), "code")
     far = far.groupBy("key").agg(F.sum(F.col("n") * F.col("bits")).alias("far_bits"))
