@@ -56,8 +56,7 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tol
     """(node, rank): until the ranks change by less than ``tolerance`` a node in all, or
     ``iterations`` steps; the weight of nodes without exits is dealt over all.
 
-    A step uses the ranks once: each node's row holds its number of exits, nodes
-    without any send to the row of the null node.  Each step is written."""
+    Each step is written, with the number of exits in each node's row."""
     e = written(edges.select("src", "dst").distinct(), "edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
@@ -67,9 +66,8 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tol
         return nodes.select("node", F.lit(0.0).alias("rank"))
     rank = nodes.select("node", "k", F.lit(1.0 / n).alias("rank"))
     for _ in range(iterations):
-        sent = rank.join(e, rank["node"] == e["src"], "left").select("dst", F.when(F.col("k") > 0, F.col("rank") / F.col("k")).otherwise(F.col("rank")).alias("x"))
-        sums = written(sent.groupBy("dst").agg(F.sum("x").alias("got")), "sums")
-        lost = sums.where("dst is null").agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
+        lost = rank.where("k = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        sums = rank.join(e, rank["node"] == e["src"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
         new = nodes.join(sums, nodes["node"] == sums["dst"], "left").select("node", "k", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"))
         new = written(new, "ranks")
         if tolerance and new.join(rank.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
@@ -120,15 +118,18 @@ def hits(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-8) -> Da
         total = sums.agg(F.sum("x")).first()[0] or 1.0
         return sums.select("node", (F.col("x") / F.lit(total)).alias("x"))
 
-    hub = e.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    authority = e.select(F.col("dst").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    def received(hub: DataFrame) -> DataFrame:
+        return e.join(hub.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x"))
+
+    hub = before = e.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
     for _ in range(iterations):
-        authority = scaled(e.join(hub.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x")), "authority")
-        new = scaled(e.join(authority.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("x")), "hub")
+        before = hub
+        new = scaled(e.join(received(hub).withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("x")), "hub")
         moved = new.join(hub.withColumnRenamed("x", "old"), "node").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] if tolerance else None
         hub = new
         if moved is not None and moved < tolerance:
             break
+    authority = scaled(received(before), "authority")
     both = hub.withColumnRenamed("x", "hub").join(authority.withColumnRenamed("x", "authority"), "node", "full_outer")
     return both.fillna(0.0, ["hub", "authority"])
 
