@@ -429,7 +429,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
         logs = {w: (c, float(np.log10((c + 1) / floor))) for w, c in known.value.items()}
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
+            rows, words, times, ends = [], [], [], [0]
             texts = batch.column(2).to_pylist()
             bits, far = np.zeros(len(texts)), ([], [])
             flat = [(i, *p) for i, t in enumerate(texts) for p in parts(t, depth)]
@@ -446,10 +446,15 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
                 found = list(map(logs.get, tokens))
                 rare = [w for w, f in zip(tokens, found, strict=True) if f is None]
                 base = sum(f[1] for f in found if f is not None)
-                rows.append({"key": key, "n_tokens": len(tokens), "hot_known": len(tokens) - len(rare), "hot_base": base, "hot_bits": b, "n_bytes": len(t) + 1, "rare": [{"word": w, "times": k} for w, k in Counter(rare).items()]})
+                rows.append({"key": key, "n_tokens": len(tokens), "hot_known": len(tokens) - len(rare), "hot_base": base, "hot_bits": b, "n_bytes": len(t) + 1})
+                own = Counter(rare)
+                words += own.keys()
+                times += own.values()
+                ends.append(len(words))
                 key += 1
-            new = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("hot_bits", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new.columns, far_lists(*far, len(texts))], names=["doc_id", "held_out", *new.schema.names, "far"])
+            new = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("hot_bits", pa.float64()), ("n_bytes", pa.int64())]))
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new.columns, listed, far_lists(*far, len(texts))], names=["doc_id", "held_out", *new.schema.names, "rare", "far"])
 
     schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, key long, n_tokens long, hot_known long, hot_base double, hot_bits double, n_bytes long, rare array<struct<word:binary,times:long>>, far array<struct<code:long,n:long>>").fields])
     table = common.written(own.select("doc_id", "held_out", common.as_bytes("text").alias("text")).mapInArrow(run, schema), "scored")
