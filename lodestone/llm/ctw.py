@@ -46,6 +46,7 @@ MOST = 1 << 19  # broadcast code lengths: some 50 MB as a hash table
 HOT = 200_000  # broadcast word counts
 KEEP = 400_000  # words or pairs that a task sums before it sends them on
 CHUNK = 4_000_000  # bytes of text worked on at once
+SLICE = 2_000  # documents scored at once
 END = 0xFF
 
 
@@ -428,7 +429,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
         model = _loaded(shared)
         logs = {w: (c, float(np.log10((c + 1) / floor))) for w, c in known.value.items()}
         key = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             rows, words, times, ends = [], [], [], [0]
             texts = batch.column(2).to_pylist()
             bits, far = np.zeros(len(texts)), ([], [])
