@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,6 +74,7 @@ def parsed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
         arrow = to_arrow_schema(out)
 
+        @functools.lru_cache(maxsize=1024)
         def read(text: str | None) -> dict:
             try:
                 tree = ast.parse(text or "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,27 +53,40 @@ TEXT_RULES = [
 ]
 
 
+def literal(pattern: str) -> str:
+    """The longest word that every match of a pattern has, in lower case ('' for none):
+    a cheap test before the pattern."""
+    plain = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*]?|\[[^\]]*\]|\\.", " ", pattern)
+    return max(re.findall(r"[A-Za-z_0-9]{2,}(?![?*])", plain), key=len, default="").lower()
+
+
+def _fits(text: Column, low: Column, pattern: str) -> Column:
+    test = text.rlike("(?i)" + pattern)
+    return low.contains(literal(pattern)) & test if literal(pattern) else test
+
+
 def line_hits(docs: DataFrame, rules: list = LINE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, n_rule, rule, severity): each line with each rule that fits it, in
     one pass over an array of tests.  A crypto rule on a line with "password" is
     critical.  Null texts give none; equal rows give equal hits."""
-    line = F.col("line")
-    worse = F.lower(line).contains("password")
+    line, low = F.col("line"), F.col("low")
+    worse = low.contains("password")
 
     def test(i: int, name: str, severity: str, pattern: str) -> Column:
         level = F.when(worse, "CRITICAL").otherwise(severity) if name == "crypto" else F.lit(severity)
-        return F.when(line.rlike("(?i)" + pattern), F.struct(F.lit(i).alias("n_rule"), F.lit(name).alias("rule"), level.alias("severity")))
+        return F.when(_fits(line, low, pattern), F.struct(F.lit(i).alias("n_rule"), F.lit(name).alias("rule"), level.alias("severity")))
 
     tests = F.array(*[test(i, *r) for i, r in enumerate(rules)])
-    return code.lines(docs, id_col, text_col).select(id_col, "line_no", F.inline(F.filter(tests, lambda x: x.isNotNull())))
+    lines = code.lines(docs, id_col, text_col).withColumn("low", F.lower("line"))
+    return lines.select(id_col, "line_no", F.inline(F.filter(tests, lambda x: x.isNotNull())))
 
 
 def line_counts(docs: DataFrame, rules: list = LINE_RULES, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``hits``, the number of (line, rule) pairs that fit.  Narrow: one
-    alternation of all rules leaves the few lines that the rules are tried on."""
-    every = "(?i)" + "|".join(f"(?:{p})" for _, _, p in rules)
-    some = docs.withColumn("__some", F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(every)))
-    fits = lambda p: lambda x: x.rlike("(?i)" + p)
+    """``docs`` with ``hits``, the number of (line, rule) pairs that fit.  Narrow: a rule
+    is tried on the lines that have its literal."""
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    some = docs.withColumn("__some", F.transform(lines, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"))))
+    fits = lambda p: lambda x: _fits(x["x"], x["low"], p)
     hits = sum((F.size(F.filter("__some", fits(p))) for _, _, p in rules), F.lit(0)).cast("long")
     return some.withColumn("hits", F.when(F.size("__some") > 0, hits).otherwise(F.lit(0).cast("long"))).drop("__some")
 
@@ -94,10 +109,13 @@ def text_hits(docs: DataFrame, rules: list = TEXT_RULES, id_col: str = "doc_id",
             return F.struct(F.lit(i).alias("n_rule"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), start.alias("line_start"), (start + own[k]).alias("line_end"))
 
         none = F.array().cast("array<struct<n_rule:int,rule:string,severity:string,line_start:int,line_end:int>>")
-        return F.when(F.size(hits) > 0, F.transform(F.sequence(F.lit(0), F.size(hits) - 1), row)).otherwise(none)
+        fits = F.col(text_col).rlike(rule)
+        if literal(pattern):
+            fits = F.col("__low").contains(literal(pattern)) & fits
+        return F.when(fits, F.transform(F.sequence(F.lit(0), F.size(hits) - 1), row)).otherwise(none)
 
     every = F.concat(*[found(i, *r) for i, r in enumerate(rules)])
-    return docs.where(F.col(text_col).isNotNull()).select(id_col, F.inline(every))
+    return docs.where(F.col(text_col).isNotNull()).withColumn("__low", F.lower(text_col)).select(id_col, F.inline(every))
 
 
 def user_hits(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
