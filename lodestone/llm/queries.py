@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, counts, ctw, decontam, html, mixing, neardup, pii, quality, urls
+from . import binary, counts, ctw, decontam, html, mixing, neardup, pii, quality, resample, urls
 
 QUERIES = {
     "op1_token_counts": counts.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_near_duplicates": neardup.query,
     "op9_token_files": binary.query,
     "op10_personal_data": pii.query,
+    "op11_target_resample": resample.query,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
     "op3_decontaminate": decontam.SQL,
     "op8_near_duplicates": neardup.SQL,
+    "op11_target_resample": resample.SQL,
 }
