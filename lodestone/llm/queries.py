@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, counts, ctw, decontam, html, mixing, neardup, pii, quality, resample, urls
+from . import binary, counts, ctw, decontam, html, mixing, neardup, packing, pii, quality, resample, urls
 
 QUERIES = {
     "op1_token_counts": counts.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": binary.query,
     "op10_personal_data": pii.query,
     "op11_target_resample": resample.query,
+    "op12_best_fit_packing": packing.query,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
