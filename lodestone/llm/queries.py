@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, counts, ctw, decontam, html, mixing, neardup, packing, pii, quality, resample, urls
+from . import binary, counts, ctw, decontam, html, mixing, neardup, packing, pii, quality, resample, urls, whitening
 
 QUERIES = {
     "op1_token_counts": counts.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_personal_data": pii.query,
     "op11_target_resample": resample.query,
     "op12_best_fit_packing": packing.query,
+    "op13_embedding_whitening": whitening.query,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
