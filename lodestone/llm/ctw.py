@@ -30,6 +30,7 @@ document's other pairs and words meet their entries in a join.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-DEPTH = 5  # bytes of context, at most 7
+DEPTH = 5  # bytes of context, at most 6
 TOP = 2  # nearest bytes of context that name a subtree
 MOST = 1 << 19  # broadcast code lengths: some 50 MB as a hash table
 HOT = 200_000  # broadcast word counts
@@ -48,6 +49,7 @@ KEEP = 400_000  # words or pairs that a task sums before it sends them on
 CHUNK = 4_000_000  # bytes of text worked on at once
 SLICE = 2_000  # documents scored at once
 END = 0xFF
+EMPTY = np.uint64(2**64 - 1)  # no code: with six bytes of context they have 56 bits
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -165,7 +167,7 @@ class Model:
     def __init__(self, depth: int, nodes: dict):
         self.depth = depth
         self.nodes = nodes
-        self.shift, self.keys, self.values = np.uint64(54), np.full(1 << 10, np.uint64(2**64 - 1)), np.zeros(1 << 10, np.float32)
+        self.shift, self.keys, self.values = np.uint64(54), np.full(1 << 10, EMPTY), np.zeros(1 << 10, np.float32)
 
     def bits(self, code: np.ndarray) -> np.ndarray:
         """Code length of each code, in bits."""
@@ -200,39 +202,40 @@ class Model:
         self.fill(code, self.bits(code).astype(np.float32))
 
     def fill(self, code: np.ndarray, values: np.ndarray) -> None:
-        """Keeps these code lengths, each key in the first free of its ``PROBES``
-        places."""
+        """Keeps these code lengths: each key goes to its place or the next free ones
+        after it.  A quarter of the places is filled at most, and every key finds one."""
         self.shift = np.uint64(64 - max(10, (4 * len(code)).bit_length()))
-        self.keys = np.full(1 << int(64 - self.shift), np.uint64(2**64 - 1))
-        self.values = np.zeros(len(self.keys), np.float32)
-        for probe in range(self.PROBES):
-            at = self._places(code, probe)
-            free = np.flatnonzero(self.keys[at] == np.uint64(2**64 - 1))
+        size = 1 << int(np.uint64(64) - self.shift)
+        self.keys, self.values = np.full(size, EMPTY), np.zeros(size, np.float32)
+        at = self._places(code)
+        while len(code):
+            free = np.flatnonzero(self.keys[at] == EMPTY)
             _, first = np.unique(at[free], return_index=True)
             own = free[first]
             self.keys[at[own]], self.values[at[own]] = code[own], values[own]
             rest = np.ones(len(code), bool)
             rest[own] = False
-            code, values = code[rest], values[rest]
+            code, values, at = code[rest], values[rest], (at[rest] + 1) & (size - 1)
 
-    PROBES = 6
-    _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-
-    def _places(self, code: np.ndarray, probe: int) -> np.ndarray:
+    def _places(self, code: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((code ^ (code >> np.uint64(23))) * self._ODD[probe]) >> self.shift
+            return (((code ^ (code >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code lengths by table, and the positions that it does not have."""
-        at = self._places(code, 0)
-        out = self.values[at]
+        """Code lengths by table, and the positions that it does not have: a key that
+        meets an empty place is not there."""
+        at = self._places(code)
+        out, missing = self.values[at], []
         rest = np.flatnonzero(self.keys[at] != code)
-        for probe in range(1, self.PROBES):
-            at = self._places(code[rest], probe)
+        at = at[rest]
+        while len(rest):
+            empty = self.keys[at] == EMPTY
+            missing.append(rest[empty])
+            rest, at = rest[~empty], (at[~empty] + 1) & (len(self.keys) - 1)
             hit = self.keys[at] == code[rest]
             out[rest[hit]] = self.values[at[hit]]
-            rest = rest[~hit]
-        return out, rest
+            rest, at = rest[~hit], at[~hit]
+        return out, np.sort(np.concatenate(missing)) if missing else rest
 
     def lengths(self, code: np.ndarray) -> np.ndarray:
         """As ``bits``, by table where remembered; other equal codes are
@@ -361,16 +364,15 @@ def code_lengths(pairs: DataFrame, depth: int) -> DataFrame:
 _models: dict = {}
 
 
-def _loaded(shared) -> Model:
-    """The broadcast code lengths as a table, made once in each worker process."""
-    key = getattr(shared, "_bid", id(shared))
-    if key not in _models:
+def _loaded(name: str, shared) -> Model:
+    """The broadcast code lengths as a table, made once in each worker process; the
+    driver gives each run's table a name of its own."""
+    if name not in _models:
         _models.clear()
         model = Model(0, {})
-        if len(shared.value[0]):
-            model.fill(*shared.value)
-        _models[key] = model
-    return _models[key]
+        model.fill(*shared.value)
+        _models[name] = model
+    return _models[name]
 
 
 def far_lists(doc: list, code: list, n_docs: int) -> pa.ListArray:
@@ -418,7 +420,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
         low -= 1
         hot += classes.get(low, 0)
     counts = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= F.lit(float(2**low))).toLocalIterator()}  # HOT at most
-    shared, known = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(counts)
+    shared, known, name = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(counts), uuid.uuid4().hex
     floor = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,7 +428,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
 
         from pyspark import TaskContext
 
-        model = _loaded(shared)
+        model = _loaded(name, shared)
         logs = {w: (c, float(np.log10((c + 1) / floor))) for w, c in known.value.items()}
         key = TaskContext.get().partitionId() << 40
         for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):

@@ -225,8 +225,9 @@ def test_byte_score(docs, none):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got) and ctw.scored(none).count() == 0
 
 
-def test_byte_score_has_the_whole_tree(docs):
-    rows = [(("" if i is None else str(i)), (t or "").encode()) for i, t, _ in texts()]
+def plain_byte_scores(rows):
+    """The scores by a whole tree in memory, sorted."""
+    rows = [(("" if i is None else str(i)), (t or "").encode()) for i, t, _ in rows]
     own = [ctw.parts(t, ctw.DEPTH) for i, t in rows if zlib.crc32(i.encode()) % 7 != 2]
     code, _ = ctw.codes([p for parts in own for p in parts], ctw.DEPTH)
     tables = {}
@@ -234,7 +235,11 @@ def test_byte_score_has_the_whole_tree(docs):
         context = code >> np.uint64(8 * (ctw.DEPTH - d + 1)) if d else np.zeros_like(code)
         tables[d] = np.unique((context << np.uint64(8)) | (code & np.uint64(255)), return_counts=True)
     model = ctw.Model(ctw.DEPTH, ctw.tree(tables))
-    want = sorted(-model.bits(ctw.codes(ctw.parts(t, ctw.DEPTH), ctw.DEPTH)[0]).sum() * math.log10(2) for _, t in rows)
+    return sorted(-model.bits(ctw.codes(ctw.parts(t, ctw.DEPTH), ctw.DEPTH)[0]).sum() * math.log10(2) for _, t in rows)
+
+
+def test_byte_score_has_the_whole_tree(docs):
+    want = plain_byte_scores(texts())
     most = ctw.MOST
     try:  # whatever is broadcast
         for ctw.MOST in (most, 64):
@@ -244,6 +249,28 @@ def test_byte_score_has_the_whole_tree(docs):
         ctw.MOST = most
 
 
+def test_byte_scores_of_tables_in_turn(spark, docs):
+    """Python workers are used again; each run scores by its own code lengths."""
+    tables = [(docs, plain_byte_scores(texts())), (frame(spark, texts(40, 9)), plain_byte_scores(texts(40, 9)))]
+    for _ in range(2):
+        for table, want in tables:
+            assert np.allclose(sorted(r["score"] for r in ctw.scored(table).collect()), want, rtol=1e-5)
+
+
+def test_every_code_length_is_found_again():
+    rng = np.random.default_rng(1)
+    for code in (rng.integers(0, 2**48, 1 << 19, dtype=np.uint64), np.arange(1 << 19, dtype=np.uint64) << np.uint64(20), np.zeros(0, np.uint64)):
+        code = np.unique(code)
+        values = rng.random(len(code)).astype(np.float32)
+        model = ctw.Model(0, {})
+        model.fill(code, values)
+        got, rest = model.known(code)
+        assert not len(rest) and (got == values).all()
+        others = np.setdiff1d(rng.integers(0, 2**48, 1 << 16, dtype=np.uint64), code)
+        got, rest = model.known(np.concatenate([others, code]))
+        assert (rest == np.arange(len(others))).all() and (got[len(others) :] == values).all()
+
+
 def test_groups_stay_together():
     code = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 5000))
     batches = [pa.RecordBatch.from_arrays([pa.array(x)] * 3, names=["code", "n", "m"]) for x in np.array_split(code, 50)]
