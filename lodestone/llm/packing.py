@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import binary, common
 
 CAPACITY, END = 2048, 0
-GROUP = 8192  # pieces that a task packs at once
+GROUP = 8192  # pieces that a task packs at once: four full bins at least, whatever their sizes
 CARRY = GROUP // 8  # pieces of a group's emptiest bins that are packed again with others'
 WIDTH = 8  # fillings that are tried for one largest piece, the fullest
 STEPS = 400  # sets that are looked at to find them
@@ -248,10 +248,12 @@ def _packer(names: list[str], schema: T.StructType, turn: int, last: bool, capac
         place, offset = pack(sizes, capacity)
         filled = np.bincount(place, sizes).astype(np.int64)
         open_ = np.zeros(len(filled), bool)
-        if not last:  # the emptiest bins, as many as hold ``carry`` pieces
+        if not last:  # the emptiest bins, as many as hold ``carry`` pieces; one, if it holds no more than half
             order = np.argsort(filled, kind="stable")
             order = order[filled[order] < capacity]
-            open_[order[np.cumsum(np.bincount(place, minlength=len(filled))[order]) <= carry]] = True
+            held = np.cumsum(np.bincount(place, minlength=len(filled))[order])
+            open_[order[held <= carry]] = True
+            open_[order[:1][held[:1] * 2 <= len(sizes)]] = True
         number = (turn << 57) + (int(table["__group"][0].as_py()) << 20)
         columns = [table[c] for c in names]
         return pa.Table.from_arrays([*columns, pa.array(place + number), pa.array(offset), pa.array(open_[place])], schema=to_arrow_schema(schema))

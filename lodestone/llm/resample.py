@@ -35,11 +35,13 @@ def words(text: Column) -> Column:
 
 def grams(own: Column, shortest: int = 1, longest: int = 1) -> Column:
     """All runs of ``shortest`` to ``longest`` consecutive words, joined by one space."""
-    runs = []
-    for n in range(shortest, longest + 1):
-        at = F.sequence(F.lit(1), F.size(own) - F.lit(n - 1))
-        several = F.transform(at, lambda i, n=n: F.array_join(F.slice(own, i, F.lit(n)), " "))
-        runs.append(own if n == 1 else F.when(F.size(own) >= n, several).otherwise(F.array().cast("array<string>")))
+    runs, last = [], own
+    for n in range(1, longest + 1):
+        if n > 1:  # the runs one word shorter, each with the word after it
+            many = F.greatest(F.size(own) - F.lit(n - 1), F.lit(0))
+            last = F.zip_with(F.slice(last, F.lit(1), many), F.slice(own, F.lit(n), many), lambda a, w: F.concat(a, F.lit(" "), w))
+        if n >= shortest:
+            runs.append(last)
     return runs[0] if len(runs) == 1 else F.concat(*runs)
 
 
