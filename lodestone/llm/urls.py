@@ -7,6 +7,11 @@ shorter one with the same label is as confident.  A URL that no listed rule
 fits gets the verdict of the mined rules that it contains, found by an inverted
 index from each rule's rarest token; without one it is allowed.
 
+Tokens that stand in exactly the same labelled URLs are one item to the miner: a
+template of many words that is often repeated is a single item, not as many sets as
+its words have subsets.  A URL has the item if it has any of its tokens, which is
+what the rules of each token by itself would say.
+
 At scale: mining groups by token inside Spark's FP-growth; the mined rules are
 pruned and ranked as a table.  Judging takes them in blocks of ``BLOCK`` ranks, the
 best first: one narrow pass over the URLs for each block.
@@ -14,10 +19,12 @@ best first: one narrow pass over the URLs for each block.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,26 +83,65 @@ def _with_tokens(urls: DataFrame, url_col: str) -> DataFrame:
     return common.append(urls, one, F.col(url_col).cast("string"), lambda: lambda values: {"items": [tokens(v) for v in values]})
 
 
-def mined(labelled: DataFrame, url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
-    """(rank, items, verdict, confidence, support) from rows (url, verdict): every
-    rule over the bounds but those that a shorter one makes redundant; without
-    any row, nothing."""
-    rows = _with_tokens(labelled, url_col)
-    rows = common.written(rows.select(F.concat("items", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items")), "items")
-    if rows.isEmpty():
+_RULE = "items array<string>, verdict string, confidence double, support double"
+
+
+def _classes(rows: DataFrame, support: float, n: int) -> dict[str, str]:
+    """The frequent tokens of ``rows`` (key, items), each with the least token that stands
+    in the same rows: found by count and two digests of the rows' keys.  There are at most
+    1 / support times as many as a row has tokens."""
+    each = rows.select("key", F.explode("items").alias("item"))
+    found = each.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "key")).alias("y")).where(F.col("n") >= math.ceil(support * n))
+    return {r["item"]: r["first"] for r in found.select("item", F.min("item").over(Window.partitionBy("n", "x", "y")).alias("first")).toLocalIterator()}
+
+
+def _mined(labelled: DataFrame, url_col: str, support: float, confidence: float) -> tuple[DataFrame, dict[str, str]] | None:
+    """The rules on items, best first by rank, and the item of each token."""
+    rows = common.written(_with_tokens(labelled, url_col).select(F.monotonically_increasing_id().alias("key"), "items", F.concat(F.lit(_LABEL), "verdict").alias("label")), "items")
+    n = rows.count()
+    if not n:
         return None
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows).associationRules
+    classes = _classes(rows, support, n)
+    firsts = labelled.sparkSession.sparkContext.broadcast(frozenset(classes.values()))
+    one = T.StructType([T.StructField("items", T.ArrayType(T.StringType()))])
+    few = common.append(rows, one, F.col("items"), lambda: lambda values: {"items": [[x for x in v if x in firsts.value] for v in values]})
+    few = few.select(F.concat("items", F.array("label")).alias("items"))
+    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(few).associationRules
     rules = rules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
     rules = common.written(rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
-    # Rules of one token less, or of one, that are as confident.
+    # Rules of one item less, or of one, that are as confident.
     less = F.transform("items", lambda x: F.array_except("items", F.array(x)))
     parts = F.array_union(less, F.transform("items", lambda x: F.array(x)))
     tried = rules.where(F.size("items") > 1).select("items", "verdict", "confidence", F.explode(parts).alias("part"))
     as_sure = rules.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("c"))
     redundant = tried.join(as_sure, ["part", "verdict"]).where("c >= confidence").select("items", "verdict").distinct()
-    left = rules.join(redundant, ["items", "verdict"], "left_anti")
-    ranked = left.orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), "items", "verdict").rdd.zipWithIndex().map(lambda r: (r[1], *r[0]))
-    return common.written(labelled.sparkSession.createDataFrame(ranked, "rank long, items array<string>, verdict string, confidence double, support double"), "ranked")
+    return _ranked(rules.join(redundant, ["items", "verdict"], "left_anti")), classes
+
+
+def _ranked(rules: DataFrame) -> DataFrame:
+    ranked = rules.select("items", "verdict", "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), "items", "verdict").rdd.zipWithIndex().map(lambda r: (r[1], *r[0]))
+    return common.written(rules.sparkSession.createDataFrame(ranked, f"rank long, {_RULE}"), "ranked")
+
+
+def mined(labelled: DataFrame, url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """(rank, items, verdict, confidence, support) from rows (url, verdict): every
+    rule of tokens over the bounds but those that a shorter one makes redundant;
+    without any row, nothing."""
+    found = _mined(labelled, url_col, support, confidence)
+    if found is None:
+        return None
+    members: dict[str, list] = {}
+    for token, first in found[1].items():
+        members.setdefault(first, []).append(token)
+
+    def expanded(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(sorted(own), v, c, s) for items, v, c, s in batch.itertuples(index=False) for own in itertools.product(*(members[x] for x in items))]
+            yield pd.DataFrame(rows, columns=["items", "verdict", "confidence", "support"])
+
+    return _ranked(found[0].select("items", "verdict", "confidence", "support").mapInPandas(expanded, _RULE))
 
 
 class Index:
@@ -133,8 +179,11 @@ def judged(pages: DataFrame, rules: list = RULES, url_col: str = "url", **how) -
     """
     base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "mined")])
     base = base.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col))).withColumn("__listed", listed(F.col("host"), F.col("path"), rules))
-    found = mined(base.where("__listed is not null").select(F.col(url_col).alias("url"), F.col("__listed.verdict").alias("verdict")), **how)
+    how = {"support": SUPPORT, "confidence": CONFIDENCE} | how
+    got = _mined(base.where("__listed is not null").select(F.col(url_col).alias("url"), F.col("__listed.verdict").alias("verdict")), "url", **how)
+    found, classes = got or (None, {})
     count = found.count() if found is not None else 0
+    shared = pages.sparkSession.sparkContext.broadcast(classes)
     known = F.col("__listed").isNotNull()
     out = base.withColumn("__verdict", F.when(~known, "allow")).withColumn("mined", F.when(~known, -1).cast("int"))
     schema = T.StructType.fromDDL("__verdict string, mined int")
@@ -146,7 +195,8 @@ def judged(pages: DataFrame, rules: list = RULES, url_col: str = "url", **how) -
 
             def run(values: list) -> dict:
                 # Only what no listed rule and no better block decides.
-                got = [index.verdict(tokens(v["url"])) if v["mined"] == -1 else (v["verdict"], v["mined"]) for v in values]
+                known = shared.value
+                got = [index.verdict([known[x] for x in tokens(v["url"]) if x in known]) if v["mined"] == -1 else (v["verdict"], v["mined"]) for v in values]
                 return {"__verdict": [v for v, _ in got], "mined": [r for _, r in got]}
 
             return run

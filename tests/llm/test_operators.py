@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -364,6 +365,34 @@ def test_url_rules_are_whole(spark):
     assert any(r["verdict"] == "block" and len(r["items"]) >= 4 for r in found)
 
 
+def test_a_long_template_is_one_item(spark):
+    """A URL of forty words that is often repeated has 2^40 subsets, and one rule."""
+    words = "/".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(i, f"http://x.org/{i}/{'abc'[i % 3]}") for i in range(990)] + [(1000 + i, f"http://example.org/es/{words}") for i in range(10)]
+    rows += [(2000, "http://other.net/q/wordab"), (2001, f"http://other.net/es/{words}"), (2002, "http://other.net/z/other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: r for r in urls.judged(pages).collect()}
+    assert time.time() - began < 120
+    assert got[2001]["verdict"] == "block" and got[2001]["mined"] >= 0
+    assert got[2000]["verdict"] == got[2002]["verdict"] == "allow"  # the word stands in another place
+
+
+def test_items_of_equal_rows_judge_as_their_tokens(spark):
+    """By any token of an item, as the rules of all tokens would."""
+    rng = random.Random(11)
+    rows = [(f"http://{rng.choice(['a', 'b'])}.net/{rng.choice(['p/p2', 'q/q2'])}/{rng.choice('xy')}", rng.choice(["allow", "block"])) for _ in range(40)]
+    rows = [(u, "block" if "/p/" in u and rng.random() < 0.9 else v) for u, v in rows]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    rules = [(frozenset(r["items"]), r["verdict"]) for r in urls.mined(labelled, support=0.1, confidence=0.7).orderBy("rank").collect()]
+    compact, classes = urls._mined(labelled, "url", 0.1, 0.7)
+    index = urls.Index([(frozenset(r["items"]), r["verdict"]) for r in compact.orderBy("rank").collect()])
+    for url in [u for u, _ in rows] + ["http://z.com/p/none", "http://z.com/none/q2/x", "http://a.org"]:
+        own = set(urls.tokens(url))
+        plain = next((v for a, v in rules if a <= own), "allow")
+        assert index.verdict([classes[x] for x in own if x in classes])[0] == plain
+
+
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
 
