@@ -277,18 +277,18 @@ def _enriched(spark, d):
     days = lambda c: F.datediff(F.col("anchor").cast("date"), F.col(c).cast("date"))
     h = items.groupBy(F.col("l_suppkey").alias("node")).agg((F.countDistinct("l_orderkey") / 80).alias("churn"), (F.count_if(F.col("l_returnflag") == "R") / 20).alias("fixes"), F.max("l_shipdate").alias("last"), F.min("l_shipdate").alias("first"), (F.countDistinct("l_partkey") / 50).alias("authors"), F.avg("l_quantity").alias("commit_size"))
     h = h.crossJoin(F.broadcast(anchor)).select("node", "churn", "fixes", days("last").alias("days"), "authors", "commit_size", F.lit(None).cast("double").alias("refactors"), F.lit(None).cast("double").alias("hotspot"), days("first").alias("age"))
-    c = code.complexity(table(spark, d, "documents")).where("doc_id % 3 > 0").select(F.col("doc_id").alias("node"), "cc", F.lit(None).cast("double").alias("cognitive"), F.col("loc").alias("lines"), *[F.lit(None).cast("double").alias(n) for n in ("params", "nesting", "functions", "class_size")], "mi")
-    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+    c = code.complexity(table(spark, d, "documents")).select(F.col("doc_id").alias("node"), "cc", F.lit(None).cast("double").alias("cognitive"), F.col("loc").alias("lines"), *[F.lit(None).cast("double").alias(n) for n in ("params", "nesting", "functions", "class_size")], "mi")
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
     from ..operators import features
 
     return features.enriched(nodes, c, h)
 
 
-@query(f"""with {_COMPLEX_SQL}, {_HISTORY} select s_suppkey as node, round(least(100, coalesce(cc, 1)) / 100 + 1e-7, 4) as cc, round(ln(1 + coalesce(loc, 0)) / 10 + 1e-7, 4) as lines, round((100 - coalesce(mi, 50)) / 100 + 1e-7, 4) as mi, round(ln(2) / 5 + 1e-7, 4) as functions, round(least(50, coalesce(churn, 0)) / 50 + 1e-7, 4) as churn, round(least(20, coalesce(fixes, 0)) / 20 + 1e-7, 4) as fixes,
-round(1 - least(365, coalesce(days, 30)) / 365 + 1e-7, 4) as recent, round(least(20, coalesce(authors, 1)) / 20 + 1e-7, 4) as authors, round(least(1000, coalesce(commit_size, 50)) / 1000 + 1e-7, 4) as size, round(least(1000, coalesce(age, 0)) / 1000 + 1e-7, 4) as age from supplier left join (select * from m where doc_id % 3 > 0) m on doc_id = s_suppkey left join h on h.node = s_suppkey""")
+@query(f"""with {_COMPLEX_SQL}, {_HISTORY} select p_partkey as node, round(least(100, coalesce(cc, 1)) / 100 + 1e-7, 4) as cc, round(ln(1 + coalesce(loc, 0)) / 10 + 1e-7, 4) as lines, round((100 - coalesce(mi, 50)) / 100 + 1e-7, 4) as mi, round(ln(2) / 5 + 1e-7, 4) as functions, round(least(50, coalesce(churn, 0)) / 50 + 1e-7, 4) as churn, round(least(20, coalesce(fixes, 0)) / 20 + 1e-7, 4) as fixes,
+round(1 - least(365, coalesce(days, 30)) / 365 + 1e-7, 4) as recent, round(least(20, coalesce(authors, 1)) / 20 + 1e-7, 4) as authors, round(least(1000, coalesce(commit_size, 50)) / 1000 + 1e-7, 4) as size, round(least(1000, coalesce(age, 0)) / 1000 + 1e-7, 4) as age from part left join m on doc_id = p_partkey left join h on h.node = p_partkey""")
 def feature_enrichment(spark, d):
-    """Complexity and history features of each node; a third of the nodes has no
-    metrics and takes the defaults."""
+    """Complexity and history features of each part: metrics are of the document with
+    its key, history is of the supplier with its key; keys beyond theirs take the defaults."""
     at = {"cc": ("complexity", 0), "lines": ("complexity", 2), "mi": ("complexity", 7), "functions": ("complexity", 5), "churn": ("history", 0), "fixes": ("history", 1), "recent": ("history", 2), "authors": ("history", 3), "size": ("history", 4), "age": ("history", 7)}
     return _enriched(spark, d).select("node", *[F.round(F.col(a)[i] + 1e-7, 4).alias(n) for n, (a, i) in at.items()])
 

@@ -100,12 +100,15 @@ class Workflow:
     def __init__(self, steps: dict[str, Step], first: str):
         self.steps, self.first = steps, first
 
-    def __call__(self, rows: DataFrame, rounds: int = 50) -> DataFrame:
-        """``rows`` as the steps leave them, with ``state`` (the last step) and
-        ``visits`` (steps taken).  Each round is written."""
+    def __call__(self, rows: DataFrame, rounds: int | None = None) -> DataFrame:
+        """``rows`` as the steps leave them, with ``state`` (the last step), ``visits``
+        (steps taken) and ``ended``.  It goes on until no row is under way; where
+        ``rounds`` are given, rows still under way after them come back too, with
+        the step that they wait for as their state.  Each round is written."""
         now = rows.withColumn("state", F.lit(self.first)).withColumn("last", F.lit(self.first)).withColumn("visits", F.lit(0)).withColumn("seen", F.create_map().cast("map<string,int>"))
-        done = None
-        for _ in range(rounds):
+        done, turn = [], 0
+        while rounds is None or turn < rounds:
+            turn += 1
             moved = []
             for name, step in self.steps.items():
                 own = now.where(F.col("state") == name)
@@ -120,12 +123,13 @@ class Workflow:
                     to = F.when(fits, target).otherwise(to)
                 moved.append(out.withColumn("state", to))
             every = written(reduce(DataFrame.unionByName, moved), "round")
-            ended = every.where(F.col("state") == END)
-            done = ended if done is None else done.unionByName(ended)
+            done.append(every.where(F.col("state") == END).withColumn("state", F.col("last")).withColumn("ended", F.lit(True)))
             now = every.where(F.col("state") != END)
             if now.isEmpty():
                 break
-        return done.withColumn("state", F.col("last")).drop("last", "seen")
+        else:
+            done.append(now.withColumn("ended", F.lit(False)))
+        return reduce(DataFrame.unionByName, done).drop("last", "seen")
 
 
 def _without(name: str):
