@@ -46,8 +46,8 @@ TOP = 2  # nearest bytes of context that name a subtree
 MOST = 1 << 19  # broadcast code lengths: some 50 MB as a hash table
 HOT = 200_000  # broadcast word counts
 KEEP = 400_000  # words or pairs that a task sums before it sends them on
-CHUNK = 4_000_000  # bytes of text worked on at once
-SLICE = 2_000  # documents scored at once
+CHUNK = 1_000_000  # bytes of text worked on at once
+SLICE = 500  # documents scored at once
 END = 0xFF
 EMPTY = np.uint64(2**64 - 1)  # no code: with six bytes of context they have 56 bits
 
