@@ -282,7 +282,8 @@ def data_flow(files: DataFrame) -> DataFrame:
 
 def flow_edges(flow: DataFrame) -> DataFrame:
     """(path, function, name, def_line, use_line): each use with the last definition at
-    or before it."""
+    or before it by line, which is what straight code does; ``dataflow`` follows branches
+    and loops."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("path", "function", "name").orderBy("line_no", F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,5 +1,5 @@
 """Importing the package registers all queries."""
 
-from . import catalogue, gates, learned, parsed, problems, ranked, reports, symbolgraph, wider
+from . import catalogue, flows, gates, learned, parsed, problems, ranked, reports, symbolgraph, wider
 
-__all__ = ["catalogue", "gates", "learned", "parsed", "problems", "ranked", "reports", "symbolgraph", "wider"]
+__all__ = ["catalogue", "flows", "gates", "learned", "parsed", "problems", "ranked", "reports", "symbolgraph", "wider"]

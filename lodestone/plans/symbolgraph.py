@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import code, findings, graph, symbolgraph, syntax
+from ..operators import code, dataflow, findings, graph, symbolgraph, syntax
 from ..sources import repo
 from ..sources.tables import scratch, table
 from .catalogue import _COMPLEX as _COMPLEX_SQL
@@ -234,9 +234,10 @@ def flow_statements(spark, d):
     return syntax.statements(_texts(spark, d, ("f.py", FLOWS))).drop("function")
 
 
-@query(golden("path, name, def_line, use_line", ("f.py", "a", 1, 2), ("f.py", "x", 2, 4), ("f.py", "i", 3, 4), ("f.py", "y", 4, 5), ("f.py", "x", 5, 9), ("f.py", "x", 5, 11)))
+@query(golden("path, name, def_line, use_line", ("f.py", "a", 1, 2), ("f.py", "x", 2, 4), ("f.py", "x", 5, 4), ("f.py", "i", 3, 4), ("f.py", "y", 4, 5), ("f.py", "x", 2, 9), ("f.py", "x", 5, 9), ("f.py", "x", 2, 11), ("f.py", "x", 5, 11)))
 def data_flow(spark, d):
-    return syntax.flow_edges(syntax.data_flow(_texts(spark, d, ("f.py", FLOWS)))).drop("function")
+    """Both definitions of a variable that a loop sets again reach what follows."""
+    return dataflow.reaching_definitions(_texts(spark, d, ("f.py", FLOWS))).drop("function")
 
 
 @query(golden("path, name, line_no, def_line", ("f.py", "x", 4, 5), ("f.py", "z", 7, 10)))
@@ -328,7 +329,7 @@ def taint_pairs(spark, d):
 
     files = _texts(spark, d, ("t.py", _TAINT))
     at = lambda line: F.concat_ws(":", "path", F.col(line).cast("string"))
-    edges = syntax.flow_edges(syntax.data_flow(files)).select(at("def_line").alias("src"), at("use_line").alias("dst"))
+    edges = dataflow.reaching_definitions(files).select(at("def_line").alias("src"), at("use_line").alias("dst"))
     ends = syntax.calls_of(files).select("path", "call", "kind", at("line_no").alias("node"))
     sources = ends.where("kind = 'source'").select(F.col("node").alias("source"), "path", F.col("call").alias("from"))
     found = walks.distances(edges, sources.select(F.col("source").alias("node")).distinct())
