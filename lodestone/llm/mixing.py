@@ -25,6 +25,8 @@ from . import common
 
 LEVELS, DIGITS = 5, 3  # five levels of three hexadecimal digits
 PASSES = 4
+FEW = 100_000  # rows, one a source, that are broadcast: some 20 MB
+SALTS = 64  # parts of a source's documents where there are more sources
 WEIGHTS = (5, 2, 1)
 
 
@@ -63,21 +65,32 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, share:
     return dealt.select("source", "source_size", target.alias("target"))
 
 
-def _cuts(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+def _by_source(rows: DataFrame, source: Column, salt: Column, plan: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the row of ``plan`` (column __source) for their source.  A ``few``
+    sources are broadcast; more meet their documents in ``SALTS`` parts a source, so
+    that no source's documents stand in one task."""
+    if few:
+        return rows.join(F.broadcast(plan), source.eqNullSafe(F.col("__source")))
+    own = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    every = plan.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.join(every, source.eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__part"))).drop("__salt", "__part")
+
+
+def _cuts(rows: DataFrame, gaps: DataFrame, few: bool = True) -> DataFrame:
     """(source, cut, got): keys below ``cut`` sum to ``got`` <= the source's gap.
 
     ``rows``: (source, key, size); ``gaps``: (source, gap).  Null cut: no
     boundary, all rows of the source fit.
     """
-    spent = gaps.select("source", "gap", F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("base"), F.lit(False).alias("done"))
+    spent = gaps.select("source", "gap", F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("base"))
     finished = []
     for level in range(LEVELS):
         width = 16 ** (DIGITS * (LEVELS - 1 - level))
         span = 16 ** (DIGITS * (LEVELS - level))
-        here = rows.join(spent, rows["source"].eqNullSafe(spent["source"]))
-        here = here.where((rows["key"] >= spent["base"]) & (rows["key"] < spent["base"] + F.lit(span)))
-        bucket = F.shiftrightunsigned(rows["key"], (width.bit_length() - 1))
-        sums = here.groupBy(rows["source"].alias("source"), bucket.cast("long").alias("bucket")).agg(
+        here = _by_source(rows, F.col("source"), F.col("key"), spent.withColumnRenamed("source", "__source"), few)
+        here = here.where((F.col("key") >= F.col("base")) & (F.col("key") < F.col("base") + F.lit(span)))
+        bucket = F.shiftrightunsigned("key", (width.bit_length() - 1))
+        sums = here.groupBy("source", bucket.cast("long").alias("bucket")).agg(
             F.sum("size").alias("size"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("gap").alias("gap"), F.first("got").alias("got")
         )
         w = Window.partitionBy("source").orderBy("bucket")
@@ -89,7 +102,7 @@ def _cuts(rows: DataFrame, gaps: DataFrame) -> DataFrame:
         edge = common.written(edge, "mix-edge")
         single = (F.col("lo") == F.col("hi")) | F.lit(level == LEVELS - 1)
         finished.append(edge.where(single).select("source", F.col("lo").alias("cut"), "got"))
-        spent = edge.where(~single).select("source", "gap", "got", (F.col("bucket") * F.lit(width)).alias("base"), F.lit(False).alias("done"))
+        spent = edge.where(~single).select("source", "gap", "got", (F.col("bucket") * F.lit(width)).alias("base"))
         if spent.isEmpty():
             break
     return reduce(DataFrame.unionByName, finished)
@@ -107,13 +120,14 @@ def decisions(sized: DataFrame, **how) -> DataFrame:
     goal = goal.withColumn("copies", copies)
     none = F.array().cast("array<struct<key:bigint,max_size:bigint>>")
     now = common.written(goal.withColumn("gap", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("cuts", none), "mix-goal")
+    few = now.count() <= FEW
     for turn in range(PASSES):
-        left = sized.alias("r").join(now.alias("n"), F.expr("r.source <=> n.source")).where("n.gap >= 1 and r.size > 0")
-        left = left.where(~_hit("n.cuts", "r.key", "r.size"))
+        left = _by_source(sized, F.col("source"), F.col("key"), now.select(F.col("source").alias("__source"), "gap", "cuts"), few).where("gap >= 1 and size > 0")
+        left = left.where(~_hit("cuts", "key", "size"))
         if turn:
-            left = left.where("r.size <= n.gap")
-        left = left.select("r.source", "r.key", "r.size")
-        cut = _cuts(left, now.where("gap >= 1").select("source", "gap"))
+            left = left.where("size <= gap")
+        left = left.select("source", "key", "size")
+        cut = _cuts(left, now.where("gap >= 1").select("source", "gap"), few)
         top = F.lit(16 ** (LEVELS * DIGITS)).cast("long")
         # A source without a boundary has too few small documents: all of them
         # fit, and their sum closes the gap as far as it can be closed.
@@ -149,10 +163,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def _decided(base: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:
     plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns])
-    out = base.join(plan, base[source_col].eqNullSafe(plan["__p_source"]))
+    out = _by_source(base, F.col(source_col), F.col("__key"), plan.withColumnRenamed("__p_source", "__source"), plan.count() <= FEW)
     once = F.when(_hit("__p_cuts", "__key", "__size"), 1).otherwise(0)
     taken = F.col("__size") * (F.col("__p_copies") + once)
-    drop = ["__size", "__key", *plan.columns]
+    drop = ["__size", "__key", "__source", *plan.columns]
     return (
         out.withColumn("size", F.col("__size")).withColumn("source_size", F.col("__p_source_size")).withColumn("target", F.col("__p_target")).withColumn("taken", taken.cast("long")).drop(*drop)
     )

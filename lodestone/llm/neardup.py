@@ -456,11 +456,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts are linked with nothing and stay; rows that repeat the
     kept id and text stay all; an empty table stays empty; every column passes as
-    it is, whatever its name (but ``__key``).
+    it is, whatever its name.
     """
     found = classes(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("key").alias("__key")).distinct()
-    out = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(found, "__key", "left_semi").drop("__key")
-    return out
+    rows = common.as_row(docs, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("__key"))
+    return rows.join(found, "__key", "left_semi").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

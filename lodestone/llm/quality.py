@@ -191,10 +191,13 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # the hash leaves some two samples' rows to sort, however many there are.
     hashed = F.xxhash64("__id", F.lit(SEED))
     share = min(1.0, 2.0 * SAMPLE / ends["n"])
-    few = ok.where("__good").where(hashed <= F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1)))
-    sample = few.orderBy(hashed, "__id", "features").limit(SAMPLE).select("features").toPandas()
-    if not len(sample):  # all good rows share a few ids with large hashes
-        sample = ok.where("__good").limit(SAMPLE).select("features").toPandas()
+    bound = F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1))
+    sample = ok.where("__good").where(hashed <= bound).orderBy(hashed, "__id", "features").limit(SAMPLE).select("features").toPandas()
+    if not len(sample):  # all good rows share a few ids with large hashes: deal their statistics too
+        hashed = F.xxhash64("__id", "features", F.lit(SEED))
+        sample = ok.where("__good").where(hashed <= bound).orderBy(hashed, "__id", "features").limit(SAMPLE).select("features").toPandas()
+    if not len(sample):  # and those are few, so each stands once
+        sample = ok.where("__good").select("features").distinct().orderBy("features").limit(SAMPLE).toPandas()
     span = np.array([ends[f"hi{i}"] - ends[f"lo{i}"] for i in range(width)])
     forest = fit(np.array(sample["features"].tolist()), span)
 

@@ -226,6 +226,22 @@ def test_byte_score(docs, none):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got) and ctw.scored(none).count() == 0
 
 
+def test_mix_of_many_sources(docs):
+    """Salted parts of sources give what the broadcast gives."""
+    rows = lambda: sorted(map(str, mixing.mix(docs).select("doc_id", "text", "source", "target", "taken").collect()))
+    want, few = rows(), mixing.FEW
+    try:
+        mixing.FEW = 1
+        assert rows() == want
+    finally:
+        mixing.FEW = few
+
+
+def test_deduplication_keeps_any_column(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 7), (2, "a b c d e f g", 8), (3, None, None)], "doc_id long, text string, `__key` long")
+    assert sorted(map(tuple, neardup.deduplicated(docs).collect())) == [(1, "a b c d e f g", 7), (3, None, None)]
+
+
 def plain_byte_scores(rows):
     """The scores by a whole tree in memory, sorted."""
     rows = [(("" if i is None else str(i)), (t or "").encode()) for i, t, _ in rows]
