@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dataflow
+from ..operators import dataflow, lexer, structure
 from ..sources.tables import table
 from .catalogue import query
 
@@ -62,3 +62,63 @@ union all select s_suppkey || '/m.py', 'get', 'show', 'os.system', 2, false from
 def taint_flows(spark, d):
     """Sources that reach sinks through calls and returns."""
     return dataflow.taint_flows(_chains(spark, d)).select("path", "function", "sink_function", "sink", "length", "sanitised")
+
+
+def _rule_programs(spark, d):
+    """A function for each part, whose columns say which rules its lines break."""
+    p, key, size = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    if_ = lambda test, yes, no: F.when(test, F.lit(yes)).otherwise(F.lit(no))
+    lines = [
+        F.lit("def f(a, b):"), F.concat(F.lit("    if a == "), if_(size % 2 == 0, "a", "b"), F.lit(":")), F.concat(F.lit("        b = "), if_(size % 3 == 0, "b", "a")),
+        F.concat(F.lit("    q = 'x'"), if_(key % 2 == 0, " + a", "")), F.lit("    print(q)"), F.concat(F.lit("    b.execute("), if_(key % 3 == 0, "q", "a"), F.lit(")")),
+        F.concat(F.lit("    subprocess.run(a, shell="), if_(key % 5 == 0, "True", "False"), F.lit(")")), F.lit("    try:\n        a()\n    except E:"), F.concat(F.lit("        "), if_(size % 4 == 0, "pass", "raise")),
+        F.lit("    for i in range(len(b)):"), F.concat(F.lit("        print(b["), if_(key % 7 == 0, "i", "0"), F.lit("])")), F.concat(F.lit("    if a:\n        return "), if_(size % 5 == 0, "True", "a"), F.lit("\n    else:\n        return False")),
+    ]
+    return p.select(key.cast("string").alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
+@query(
+    " union all ".join(
+        f"select p_partkey::varchar as path, {line} as line_no, '{pack}' as pack, '{rule}' as rule, '{severity}' as severity from part where {test}"
+        for line, pack, rule, severity, test in [
+            (2, "correctness", "self_comparison", "ERROR", "p_size % 2 = 0"), (3, "correctness", "self_assignment", "WARNING", "p_size % 3 = 0"), (4, "security", "joined_query", "CRITICAL", "p_partkey % 6 = 0"), (7, "security", "shell_command", "ERROR", "p_partkey % 5 = 0"),
+            (8, "errors", "swallowed_error", "WARNING", "p_size % 4 = 0"), (12, "performance", "index_loop", "INFO", "p_partkey % 7 = 0"), (14, "style", "returned_condition", "INFO", "p_size % 5 = 0"),
+        ]
+    )
+)
+def structural_rules(spark, d):
+    """Five packs of tree patterns over programs made from the parts."""
+    return structure.structural_findings(_rule_programs(spark, d))
+
+
+_LANGUAGES = ["javascript", "rust", "go", "java", "c"]
+_HEADS = ["function f(x) {", "fn f(x: i32) {", "func f(x int) {", "class A { static int f(int x) {", "int f(int x)\n{"]
+
+
+def _brace_programs(spark, d):
+    """A function for each customer in a language by its key, nested as deep as its nation
+    says, with a string and a comment full of braces and a call inside."""
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    deep = (F.col("c_nationkey") % 4).cast("int")
+    at = (key % 5).cast("int")
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), at + 1)
+    level = F.lit("  if (x) { // }\n    s = \"}\" /* } */;\n")
+    nested = F.concat(F.repeat(level, deep), F.concat(F.lit("    g"), key.cast("string"), F.lit("(x);\n")), F.repeat(F.lit("  }\n"), deep))
+    tail = F.when(at == 3, "} }\n").otherwise("}\n")
+    return c.select(key.cast("string").alias("path"), F.element_at(F.array(*[F.lit(x) for x in _LANGUAGES]), at + 1).alias("language"), F.concat(head, F.lit("\n"), nested, tail).alias("text"))
+
+
+_LANG_SQL = "['javascript', 'rust', 'go', 'java', 'c'][c_custkey % 5 + 1]"
+
+
+@query(f"""select c_custkey::varchar as path, {_LANG_SQL} as language, case when c_custkey % 5 = 3 then 'method' else 'function' end as kind, 'f' as name, 1 as line_no, (3 + 3 * (c_nationkey % 4) + case when c_custkey % 5 = 4 then 1 else 0 end)::int as end_line, case when c_custkey % 5 = 3 then 'A' else '' end as inside from customer
+union all select c_custkey::varchar, 'java', 'class', 'A', 1, (3 + 3 * (c_nationkey % 4))::int, '' from customer where c_custkey % 5 = 3""")
+def brace_symbols(spark, d):
+    """Definitions and extents in five languages by nesting."""
+    return lexer.symbols(_brace_programs(spark, d)).drop("depth")
+
+
+@query(f"select c_custkey::varchar as path, {_LANG_SQL} as language, 'g' || c_custkey as name, (2 + 2 * (c_nationkey % 4) + case when c_custkey % 5 = 4 then 1 else 0 end)::int as line_no, 'f' as inside from customer")
+def brace_calls(spark, d):
+    """Calls in five languages with the function around them."""
+    return lexer.calls(_brace_programs(spark, d))
