@@ -97,7 +97,13 @@ def _rounds(n: int) -> str:
 
 @query(_rounds(5))
 def graph_communities(spark, d):
-    return symbolgraph.communities(_sparse(spark, d), 5).withColumn("size", F.col("size").cast("long"))
+    return symbolgraph.label_communities(_sparse(spark, d), 5).withColumn("size", F.col("size").cast("long"))
+
+
+@query()
+def graph_modularity(spark, d):
+    """Communities of high modularity (tested against the greedy method)."""
+    return symbolgraph.communities(_sparse(spark, d))
 
 
 @query(f"with {_EDGES}, x as (select src as node, 1 as o, 0 as i from e union all select dst, 0, 1 from e), g as (select node, sum(i)::bigint as i, sum(o)::bigint as o from x group by 1), n as (select count(*) as n from g) select node, round(ln(1 + i + o), 4) as total, round(i / (n - 1), 6) as in_share, round(o / (n - 1), 6) as out_share, i = 0 and o > 0 as entry from g, n")
