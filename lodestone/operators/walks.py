@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -92,3 +92,40 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int | None = Non
             return found
         found = found.unionAll(level)
     return found
+
+
+def guided_paths(edges: DataFrame, pairs: DataFrame, depth: int = 20, most: int = 50) -> DataFrame:
+    """(source, target, length, path): the simple paths of at most ``depth`` edges of each
+    pair (source, target), the shortest first and the least of equal ones, at most
+    ``most`` a pair (a report's limit).
+
+    Distances to the targets come first.  A path is only made longer by nodes from which
+    the target can still be reached in time, and first only where it can end as short as
+    the shortest, then within two edges of it, then four, and so on: a pair that has
+    ``most`` paths within a bound has its shortest and ends.  Each step is written."""
+    e = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    targets = pairs.select(F.col("target").alias("node")).distinct()
+    back = distances(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets, depth)
+    back = written(back.select(F.col("source").alias("target"), "node", "distance"), "distances")
+    start = pairs.select("source", "target").where("source <> target").distinct()
+    open_ = start.join(back.withColumnRenamed("node", "source"), ["source", "target"]).select("source", "target", F.array("source").alias("path"), F.col("distance").alias("least"), F.col("distance").alias("near"), "distance")
+    open_, done, slack = written(open_, "open"), [], 0
+    pair = ["source", "target"]
+    while not open_.isEmpty():
+        while True:
+            inside = F.col("least") <= F.col("near") + slack
+            now = open_.where(inside).withColumn("at", F.element_at("path", -1)).drop("distance")
+            if now.isEmpty():
+                break
+            step = now.join(e, now["at"] == e["src"]).where("not array_contains(path, dst)").join(back.withColumnRenamed("node", "dst"), ["target", "dst"])
+            step = step.select(*pair, F.concat("path", F.array("dst")).alias("path"), (F.size("path") + F.col("distance")).alias("least"), "near", "distance").where(F.col("least") <= depth)
+            every = written(open_.where(~inside).unionByName(step), "open")
+            done.append(every.where("distance = 0").select(*pair, F.col("least").alias("length"), "path"))
+            open_ = every.where("distance > 0")
+        enough = reduce(DataFrame.unionByName, done).groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+        open_ = written(open_.join(enough, pair, "left_anti"), "open")
+        slack = slack * 2 or 2
+    if not done:
+        return start.select(*pair, F.lit(0).alias("length"), F.array("source").alias("path")).limit(0)
+    w = Window.partitionBy(*pair).orderBy("length", "path")
+    return reduce(DataFrame.unionByName, done).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")

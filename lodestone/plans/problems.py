@@ -238,7 +238,16 @@ def goal_verdict(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(met == 4, "reached").when(met == 0, "missed").otherwise("partly").alias("verdict"))
 
 
-@query()
+@query("""with recursive o as (select o_custkey as plan, o_orderkey as id, substr(o_orderpriority, 1, 1)::int as priority, o_totalprice, lag(o_orderkey) over w as before, last_value(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following) as final from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+i as (select plan, id, priority, case when before is null and plan % 10 = 0 then final when before is not null and o_totalprice > 250000 then before end as need from o),
+s as (select plan, list({'id': id, 'p': priority, 'need': need}) as items, count(*) as n from i group by plan),
+c as (select plan, items, n, []::bigint[] as done, true as more from s union all
+ select plan, items, n, case when len(ready) > 0 then list_append(done, list_sort(ready)[1].id) else done end, len(ready) > 0
+ from (select *, list_transform(list_filter(items, lambda x: not list_contains(done, x.id) and (x.need is null or list_contains(done, x.need))), lambda x: {'p': x.p, 'since': coalesce(list_position(done, x.need), 0), 'id': x.id}) as ready from c where more)),
+f as (select plan, done, items from c where not more),
+x as (select plan, unnest(done) as id, unnest(range(1, len(done) + 1)) as position, len(done) as k from f),
+r as (select plan, y.id as id, len(done) + row_number() over (partition by plan order by y.p, y.id) as position from (select plan, done, unnest(items) as y from f) where not list_contains(done, y.id))
+select plan, id, position::int as position from x union all select plan, id, position::int from r""")
 def execution_order(spark, d):
     """The order of each customer's orders: an order needs the one before where it is
     dear, and every tenth customer's first needs the last (a cycle)."""

@@ -139,6 +139,17 @@ def cycle_files(spark, d):
     return graph.cycles(_transitions(spark, d)).select(F.array_join("path", ">").alias("path"), F.array_join(files, ",").alias("files"))
 
 
+@query()
+def graph_deep_paths(spark, d):
+    """The 50 shortest simple paths of at most 20 edges from every tenth node to the node
+    seven keys on (a stated set of pairs; tested against a plain search)."""
+    from ..operators import walks
+
+    e = _sparse(spark, d)
+    pairs = e.where("src % 10 = 0").select(F.col("src").alias("source"), (F.col("src") + 7).alias("target")).distinct()
+    return walks.guided_paths(e, pairs).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
 _NODES = "select l_partkey as id, case when l_partkey % 5 = 0 then '_' else '' end || 'part' as name, 'f(' || count(*) % 3 || ')' as signature from lineitem where l_shipdate {0} timestamp '1998-01-01' group by 1"
 _CHANGED = f"b as ({_NODES.format('<')}), a as ({_NODES.format('>=')}), c as (select coalesce(b.id, a.id) as id, coalesce(b.name, a.name) as name, case when b.id is null then 'added' when a.id is null then 'removed' when a.signature <> b.signature then 'modified' end as change from b full join a on a.id = b.id), nc as (select id, name, change, case when change = 'removed' then case when starts_with(name, '_') then 'medium' else 'high' end when change = 'added' then 'low' else 'high' end as impact from c where change is not null)"
 _DST = "case when l_partkey % 11 = 0 then 'read_file ' else 'part ' end || l_partkey"
