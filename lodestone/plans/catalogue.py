@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import code, findings, graph, history, rules, votes
-from ..sources.tables import table
+from ..sources import sinks
+from ..sources.tables import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,6 +263,20 @@ def retention_keep(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("deleted"))
 
 
+@query("""with c as (select (max(o_orderdate)::date - 700)::date as cutoff from orders), o as (select strftime(o_orderdate, '%Y-%m') as month, o_orderdate::date < cutoff as old from orders, c),
+m as (select month, count(*) filter (not old) as kept, count(*) filter (old) as gone from o group by month)
+select month, kept as n, (select sum(gone) from m)::bigint as deleted, (select count(*) from m where kept > 0 and gone > 0)::int as rewritten, (select count(*) from m where kept = 0)::int as dropped from m where kept > 0""")
+def retention_delete(spark, d):
+    """A table of orders by month from which all but the last 700 days are deleted: what
+    is left of each month, and what the deletion says it did."""
+    path = scratch(spark, "orders")
+    month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), month).repartition("month").write.partitionBy("month").parquet(path)
+    done = sinks.delete_before(spark, path, "day", 700, "month")
+    left = spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return left.crossJoin(F.broadcast(done)).select("month", "n", "deleted", "rewritten", "dropped")  # one row
+
+
 @query("select o_orderstatus as status, o_orderpriority as kind, count(*) as n, round(min(o_totalprice), 4) as least, round(max(o_totalprice), 4) as most from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
 def type_status_stats(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"), "o_totalprice")

@@ -14,6 +14,22 @@ def test_round_trip(spark, tmp_path, form):
     assert sorted(map(tuple, sinks.imported(rows, out, form).select("id", "text", "kind").collect())) == sorted(map(tuple, rows.collect()))
 
 
+def test_deletion_rewrites_only_what_holds_old_rows(spark, tmp_path):
+    rows = [(i, f"2024-{m:02d}-{day:02d}", f"2024-{m:02d}") for i, (m, day) in enumerate((m, day) for m in range(1, 6) for day in (1, 15, 28))] + [(99, None, "2024-02")]
+    frame = spark.createDataFrame(rows, "id long, day string, month string")
+    path = str(tmp_path / "t")
+    sinks.export(frame.repartition(1), path, "parquet", ("month",))
+    files = lambda m: sorted(p.name for p in (tmp_path / "t" / f"month={m}").glob("*.parquet"))
+    before = {m: files(m) for m in ("2024-03", "2024-04", "2024-05")}
+    got = sinks.delete_before(spark, path, "day", 30, "month", "2024-04-14").first()
+    assert (str(got["cutoff"]), got["deleted"], got["kept"], got["rewritten"], got["dropped"]) == ("2024-03-15", 7, 9, 2, 1)
+    left = {r["id"] for r in spark.read.parquet(path).collect()}
+    assert left == {i for i, day, _ in rows if day is None or day >= "2024-03-15"}
+    assert files("2024-04") == before["2024-04"] and files("2024-05") == before["2024-05"] and files("2024-03") != before["2024-03"]
+    again = sinks.delete_before(spark, path, "day", 30, "month", "2024-04-14").first()
+    assert (again["deleted"], again["kept"], again["rewritten"], again["dropped"]) == (0, 9, 0, 0)
+
+
 def test_snapshot_takes_null_digests(spark):
     a = spark.createDataFrame([(1, "p"), (2, None), (3, "q")], "k long, h string")
     b = spark.createDataFrame([(1, "r"), (2, None), (4, "q")], "k long, h string")
