@@ -9,7 +9,7 @@ from ..functions import vectors
 from ..operators import delta, findings, graph, paths, syntax, votes
 from ..sources import sinks
 from ..sources.tables import scratch, table
-from ..streaming import incremental
+from ..streaming import incremental, live
 from .parsed import keyed
 from .catalogue import _EDGES, _TRANS, _edges, _transitions, query
 
@@ -208,6 +208,23 @@ def stream_incremental(spark, d):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "n")
 
 
+@query("""with e as (select event_id, user_id, event_type = 'error' as f, row_number() over w as n, lag(event_type) over w = 'error' as f1, lag(event_type, 2) over w = 'error' as f2 from events window w as (partition by user_id order by epoch_us(ts), event_id)),
+o as (select user_id, min(n) as n from e where f and f1 and f2 group by 1)
+select event_id, e.user_id as user_id, case when e.n > o.n then 'skipped' when f then 'error' else 'ok' end as outcome from e left join o on o.user_id = e.user_id""")
+def live_breaker(spark, d):
+    """Breakers of users over a stream that comes in two parts: what is counted in the first
+    still counts in the second."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    middle = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("m")).first()["m"]
+    source, out, state = scratch(spark, "calls"), scratch(spark, "outcomes"), scratch(spark, "breakers")
+    first = F.unix_micros(F.col("ts").cast("timestamp")) <= middle
+    for part in (first, ~first):
+        events.where(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        done = live.appended(live.outcomes(stream, "user_id", "event_id", "ts", "failed"), out, state)
+    return done.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "outcome")
+
+
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def export_roundtrip(spark, d):
     rows, out = table(spark, d, "events").select("event_id", "event_type", "value"), scratch(spark, "export")
