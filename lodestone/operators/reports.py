@@ -53,6 +53,15 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFr
     return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__n", "__before")
 
 
+def mean_in_order(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, mean) of doubles, added one by one in the order: the same to the last bit
+    however the rows are dealt over files and tasks.  A key's rows stream through a
+    window over sorted rows, none is gathered."""
+    running = F.sum(value).over(Window.partitionBy(key).orderBy(order, value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = rows.select(key, value, order, running.alias("__sum"))
+    return sums.groupBy(key).agg((F.max_by("__sum", F.struct(order, value)) / F.count(value)).alias("mean"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key (insert or replace), whole rows by one aggregate."""
     others = [c for c in rows.columns if c not in keys]

@@ -300,10 +300,16 @@ def report_lookup(spark, d):
     return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"))
 
 
+def _confidence(events):
+    """(user_id, c): the mean of a user's values, summed in the order of the events: at a
+    tie of the rounding the last bit decides, which follows from the order."""
+    return reports.mean_in_order(events, "user_id", "value", "event_id").select("user_id", F.round(F.least(F.lit(1.0), F.col("mean") / 60), 6).alias("c"))
+
+
 @query("with c as (select user_id, round(least(1.0, avg(value) / 60), 6) as c from events group by 1) select user_id, round(c, 4) as confidence, row_number() over (order by c desc, user_id) as rank from c")
 def evidence_ranking(spark, d):
     """Candidates numbered by confidence: a sort by ranges, one number a range."""
-    c = table(spark, d, "events").groupBy("user_id").agg(F.round(F.least(F.lit(1.0), F.avg("value") / 60), 6).alias("c"))
+    c = _confidence(table(spark, d, "events"))
     return reports.numbered(c, [F.desc("c"), F.col("user_id")]).select("user_id", F.round("c", 4).alias("confidence"), "rank")
 
 
@@ -311,7 +317,7 @@ def evidence_ranking(spark, d):
 def candidate_rerank(spark, d):
     """The twenty best by aggregated confidence, .5 where there is none."""
     e = table(spark, d, "events")
-    c = e.where("event_type = 'click'").groupBy("user_id").agg(F.round(F.least(F.lit(1.0), F.avg("value") / 60), 6).alias("c"))
+    c = _confidence(e.where("event_type = 'click'"))
     top = e.select("user_id").distinct().join(c, "user_id", "left").withColumn("c", F.coalesce("c", F.lit(0.5))).orderBy(F.desc("c"), "user_id").limit(20)
     return top.select("user_id", F.round("c", 4).alias("confidence"), F.row_number().over(Window.orderBy(F.desc("c"), "user_id")).alias("rank"))  # 20 rows
 
