@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings, gates
 from ..sources.tables import table
-from .catalogue import _SEV_SQL, _severity, query
+from .catalogue import _SEV_SQL, _seconds, _severity, query
 
 
 def _choice(column, values):
@@ -272,7 +272,7 @@ select event_id, round(least(100.0, 40 * case sev when 'critical' then 1.0 when
 def static_scores(spark, d):
     """Severity, the hits at most five lines away (hours here), and the bug type; a band
     join for the hits, at most 100."""
-    e = table(spark, d, "events").withColumn("line", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)).withColumn("sev", _severity())
+    e = table(spark, d, "events").withColumn("line", F.floor(_seconds() / 3600)).withColumn("sev", _severity())
     c, h = e.where("event_type <> 'click'"), e.where("event_type = 'click'")
     points = F.when(F.col("value") > 80, 15).when(F.col("value") > 40, 10).otherwise(5)
     near = findings.band_join(c.select("event_id", "user_id", "line"), h.select("user_id", F.col("line").alias("at"), points.alias("points")), "user_id", "line", "at", 5)
