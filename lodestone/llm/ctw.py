@@ -127,8 +127,14 @@ def shorter(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return summed(((code >> np.uint64(16)) << np.uint64(8)) | (code & np.uint64(255)), n)
 
 
+def rarer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimate of the rarer decision, negative where that is a zero: in single
+    precision a one's own would be 1 after some 2^24 ones, and a zero impossible."""
+    return (np.where(b <= a, b + 0.5, -(a + 0.5)) / (a + b + 1.0)).astype(np.float32)
+
+
 def grown(pairs: dict, nodes: dict) -> tuple[dict, dict]:
-    """(depth, level) -> sorted keys, estimate of a one, its share, from
+    """(depth, level) -> sorted keys, estimate (as of ``rarer``), its share, from
     depth -> (sorted (context, byte) codes, counts); and level -> keys, log Pw, a,
     b of the least depth.  ``nodes`` has these of the depth below, or nothing."""
     out: dict = {}
@@ -150,7 +156,7 @@ def grown(pairs: dict, nodes: dict) -> tuple[dict, dict]:
                 product = np.bincount(at, below[1], len(key))
                 weighted = np.logaddexp(kt, product) - np.log(2)
                 share = 1 / (1 + np.exp(np.clip(product - kt, -60, 60)))  # beta / (beta + 1)
-            out[d, level] = (key, ((b + 0.5) / (a + b + 1.0)).astype(np.float32), share.astype(np.float32))
+            out[d, level] = (key, rarer(a, b), share.astype(np.float32))
             here[level] = (key, weighted, a, b)
         nodes = here
     return out, nodes
@@ -175,7 +181,7 @@ class Model:
         for level in range(8):
             one = ((code >> np.uint64(7 - level)) & np.uint64(1)).astype(bool)
             prefix = (code & np.uint64(255)) >> np.uint64(8 - level)
-            # From the root down: the weight left for what is deeper.
+            # The decision taken, from the root down: the weight left for what is deeper.
             p, left = np.zeros(len(code)), np.ones(len(code))
             last, alive = np.full(len(code), 0.5), np.arange(len(code))
             for d in range(self.depth + 1):
@@ -188,12 +194,13 @@ class Model:
                 at[at == len(keys)] = 0
                 found = keys[at] == key
                 alive, at = alive[found], at[found]
-                last[alive] = kt[at]
+                rare = kt[at].astype(float)
+                last[alive] = np.where((rare > 0) == one[alive], np.abs(rare), 1.0 - np.abs(rare))
                 share = shares[at]
                 p[alive] += left[alive] * share * last[alive]
                 left[alive] *= 1.0 - share
             p += left * last
-            total -= np.log2(np.where(one, p, 1.0 - p))
+            total -= np.log2(p)
         return total
 
     def remember(self, code: np.ndarray) -> None:

@@ -219,3 +219,14 @@ def test_forest_against_paths_by_hand():
         mean = np.mean([path(r, rows[i]) for r in forest["roots"]])
         assert math.isclose(marks[i], 2 ** (-mean / forest["norm"]))
     assert quality.score(forest, np.array([[9.0, 9.0, 9.0]]))[0] > marks.mean()
+
+
+def test_a_decision_against_many_others_is_possible():
+    """A byte that 2^27 others stand against, once seen and never seen, in large tables."""
+    code, n = np.array([0x6161, 0x6162], np.uint64), np.array([1 << 27, 1])
+    for k in (1, 2):
+        model = ctw.Model(1, ctw.tree({1: (code[:k], n[:k]), 0: ctw.shorter(code[:k], n[:k])}))
+        got = model.bits(np.array([0x6161, 0x6162, 0x6180, 0x6120, 0x6160], np.uint64))
+        assert np.isfinite(got).all() and 0 <= got[0] < 1e-6 and (20 < got[1:]).all()
+        every = (np.uint64(0x61) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert abs((2.0 ** -model.bits(every)).sum() - 1) < 1e-5
