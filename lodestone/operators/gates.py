@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import dealt
 from . import code, problems
 
 #: The weights of the factors, in their order.
@@ -97,7 +98,7 @@ def parsed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
                 arrays.append(pa.array(list(map(read, batch.column(i).to_pylist())), arrow.field(len(batch.columns) + k).type))
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return rows.mapInArrow(run, out)
+    return dealt(rows).mapInArrow(run, out)
 
 
 def dependency_score(before: Column, after: Column) -> Column:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
 _HOLE = "HOLE_"
 #: Fields that say nothing about what code does.
 _IGNORED = {"ctx", "type_comment", "type_ignores", "kind", "type_params", "simple"}
@@ -88,7 +90,8 @@ def nodes(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return files.where(F.col(text).isNotNull()).select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, NODES)
+    own = files.where(F.col(text).isNotNull()).select(F.col(path).cast("string"), F.col(text).cast("string"))
+    return dealt(own).mapInArrow(run, NODES)
 
 
 @dataclass

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
 SCHEMA = "path string, name string, kind string, line_start int, line_end int, detail string"
 
 
@@ -51,7 +53,8 @@ def symbols(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
             kinds_of = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], names=names)
 
-    return files.where(F.col(text).isNotNull()).select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+    own = files.where(F.col(text).isNotNull()).select(F.col(path).cast("string"), F.col(text).cast("string"))
+    return dealt(own).mapInArrow(run, SCHEMA)
 
 
 #: Calls that bring in values not to be trusted, with their kind.
@@ -99,7 +102,7 @@ def _per_function(files: DataFrame, of, schema: str, types: list, path: str = "p
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, all_types, strict=True)], names=names)
 
     own = files.where(F.col(text).isNotNull()).select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, f"path string, function string, {schema}")
+    return dealt(own).mapInArrow(run, f"path string, function string, {schema}")
 
 
 def metrics(files: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sources.tables import written
+from .sources.tables import dealt, written
 
 FINDING = "file string, line_no long, rule string, severity string"
 _COLUMNS = ["file", "line_no", "rule", "severity"]
@@ -55,7 +55,7 @@ class Registry:
 
         parts = [f(files).select(F.lit(name).alias("agent"), *_COLUMNS) for name, f in self.agents.items()]
         if analysers:
-            parts.append(files.select("file", "text").mapInPandas(run, f"agent string, {FINDING}"))
+            parts.append(dealt(files.select("file", "text")).mapInPandas(run, f"agent string, {FINDING}"))
         return reduce(DataFrame.unionByName, parts)
 
     def refactored(self, files: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ class Registry:
                     names.append(done)
                 yield pd.DataFrame({"file": batch["file"], "text": texts, "applied": names})
 
-        return files.select("file", "text").mapInPandas(run, schema)
+        return dealt(files.select("file", "text")).mapInPandas(run, schema)
 
 
 @dataclass

@@ -252,3 +252,10 @@ def test_empty_tables_elsewhere(spark):
     assert findings.keep_first(e, ["user"], [F.col("seq")], "value", "kind").count() == 0 and findings.risk(e, "kind", ["user"]).count() == 0
     assert delta.snapshot(e.select("user", "kind"), e.select("user", "kind"), "user", "kind").count() == 0
     assert paths.with_language(spark.createDataFrame([(None,), ("a.PY",)], "p string"), "p").collect()[1]["language"] == "python"
+
+
+def test_parsing_is_dealt(spark):
+    """The rows of one task's read are parsed in several."""
+    files = spark.range(200, numPartitions=1).select(F.col("id").cast("string").alias("path"), F.lit("c").alias("language"), F.lit("def f(a): return a").alias("text"))
+    for made in (syntax.symbols(files), syntax.metrics(files), gates.parsed(files, {"text": "p"})):
+        assert made.select(F.spark_partition_id().alias("k")).distinct().count() > 1
