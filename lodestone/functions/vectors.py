@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-BLOCK = 4096  # query vectors that are broadcast at once
+BLOCK = 4096  # query vectors that are broadcast at once; rows whose best are found at once
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
@@ -22,20 +24,27 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> D
     queries in blocks of at most ``BLOCK``; what is under ``least`` goes after the
     ranking.  Norms are computed once a vector.
 
-    The best k of a query are kept in each task (a bounded list per query), so
-    what is shuffled does not grow with the rows of a task.  A vector of length 0 or
-    null is similar to nothing.
+    The rows stand in blocks of some ``BLOCK``, and of each block only the best k of a
+    query are kept, so what is sorted and shuffled for a block of queries is in
+    proportion to the rows.  A vector of length 0 or null is similar to nothing.
     """
     own = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e")))).where("norm > 0")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("__q")).withColumn("__n", F.sqrt(dot(F.col("__q"), F.col("__q")))).where("__n > 0")
+    many = max(-(-own.count() // BLOCK), 8 * rows.sparkSession.sparkContext.defaultParallelism)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(many))
+    own = own.withColumn("__b", block).repartition(many, "__b").groupBy("__b").agg(F.collect_list(F.struct("vec_id", "e", "norm")).alias("own"))  # some BLOCK rows
     n = asked.count()
     blocks = -(-n // BLOCK)
     parts = [asked] if blocks <= 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     out = None
     for part in parts:
-        pairs = own.crossJoin(F.broadcast(part)).where("vec_id <> query_id")  # one block
-        scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("e"), F.col("__q")) / (F.col("norm") * F.col("__n")), 4).alias("similarity"))
+        # As one key that sorts: the similarity's negative, of no number the least, of null the largest.
+        less = lambda x: F.coalesce(-F.nanvl(F.round(dot(x["e"], F.col("__q")) / (x["norm"] * F.col("__n")), 4), F.lit(math.inf)), F.lit(math.inf))
+        near = F.transform("own", lambda x: F.struct(less(x).alias("less"), x["vec_id"].alias("vec_id")))
+        pairs = own.crossJoin(F.broadcast(part)).select("query_id", F.inline(F.slice(F.array_sort(near), 1, k + 1))).where("vec_id <> query_id")  # one block
+        similarity = F.when(F.col("less") == -math.inf, math.nan).when(F.col("less") < math.inf, -F.col("less"))
+        scored = pairs.select("query_id", "vec_id", similarity.alias("similarity"))
         best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = best if out is None else out.unionAll(best)
     return out.where(F.col("similarity") >= least)

@@ -33,3 +33,15 @@ def test_hot_lists_and_odd_rows(spark):
     assert sorted(r["vec_id"] for r in got if r["query_id"] == 0) == [1, 2, 3, 4, 5]
     empty = nearest.build(frame.where("vec_id = 5000"))
     assert nearest.search(empty, frame.where("vec_id = 0")).collect() == []
+
+
+def test_a_query_keeps_few_rows_a_block(spark):
+    """What is sorted holds the best of blocks of rows, not all pairs; no number sorts first."""
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import vectors
+
+    rows = spark.range(300).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("double"), F.when(F.col("id") == 9, float("nan")).otherwise(1.0)).alias("embedding"))
+    found = vectors.top_k(rows, rows.where("vec_id = 1"), 3)
+    assert [tuple(r) for r in found.orderBy("rank").collect()][1:] == [(1, 8, 1.0, 2), (1, 15, 1.0, 3)]
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
