@@ -1,16 +1,18 @@
-"""Shortest walks on edge tables: distances, closeness, betweenness, paths.
+"""Walks on edge tables: distances, shortest and simple paths.
 
-All start from a stated set of sources, one join a step, so that a step's rows
-are bounded by sources x nodes and nothing is gathered on the driver."""
+Distances and shortest paths start from a stated set of few sources, one join a step, so
+that a step's rows are bounded by sources x nodes and nothing is gathered on the driver;
+from all nodes they are in ``allpairs``."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from . import allpairs
 
 
 def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
@@ -32,30 +34,6 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) ->
     return found
 
 
-def closeness(found: DataFrame) -> DataFrame:
-    """(source, reached, eccentricity, closeness) over what ``distances`` found;
-    a source that reaches nothing has closeness 0."""
-    out = found.groupBy("source").agg((F.count(F.lit(1)) - 1).alias("reached"), F.max("distance").alias("eccentricity"), F.sum("distance").alias("t"))
-    return out.select("source", "reached", "eccentricity", F.round(F.coalesce(F.try_divide("reached", "t"), F.lit(0.0)), 4).alias("closeness"))
-
-
-def betweenness(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, score): the share of shortest ways between other nodes that lead
-    through a node, summed from the far ends back to each source.  ``found`` is what
-    ``distances`` gives; each step is written."""
-    e = edges.select("src", "dst").distinct()
-    depth = found.agg(F.max("distance")).first()[0] or 0
-    tail = found.where(F.col("distance") == depth).withColumn("d", F.lit(0.0))
-    out = tail.select("node", "d").limit(0)
-    for k in range(depth - 1, 0, -1):
-        here = found.where(F.col("distance") == k)
-        far = tail.select("source", F.col("node").alias("dst"), F.col("ways").alias("w"), "d")
-        add = here.join(e, here["node"] == e["src"]).join(far, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("ways") / F.col("w") * (F.col("d") + 1)).alias("d"))
-        tail = written(here.join(add, ["source", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "tail")
-        out = out.unionAll(tail.select("node", "d"))
-    return out.groupBy("node").agg(F.round(F.sum("d") + 1e-7, 4).alias("score")).where("score > 0")
-
-
 def simple_paths(edges: DataFrame, longest: int = 4) -> DataFrame:
     """(path) of 1 to ``longest`` edges without a repeated node."""
     e = edges.select("src", "dst").where("src <> dst").distinct()
@@ -97,35 +75,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int | None = Non
 def guided_paths(edges: DataFrame, pairs: DataFrame, depth: int = 20, most: int = 50) -> DataFrame:
     """(source, target, length, path): the simple paths of at most ``depth`` edges of each
     pair (source, target), the shortest first and the least of equal ones, at most
-    ``most`` a pair (a report's limit).
-
-    Distances to the targets come first.  A path is only made longer by nodes from which
-    the target can still be reached in time, and first only where it can end as short as
-    the shortest, then within two edges of it, then four, and so on: a pair that has
-    ``most`` paths within a bound has its shortest and ends.  Each step is written."""
-    e = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    targets = pairs.select(F.col("target").alias("node")).distinct()
-    back = distances(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets, depth)
-    back = written(back.select(F.col("source").alias("target"), "node", "distance"), "distances")
-    start = pairs.select("source", "target").where("source <> target").distinct()
-    open_ = start.join(back.withColumnRenamed("node", "source"), ["source", "target"]).select("source", "target", F.array("source").alias("path"), F.col("distance").alias("least"), F.col("distance").alias("near"), "distance")
-    open_, done, slack = written(open_, "open"), [], 0
-    pair = ["source", "target"]
-    while not open_.isEmpty():
-        while True:
-            inside = F.col("least") <= F.col("near") + slack
-            now = open_.where(inside).withColumn("at", F.element_at("path", -1)).drop("distance")
-            if now.isEmpty():
-                break
-            step = now.join(e, now["at"] == e["src"]).where("not array_contains(path, dst)").join(back.withColumnRenamed("node", "dst"), ["target", "dst"])
-            step = step.select(*pair, F.concat("path", F.array("dst")).alias("path"), (F.size("path") + F.col("distance")).alias("least"), "near", "distance").where(F.col("least") <= depth)
-            every = written(open_.where(~inside).unionByName(step), "open")
-            done.append(every.where("distance = 0").select(*pair, F.col("least").alias("length"), "path"))
-            open_ = every.where("distance > 0")
-        enough = reduce(DataFrame.unionByName, done).groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
-        open_ = written(open_.join(enough, pair, "left_anti"), "open")
-        slack = slack * 2 or 2
-    if not done:
-        return start.select(*pair, F.lit(0).alias("length"), F.array("source").alias("path")).limit(0)
-    w = Window.partitionBy(*pair).orderBy("length", "path")
-    return reduce(DataFrame.unionByName, done).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
+    ``most`` a pair (a report's limit): a search of each pair, guided by the distances to
+    its target.  The pairs are dealt over the tasks, the edges sent to each."""
+    return allpairs.paths(edges, pairs, depth, most)
