@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.tables import dealt
 
 #: Problem types with the words that tell them, the first that fits wins.
 TYPES = [
@@ -169,36 +178,51 @@ def execution_order(items: DataFrame, plan: str = "plan", item: str = "id", prio
     first by id); items of cycles, or that need an unknown item, follow by priority.
 
     ``needs`` is an array of ids.  The order of a plan is sequential by nature, so a
-    plan is one task's group; plans are spread over the cluster.
+    plan is one task's; plans are dealt over the tasks, and many go to Python at once.
+    A missing priority comes last.
     """
-    import heapq
-
-    import pandas as pd
-
-    schema = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in (plan, item)) + ", position int"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(item, kind="stable")
-        ids, ranks = rows[item].tolist(), dict(zip(rows[item], rows[priority], strict=True))
-        left, after = {}, {}
-        for i, n in zip(ids, rows[needs], strict=True):
-            n = list(n) if n is not None else []
-            left[i] = len(n)
-            for x in n:
-                after.setdefault(x, []).append(i)
-        ready = [(ranks[i], k, i) for k, i in enumerate(i for i in ids if not left[i])]
-        heapq.heapify(ready)
-        out, seq = [], len(ready)
-        while ready:
-            _, _, i = heapq.heappop(ready)
-            out.append(i)
-            for x in after.get(i, ()):
-                left[x] -= 1
-                if not left[x]:
-                    heapq.heappush(ready, (ranks[x], seq, x))
-                    seq += 1
-        done = set(out)
-        out += sorted((i for i in ids if i not in done), key=ranks.get)
-        return pd.DataFrame({plan: rows[plan].iloc[0], item: out, "position": range(1, len(out) + 1)})
-
-    return items.groupBy(plan).applyInPandas(run, schema)
+    own = items.select(plan, item, priority, needs)
+    out = T.StructType([own.schema[plan], own.schema[item], T.StructField("position", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        found = []
+        for key, group in itertools.groupby(rows, key=lambda row: row[0]):
+            found += [(key, i, n) for n, i in enumerate(_kahn(list(group)), 1)]
+            if len(found) >= 10_000:
+                yield _batch(found, schema)
+                found = []
+        if found:
+            yield _batch(found, schema)
+
+    return dealt(own, plan).sortWithinPartitions(F.col(plan), F.asc_nulls_last(item)).mapInArrow(run, out)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _kahn(rows: list[tuple]) -> list:
+    """The ids of one plan's rows (plan, id, priority, needs), which are sorted by id."""
+    ids, ranks = [r[1] for r in rows], {r[1]: math.inf if r[2] is None else r[2] for r in rows}
+    left, after = {}, {}
+    for _, i, _, n in rows:
+        left[i] = len(n or ())
+        for x in n or ():
+            after.setdefault(x, []).append(i)
+    ready = [(ranks[i], k, i) for k, i in enumerate(i for i in ids if not left[i])]
+    heapq.heapify(ready)
+    out, seq = [], len(ready)
+    while ready:
+        _, _, i = heapq.heappop(ready)
+        out.append(i)
+        for x in after.get(i, ()):
+            left[x] -= 1
+            if not left[x]:
+                heapq.heappush(ready, (ranks[x], seq, x))
+                seq += 1
+    done = set(out)
+    return out + sorted((i for i in ids if i not in done), key=ranks.get)
