@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -281,30 +282,34 @@ def _added(diff: Column) -> Column:
 
 def touched(diff: Column) -> Column:
     """The distinct base names of a diff's files; /dev/null is none."""
-    heads = F.filter(F.split(diff, "\n"), lambda x: x.startswith("+++ ") | x.startswith("--- "))
-    paths = F.filter(F.transform(heads, lambda x: F.split_part(x, F.lit(" "), F.lit(2))), lambda x: x != "/dev/null")
-    return F.array_distinct(F.filter(F.transform(paths, lambda x: F.element_at(F.split(x, "/"), -1)), lambda x: x != ""))
+    paths = F.filter(F.regexp_extract_all(diff, F.lit(r"(?md)^(?:\+\+\+|---) ([^ \n]*)"), 1), lambda x: x != "/dev/null")
+    return F.array_distinct(F.filter(F.transform(paths, lambda x: F.substring_index(x, "/", -1)), lambda x: x != ""))
 
 
 def changed_lines(diff: Column) -> Column:
-    return F.size(F.filter(F.split(diff, "\n"), lambda x: (x.startswith("+") & ~x.startswith("+++")) | (x.startswith("-") & ~x.startswith("---"))))
+    """Lines that begin with + or -, but not with three of them."""
+    d = F.concat(F.lit("\n"), diff)
+    starts = lambda c: F.length(d) - F.length(F.replace(d, F.lit("\n" + c), F.lit("\n" + c[1:])))
+    return starts("+") - starts("+++") + starts("-") - starts("---")
 
 
 def forbidden(diff: Column) -> Column:
     """The forbidden names that added lines have, in the table's order."""
-    text = F.array_join(_added(diff), "\n")
-    return F.filter(F.array(*map(F.lit, FORBIDDEN)), lambda x: text.contains(x))
+    has = [F.when(diff.contains(x) & diff.rlike(r"(?md)^\+.*" + re.escape(x)), x) for x in FORBIDDEN]
+    return F.filter(F.array(*has), lambda x: x.isNotNull())
 
 
 def new_packages(diff: Column) -> Column:
     """Distinct packages that a diff adds to a requirements file, to the dependencies of
-    a package.json, or to a manifest with [dependencies]."""
+    a package.json, or to a manifest with [dependencies]; lines are only cut where the
+    diff has the word at all."""
     added = _added(diff)
     required = F.transform(F.filter(added, lambda x: x.contains("requirements.txt")), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^\+", "")), "(==|>=).*$", ""))
+    required = F.filter(required, lambda x: (x != "") & ~x.isin("#", "-r", "-e"))
     script = F.transform(F.filter(added, lambda x: x.startswith('+    "') & x.contains(":")), lambda x: F.split_part(x, F.lit('"'), F.lit(2)))
-    cargo = F.transform(F.filter(added, lambda x: x.contains("=") & ~x.contains("[dependencies]") & ~x.startswith("+++")), lambda x: F.trim(F.split_part(F.regexp_replace(x, r"^\+", ""), F.lit("="), F.lit(1))))
+    cargo = F.transform(F.regexp_extract_all(diff, F.lit(r"(?md)^\+(?!\+\+)(?!.*\[dependencies\])([^=\n]*)="), 1), lambda x: F.trim(x))
     none = F.array().cast("array<string>")
-    parts = [F.filter(required, lambda x: (x != "") & ~x.isin("#", "-r", "-e")), F.when(diff.contains('"dependencies"') | diff.contains('"devDependencies"'), script).otherwise(none), F.when(diff.contains("[dependencies]"), cargo).otherwise(none)]
+    parts = [F.when(diff.contains("requirements.txt"), required).otherwise(none), F.when(diff.contains('"dependencies"') | diff.contains('"devDependencies"'), script).otherwise(none), F.when(diff.contains("[dependencies]"), cargo).otherwise(none)]
     return F.array_distinct(F.concat(*parts))
 
 
@@ -312,12 +317,14 @@ def policy(rows: DataFrame, diff: str = "diff", allow_new: bool = False) -> Data
     """``rows`` with an array of (rule, severity) that the diff breaks.  New packages are
     an error where they are not allowed."""
     d = F.coalesce(F.col(diff), F.lit(""))
-    lines = changed_lines(d)
-    rules = [("max_files_touched", "block", F.size(touched(d)) > MAX_FILES), ("max_lines_changed", "block", lines > 2 * MAX_LINES), ("max_lines_changed", "error", (lines > MAX_LINES) & (lines <= 2 * MAX_LINES)), ("forbidden_imports", "block", F.size(forbidden(d)) > 0)]
+    # Columns of their own, so that the rules do not count again.
+    own = rows.withColumn("__lines", changed_lines(d)).withColumn("__bad", F.size(forbidden(d)) > 0)
+    lines = F.col("__lines")
+    rules = [("max_files_touched", "block", F.size(touched(d)) > MAX_FILES), ("max_lines_changed", "block", lines > 2 * MAX_LINES), ("max_lines_changed", "error", (lines > MAX_LINES) & (lines <= 2 * MAX_LINES)), ("forbidden_imports", "block", F.col("__bad"))]
     if not allow_new:
         rules.append(("no_new_dependencies", "error", F.size(new_packages(d)) > 0))
     found = F.array(*[F.when(t, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, t in rules])
-    return rows.withColumn("violations", F.filter(found, lambda x: x.isNotNull()))
+    return own.withColumn("violations", F.filter(found, lambda x: x.isNotNull())).drop("__lines", "__bad")
 
 
 def dangers(diff: Column) -> Column:

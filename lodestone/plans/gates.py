@@ -178,8 +178,8 @@ def patch_dangers(spark, d):
 def patch_imports(spark, d):
     """Forbidden names and new packages of each diff (the lines ``x = 1`` under a
     manifest are packages to the rule, so they are left out here)."""
-    diff = F.regexp_replace("diff", r"(?m)^\+x = 1\n", "")
-    return _diffs(spark, d).select("id", F.array_join(gates.forbidden(diff), ",").alias("forbidden"), F.array_join(gates.new_packages(diff), ",").alias("packages"))
+    rows = _diffs(spark, d).select("id", F.regexp_replace("diff", r"(?m)^\+x = 1\n", "").alias("diff"))
+    return rows.select("id", F.array_join(gates.forbidden(F.col("diff")), ",").alias("forbidden"), F.array_join(gates.new_packages(F.col("diff")), ",").alias("packages"))
 
 
 @query("""with b as (select o_orderkey as id, list_filter([case when o_orderpriority = '1-URGENT' then 'removed:error' end, case when o_orderstatus = 'P' then 'security:critical' end, case when (o_custkey % 100) / 100 < 0.3 then 'confidence:error' end], lambda x: x is not null) as b from orders) select id, array_to_string(b, ',') as breaking, len(b) = 0 as passed from b""")
