@@ -65,6 +65,18 @@ def band_join(left: DataFrame, right: DataFrame, key: str, pos_left: str, pos_ri
     return a.join(b, [key, "__band"]).where(F.abs(F.col(pos_left) - F.col(pos_right)) <= reach).drop("__band")
 
 
+def band_sets(left: DataFrame, right: DataFrame, key: str, pos_left: str, pos_right: str, reach: int, value: str) -> DataFrame:
+    """``left`` with ``near``, the distinct values of the right rows that ``band_join`` would
+    meet, without a row for each pair: the right side is a set for each (key, band), of
+    distinct positions and values in three bands.  Left rows that meet none are dropped."""
+    a = left.withColumn("__band", F.floor(F.col(pos_left) / (reach + 1)))
+    own = right.select(key, F.col(pos_right).alias("at"), F.col(value).alias("v"))
+    b = own.withColumn("__band", F.explode(F.array(*[F.floor(F.col("at") / (reach + 1)) + d for d in (-1, 0, 1)])))
+    sets = b.groupBy(key, "__band").agg(F.collect_set(F.struct("at", "v")).alias("__set"))
+    met = a.join(sets, [key, "__band"]).withColumn("__set", F.filter("__set", lambda x: F.abs(F.col(pos_left) - x["at"]) <= reach))
+    return met.where(F.size("__set") > 0).withColumn("near", F.array_distinct(F.transform("__set", lambda x: x["v"]))).drop("__band", "__set")
+
+
 def merge_predictions(rows: DataFrame, predictions: DataFrame, key: str, score: str) -> DataFrame:
     """Rows with their prediction (confidence x 1.2 above 0.5), then the
     predictions that match none: one full outer join."""
