@@ -33,17 +33,26 @@ def entry_point(path: Column) -> Column:
 
 def scan(spark: SparkSession, root: str, pruned: list[str] = PRUNED, globs: tuple[str, ...] = (), most: int | None = None, relative=None) -> DataFrame:
     """(path, language, size, text) of the source files below ``root``, read by Spark so
-    that any store works.
+    that any store works; which files by ``sources``.
 
-    Only files with a known suffix, in no pruned directory, that no glob names; with
-    ``most`` the first by path.  ``relative`` maps the column of a file's location to
-    its path in the tree (by default what follows ``root``).  Bytes that are no UTF-8
-    are replaced.
+    ``relative`` maps the column of a file's location to its path in the tree (by default
+    what follows ``root``).  A file costs a store tens of milliseconds however small it
+    is: very many small ones are better kept as rows of a table, for ``sources``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").rpartition("://")[2].split(":", 1)[-1].lstrip("/")
     path = relative(F.col("path")) if relative else F.regexp_replace(F.col("path"), r"^.*?" + base + "/", "")
-    out = files.select(path.alias("path"), F.col("length").alias("size"), "content").withColumn("language", language_of(F.col("path"))).where("language is not null")
+    return sources(files.select(path.alias("path"), "content"), pruned, globs, most)
+
+
+def sources(files: DataFrame, pruned: list[str] = PRUNED, globs: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """(path, language, size, text) of the source files among ``files`` (path, content: the
+    bytes), in one narrow pass.
+
+    Only files with a known suffix, in no pruned directory, that no glob names; with
+    ``most`` the first by path.  Bytes that are no UTF-8 are replaced.
+    """
+    out = files.select("path", F.octet_length("content").cast("long").alias("size"), "content").withColumn("language", language_of(F.col("path"))).where("language is not null")
     if pruned:
         out = out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, pruned))))
     if globs:
