@@ -83,7 +83,9 @@ def _dominated(filling: tuple, room: int, others: int) -> bool:
     slack = room - sum(filling)
     sums = {0: 0}
     for s in filling:
-        sums |= {t + s: min(n + 1, sums.get(t + s, 9)) for t, n in list(sums.items()) if n < 3}
+        for t, n in list(sums.items()):
+            if n < 3 and sums.get(t + s, 9) > n + 1:
+                sums[t + s] = n + 1
     for t, n in sums.items():
         low = t + (n <= 1)  # one piece for itself is no gain
         if slack >= low - t and (others >> low) & ((1 << (slack - (low - t) + 1)) - 1):
@@ -94,39 +96,46 @@ def _dominated(filling: tuple, room: int, others: int) -> bool:
 def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STEPS) -> list[tuple]:
     """Undominated fillings of ``room`` from pieces of the sizes counted, the fullest
     first, at most ``width``.  The last piece of a filling is the largest that fits."""
-    sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
-    if not sizes:
+    there = counts[: room + 1] > 0
+    there[0] = False
+    sizes = np.flatnonzero(there)
+    if not len(sizes):
         return [()]
-    if sizes[0] == room:  # a perfect fit with one piece dominates all
+    least = int(sizes[0])
+    if sizes[-1] == room:  # a perfect fit with one piece dominates all
         return [(room,)]
-    mask = sum(1 << s for s in sizes)
+    mask = int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
     found: dict[tuple, int] = {}
-    todo, looked = [((), room)], 0
-    while todo and looked < steps:
-        own, left = todo.pop()
+    # Depth first; of a set only the pieces that it has not been tried with yet are kept.
+    todo, own, left, looked, perfect = [], (), room, 0, 0
+    while True:
         looked += 1
-        fits = mask & ((1 << (left + 1)) - 1)
-        last = own[-1] if own else room
-        while fits:
-            s = fits.bit_length() - 1
-            if s <= last and own.count(s) < counts[s]:
-                break
-            fits &= ~(1 << s)
+        # Pieces are taken from the largest on; of the size taken last there must be one more.
+        most = left if not own else min(left, own[-1] - int(own.count(own[-1]) >= counts[own[-1]]))
+        fits = mask & ((1 << (most + 1)) - 1)
         if not fits:
             found[own] = left
-            continue
-        found[(*own, s)] = left - s
-        if found[(*own, s)] == 0 and len([1 for x in found.values() if x == 0]) >= width:
-            break
-        more = []
-        while fits:  # any piece that leaves room for another
+        else:
             s = fits.bit_length() - 1
-            fits &= ~(1 << s)
-            if s <= last and own.count(s) < counts[s] and left - s >= sizes[-1]:
-                more.append(((*own, s), left - s))
-            if len(more) >= steps:
-                break
-        todo += more[::-1]
+            found[(*own, s)] = left - s
+            if left == s:
+                perfect += 1
+                if perfect >= width:
+                    break
+            if left > least:  # any piece that leaves room for another
+                fits &= (1 << (left - least + 1)) - 1
+                if fits:
+                    todo.append([own, left, fits])
+        if not todo or looked >= steps:
+            break
+        own, left, fits = todo[-1]
+        s = fits.bit_length() - 1
+        fits ^= 1 << s
+        if fits:
+            todo[-1][2] = fits
+        else:
+            todo.pop()
+        own, left = (*own, s), left - s
     out = []
     for own, left in sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0])):
         others = mask

@@ -174,3 +174,20 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_fillings_keep_no_sets_that_are_not_looked_at():
+    """A room beside very many sizes: a set's further pieces are no sets of their own yet."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lodestone.llm import packing
+
+    counts = np.ones(2049, np.int64)
+    counts[1900:] = 0
+    tracemalloc.start()
+    found = packing.fillings(counts, 1950, width=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(1899, 51)] and peak < 60_000
