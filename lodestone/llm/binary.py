@@ -25,7 +25,6 @@ driver, to place the ranges.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -114,63 +113,126 @@ class Encoder:
     """Byte-level BPE ids of whole texts by the tokenizers library.
 
     The library cuts a text into pre-tokens and encodes each by itself, so
-    every different pre-token is encoded once and kept.  ``_CUT`` is the cut for
-    well-known characters; a text with any other, or with one of the file's added
+    every different pre-token is encoded once and kept.  Texts of well-known
+    characters are cut here, all bytes of a batch at once, and a pre-token is looked
+    up once a batch; a text with any other character, or with one of the file's added
     tokens (the library cuts those out first), is encoded whole.  New pre-tokens
     are encoded many at a time with line feeds between them.
     """
 
     KEEP = 700_000  # pre-tokens: some 150 MB
     LINE = 198  # the id of a line feed
-    _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-    _MARKS = "!\"#$%&()*+,./:;<=>?@\\[\\]^_`{|}~\\\\-"  # all of ASCII but the apostrophe
-    _CUT = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \n]+(?!\S)|[ \n]+|[^\n]")
-    _KNOWN = re.compile(rf"[ \n0-9{_LETTERS}{_MARKS}]+")
+    PART = 1 << 24  # bytes that are cut at once, or one text
+    _OTHER, _LETTER, _DIGIT, _MARK, _SPACE, _FEED = range(6)
+    _CLASS = np.zeros(256, np.uint8)  # of a byte; letters are ASCII's and U+00C0 .. U+017F but for two signs
+    for _bytes, _class in ((b"0123456789", _DIGIT), (b"!\"#$%&()*+,./:;<=>?@[]^_`{|}~\\-", _MARK), (b" ", _SPACE), (b"\n", _FEED), (bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]), _LETTER)):
+        _CLASS[list(_bytes)] = _class
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[bytes, int] = {}  # places in ``ends``
+        self.ids, self.ends = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)  # ids of all words; where those of a word end
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        spaces = [w for w in words if not w.strip(" \n")]
-        self.words.update(zip(spaces, self._plain(spaces), strict=True))
-        new = [w for w in words if w.strip(" \n") and self._KNOWN.fullmatch(w)]
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, used = len(self.words), int(self.ends[len(self.words) - 1]) if self.words else 0
+        for name, need in (("ids", used + len(ids)), ("ends", n + len(words))):
+            if need > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), 2 * need))
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n : n + len(words)] = used + np.cumsum(lengths)
+        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        spaces = [w for w in words if not w.strip(b" \n")]
+        if spaces:
+            coded = self._plain([w.decode() for w in spaces])
+            self._keep(spaces, np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded]))
+        new = [w for w in words if w.strip(b" \n")]
         groups = [new[i : i + 200] for i in range(0, len(new), 200)]
-        for group, e in zip(groups, self.model.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.model.encode_batch_fast([b"\n".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.LINE).tolist(), len(ids)]
-            raw, last = ids.tobytes(), 0
-            for w, end in zip(group, ends, strict=True):
-                self.words[w] = raw[4 * last : 4 * end]
-                last = end + 1
+            feeds = ids == self.LINE
+            self._keep(group, ids[~feeds], np.diff([-1, *np.flatnonzero(feeds).tolist(), len(ids)]) - 1)
+
+    def _cut(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the pre-tokens of texts of known characters start: ``" ?[letters]+"``,
+        likewise digits and marks, and white space but for a space before those."""
+        kind = self._CLASS[data]
+        white = kind >= self._SPACE
+        before = np.concatenate([[False], white[:-1]])
+        after = np.concatenate([~white[1:], [False]])  # a byte of the same text that is not white
+        after[ends[ends > 0] - 1] = False
+        changed = np.concatenate([[True], kind[1:] != kind[:-1]])
+        spaced = np.concatenate([[False], kind[:-1] == self._SPACE])
+        starts = np.where(white, ~before | after, changed & ~spaced)
+        starts[ends[ends < len(data)]] = True
+        starts[:1] = True
+        return np.flatnonzero(starts)
+
+    def _known(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of texts of known characters."""
+        raw, ends = b"".join(raws), np.cumsum([len(r) for r in raws])
+        at = self._cut(np.frombuffer(raw, np.uint8), ends)
+        offsets = np.append(at, len(raw)).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = cut.dictionary
+        own, marks = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1).tolist()
+        words = [own[a:b] for a, b in zip(marks, marks[1:], strict=False)]
+        if len(self.words) > self.KEEP:
+            self._clear()
+        found = list(map(self.words.get, words))
+        if None in found:
+            self._learn([w for w, k in zip(words, found, strict=True) if k is None])
+            found = [self.words[w] if k is None else k for w, k in zip(words, found, strict=True)]
+        place = np.array(found, np.int64)
+        first = np.where(place > 0, self.ends[place - 1], 0)
+        which = cut.indices.to_numpy()
+        lengths = (self.ends[place] - first)[which]
+        last = np.cumsum(lengths)
+        ids = self.ids[np.repeat(first[which] - last + lengths, lengths) + np.arange(last[-1])].tobytes()
+        stop = np.append(0, last)[np.searchsorted(at, ends)] * 4  # the pre-tokens before the end of each text
+        return [ids[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
-        if len(self.words) > self.KEEP:
-            self.words.clear()
-        get, known = self.words.get, self.words
-        cut = [self._CUT.findall(t) for t in texts]
-        found = [list(map(get, one)) for one in cut]
-        gaps = [[i for i, ids in enumerate(one) if ids is None] if None in one else () for one in found]
-        new = {one[i] for one, at in zip(cut, gaps, strict=True) for i in at}
-        if new:
-            self._learn(new)
-        out = []
-        for t, one, ids, at in zip(texts, cut, found, gaps, strict=True):
-            for i in at:
-                ids[i] = get(one[i])
-            if (at and not all(one[i] in known for i in at)) or any(x in t for x in self.added):
-                out += self._plain([t])  # a character that the cut does not cover, or an added token
-            else:
-                out.append(b"".join(ids))
+        out: list[bytes] = [b""] * len(texts)
+        plain, known, size = [], [], 0
+        raws = [t.encode() for t in texts]
+
+        def flush() -> None:
+            nonlocal known, size
+            for i, ids in zip(known, self._known([raws[i] for i in known]) if known else (), strict=True):
+                out[i] = ids
+            known, size = [], 0
+
+        for i, raw in enumerate(raws):
+            if any(x in texts[i] for x in self.added) or not self._is_known(raw):
+                plain.append(i)
+            elif raw:
+                if known and size + len(raw) > self.PART:
+                    flush()
+                known.append(i)
+                size += len(raw)
+        flush()
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+            out[i] = ids
         return out
 
+    _KNOWN = bytes(np.flatnonzero(_CLASS).astype(np.uint8))
+
+    def _is_known(self, raw: bytes) -> bool:
+        # Continuation bytes follow a lead byte, so those of other letters are found by theirs.
+        return not raw.translate(None, self._KNOWN) and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -77,22 +78,56 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def best_fit_bins(counts: np.ndarray, capacity: int) -> int:
+    """The number of bins of ``best_fit``: all pieces of a size are placed at once, as each
+    of the tightest bins takes what fits before the next one is tried."""
+    free: dict[int, int] = {}
+    rooms = bins = 0
+    sizes = np.flatnonzero(counts)[::-1]
+    for size, n in zip(sizes.tolist(), counts[sizes].tolist(), strict=True):
+        while n:
+            fits = rooms >> size
+            room = size + (fits & -fits).bit_length() - 1 if fits else capacity
+            each = room // size
+            taken, each = (n // each, each) if n >= each else (1, n)
+            if fits:
+                taken = min(taken, free[room])
+                free[room] -= taken
+                if not free[room]:
+                    rooms &= ~(1 << room)
+            else:
+                bins += taken
+            n -= taken * each
+            left = room - each * size
+            if left:
+                free[left] = free.get(left, 0) + taken
+                rooms |= 1 << left
+    return bins
+
+
 def _dominated(filling: tuple, room: int, others: int) -> bool:
     """Whether a set of other pieces' sizes (bits of ``others``) could stand for some of
     the filling: one larger piece for up to three that sum to no more, still in the room."""
     slack = room - sum(filling)
-    sums = {0: 0}
-    for s in filling:
-        for t, n in list(sums.items()):
-            if n < 3 and sums.get(t + s, 9) > n + 1:
-                sums[t + s] = n + 1
-    for t, n in sums.items():
-        low = t + (n <= 1)  # one piece for itself is no gain
-        if slack >= low - t and (others >> low) & ((1 << (slack - (low - t) + 1)) - 1):
+    if slack:
+        more = (1 << slack) - 1  # one piece for itself is no gain
+        if (others >> 1) & more or any((others >> (s + 1)) & more for s in filling):
             return True
+    more = (1 << (slack + 1)) - 1
+    for n in (2, 3):
+        for own in combinations(filling, n):
+            t = sum(own)
+            if (others >> t) & more and t not in filling:
+                return True
     return False
 
 
+@lru_cache(maxsize=4)
+def _below(n: int) -> list[int]:
+    """The bits below each number up to ``n``."""
+    return [(1 << k) - 1 for k in range(n + 1)]
+
+
 def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STEPS) -> list[tuple]:
     """Undominated fillings of ``room`` from pieces of the sizes counted, the fullest
     first, at most ``width``.  The last piece of a filling is the largest that fits."""
@@ -105,14 +140,15 @@ def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STE
     if sizes[-1] == room:  # a perfect fit with one piece dominates all
         return [(room,)]
     mask = int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+    have, below = counts[: room + 1].tolist(), _below(len(counts))
     found: dict[tuple, int] = {}
     # Depth first; of a set only the pieces that it has not been tried with yet are kept.
     todo, own, left, looked, perfect = [], (), room, 0, 0
     while True:
         looked += 1
         # Pieces are taken from the largest on; of the size taken last there must be one more.
-        most = left if not own else min(left, own[-1] - int(own.count(own[-1]) >= counts[own[-1]]))
-        fits = mask & ((1 << (most + 1)) - 1)
+        most = left if not own else min(left, own[-1] - int(own.count(own[-1]) >= have[own[-1]]))
+        fits = mask & below[most + 1]
         if not fits:
             found[own] = left
         else:
@@ -123,7 +159,7 @@ def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STE
                 if perfect >= width:
                     break
             if left > least:  # any piece that leaves room for another
-                fits &= (1 << (left - least + 1)) - 1
+                fits &= below[left - least + 1]
                 if fits:
                     todo.append([own, left, fits])
         if not todo or looked >= steps:
@@ -137,10 +173,10 @@ def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STE
             todo.pop()
         own, left = (*own, s), left - s
     out = []
-    for own, left in sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0])):
+    for _, _, own in sorted([(left, len(own), own) for own, left in found.items()]):
         others = mask
         for s in set(own):
-            if own.count(s) >= counts[s]:
+            if own.count(s) >= have[s]:
                 others &= ~(1 << s)
         if not _dominated(own, room, others):
             out.append(own)
@@ -191,9 +227,8 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[lis
             best = [list(f[1]) for f in stack]
         elif len(stack) + least_bins(counts, capacity) < len(best):
             if used % 64 == 1 or counts.sum() <= 256:
-                rest = best_fit(counts, capacity)
-                if len(stack) + len(rest) < len(best):
-                    best = [list(f[1]) for f in stack] + rest
+                if len(stack) + best_fit_bins(counts, capacity) < len(best):
+                    best = [list(f[1]) for f in stack] + best_fit(counts, capacity)
             if len(stack) < len(best):
                 stack.append([tries(), None])
         if len(best) <= least:
@@ -229,7 +264,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, encode, tail = to_arrow_schema(schema), binary.encoder(tokenizer), np.array([end], "<u4").tobytes()
-        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             source, found = [], []
             for i, coded in enumerate(encode(batch.column(2).to_pylist())):
                 raw = coded + tail
