@@ -135,3 +135,16 @@ def test_steps_of_hubs_move_no_row_for_an_edge(spark, monkeypatch):
     assert all(abs(h - hub[x]) < 1e-12 and abs(a - got[x]) < 1e-12 for x, (h, a) in found.items()) and found.keys() == {x for e in edges for x in e}
     sums = [df.count() for label, df in rows if label == "sums"]
     assert len(sums) == 8 and max(sums) <= 5  # a row for a segment
+
+
+def test_degrees_take_as_many_tasks_as_edges_need(spark, monkeypatch):
+    """F32: the part of a task does not grow with the edges."""
+    monkeypatch.setattr(graph, "PART", 4)
+    edges = [(i % 9, i % 4) for i in range(50)] + [(None, 1), (None, 1), (2, None)]
+    found = graph.degrees(spark.createDataFrame(edges, "src long, dst long"))
+    assert "REPARTITION_BY_NUM, " in (plan := found._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(src" in plan and ", 14)" in plan
+    want = {}
+    for a, b in set(edges):
+        for x, side in ((a, 1), (b, 0)):
+            want.setdefault(x, [0, 0])[side] += 1
+    assert {r["node"]: [r["d_in"], r["d_out"]] for r in found.collect()} == want
